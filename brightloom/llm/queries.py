@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality
+from . import line_dedup, mixing, quality, secrets
 from .common import table, text_or_empty
 from .oracles import SQL  # noqa: F401
 
@@ -15,4 +16,18 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("doc_id", "q.n_words", "q.word_chars", "q.n_symbols", "q.n_dup_lines", "q.n_repeat_words", "q.base_failed", "q.kept", "q.n_stop_words")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules,)}
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), text_or_empty(), "q")
+    return docs.select("doc_id", "q.n_assign", "q.n_access", "q.n_hex", F.sha2("q.base_spans", 256).alias("base_sha256"), "q.spans", "q.n_entropy")
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = line_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), "text")
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op5_line_dedup, op10_mixing)}
