@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, mixing, quality, secrets, simhash
+from . import decontaminate, line_dedup, mixing, pii, quality, secrets, simhash
 from .common import table, text_or_empty
 from .oracles import SQL  # noqa: F401
 
@@ -39,8 +39,13 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.scan(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), *[f"n_{k}" for k in pii.KINDS], F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op5_line_dedup, op6_decontaminate, op7_simhash, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op5_line_dedup, op6_decontaminate, op7_simhash, op9_pii, op10_mixing)}
