@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, line_dedup, mixing, pii, quality, secrets, simhash, token_counts
+from . import decontaminate, html_text, line_dedup, lm_score, mixing, pii, quality, secrets, simhash, token_counts
 from .common import table, text_or_empty
 from .oracles import SQL  # noqa: F401
 
@@ -21,6 +21,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "q.n_assign", "q.n_access", "q.n_hex", F.sha2("q.base_spans", 256).alias("base_sha256"), "q.spans", "q.n_entropy")
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
@@ -56,4 +60,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op4_html_text, op5_line_dedup, op6_decontaminate, op7_simhash, op8_token_counts, op9_pii, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op3_lm_score, op4_html_text, op5_line_dedup, op6_decontaminate, op7_simhash, op8_token_counts, op9_pii, op10_mixing)}

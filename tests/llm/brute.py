@@ -138,3 +138,34 @@ def remove_lines(docs):
                 gone.setdefault(d, set()).update(at[d][j : j + 3])
             seen.add(key)
     return {d: "\n".join(x for i, x in enumerate((t or "").split("\n")) if i not in gone.get(d, ())) if d in gone else t for d, t in docs.items()}
+
+
+def ppm_scores(train, tokens, order=5):
+    """train: {token: count}; {token: log10 probability} by prediction by partial matching, one symbol at a time."""
+    coded = lambda t: b" " + t.encode() + b" " if t else b" \n"
+    trie = {}
+    for t, n in train.items():
+        s = coded(t)
+        for i in range(1, len(s)):
+            for k in range(min(order, i) + 1):
+                trie.setdefault(s[i - k : i], Counter())[s[i]] += n
+    out = {}
+    for t in tokens:
+        s, total = coded(t), 0.0
+        for i in range(1, len(s)):
+            excluded, p = set(), 1.0
+            for k in range(min(order, i), -1, -1):
+                seen = {x: n for x, n in trie.get(s[i - k : i], {}).items() if x not in excluded}
+                if not seen:
+                    continue
+                n, q = sum(seen.values()), len(seen)
+                if s[i] in seen:
+                    p *= seen[s[i]] / (n + q)
+                    break
+                p *= q / (n + q)
+                excluded |= set(seen)
+            else:
+                p /= 256 - len(excluded)
+            total += math.log10(p)
+        out[t] = total
+    return out
