@@ -160,9 +160,9 @@ def ppm_scores(train, tokens, order=5):
                     continue
                 n, q = sum(seen.values()), len(seen)
                 if s[i] in seen:
-                    p *= seen[s[i]] / (n + q)
+                    p *= (seen[s[i]] - 0.5) / n
                     break
-                p *= q / (n + q)
+                p *= 0.5 * q / n
                 excluded |= set(seen)
             else:
                 p /= 256 - len(excluded)
