@@ -12,32 +12,40 @@ documents is a join against a single row, which adaptive execution may split; no
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_RE, WORD_CHAR_RE
+from .common import SPACE_CHARS, stored
 
 WINDOW = 3
 
 
+def _bare(line: Column) -> Column:
+    """A line without white space at its ends; only lines that have some go through the slow trim."""
+    edge = F.lit(False)
+    for c in SPACE_CHARS.replace("\n", ""):
+        edge = edge | line.startswith(c) | line.endswith(c)
+    return F.when(edge, F.btrim(line, F.lit(SPACE_CHARS))).otherwise(line)
+
+
 def _with_lines(docs: DataFrame, text_col: str) -> DataFrame:
-    """Adds __lines (all lines) and __at (the places of those with words)."""
+    """Adds __lines (all lines), __bare (trimmed) and __at (the places of those with words)."""
     docs = docs.withColumn("__lines", F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"))
-    places = F.transform(F.col("__lines"), lambda x, i: F.when(x.rlike(WORD_CHAR_RE), i))
+    docs = docs.withColumn("__bare", F.transform("__lines", _bare))
+    places = F.transform(F.col("__bare"), lambda x, i: F.when(x != "", i))
     return docs.withColumn("__at", F.array_compact(places))
 
 
 def window_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, th, place, key): one row per window; key is the MD5 of the window's lines."""
     rows = _with_lines(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text")
-    trimmed = F.transform(
-        F.col("__at"), lambda i: F.regexp_replace(F.get(F.col("__lines"), i), f"^{SPACE_RE}+|{SPACE_RE}+$", "")
-    )
-    rows = rows.select("id", F.xxhash64("text").alias("th"), trimmed.alias("lines"))
-    rows = rows.filter(F.size("lines") > 0)
+    rows = rows.select("id", F.xxhash64("text").alias("th"), F.array_remove("__bare", "").alias("lines"))
     starts = F.sequence(F.lit(0), F.greatest(F.size("lines") - WINDOW, F.lit(0)))
     keys = F.transform(starts, lambda i: F.md5(F.array_join(F.slice(F.col("lines"), i + 1, WINDOW), "\n")))
-    return rows.select("id", "th", F.posexplode(keys).alias("place", "key")).withColumn("key", F.unhex("key"))
+    keys = F.when(F.size("lines") > 0, keys)
+    # the outer explode and the filter after it keep the optimizer from computing the keys once more to test for rows
+    rows = rows.select("id", "th", F.posexplode_outer(keys).alias("place", "key")).filter(F.col("key").isNotNull())
+    return rows.withColumn("key", F.unhex("key"))
 
 
 def later_windows(windows: DataFrame) -> DataFrame:
@@ -54,7 +62,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Repeated lines include their newline; the lines that stay are joined by newlines as before.
     """
-    later = later_windows(window_rows(docs, id_col, text_col)).select(
+    later = later_windows(stored(window_rows(docs, id_col, text_col))).select(
         F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("places").alias("__places")
     )
     rows = docs.withColumn("__h", F.xxhash64(text_col))
