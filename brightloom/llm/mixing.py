@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, words_of
+from .common import stored, text_or_empty, words_of
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -26,6 +26,7 @@ MOST = 2
 BLOCK_WORDS = 50
 SHARD_DOCS = 10_000
 SEED = 20
+SALTS = 64
 
 
 def with_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -75,26 +76,66 @@ def apportion(rows: DataFrame, group: list[str], key: list[str], votes: str, sea
     return done.withColumn(out, F.col("__sure") + F.coalesce("__more", F.lit(0))).select(*rows.columns, out)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, block_words: int = BLOCK_WORDS, shard_docs: int = SHARD_DOCS, seed: int = SEED) -> DataFrame:
-    """(id, source, size, source_size, target, taken) for every row."""
-    sized = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.size(words_of(text_or_empty(text_col))).cast("long").alias("size")
-    ).withColumn("name", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size"))
+def _sized(docs: DataFrame, id_col: str, source_col: str, text_col: str, seed: int, *more: Column) -> DataFrame:
+    size = F.size(words_of(text_or_empty(text_col))).cast("long")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), *more)
+    rows = rows.withColumn("name", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
+    rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size"))
+    return rows.withColumn("salt", F.pmod("h", F.lit(SALTS)).cast("int"))
+
+
+def _placed(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """Adds the source's row and the shard; the join is salted, since one source may hold a third of all rows."""
+    salted = targets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(salted, ["name", "salt"]).withColumn("shard", F.pmod(F.col("h"), F.col("n_shards")))
+
+
+def _plan(sized: DataFrame, weights: tuple[int, ...], block_words: int, shard_docs: int) -> tuple[DataFrame, DataFrame]:
+    """One row per source and one per shard, with the words that each shard gives."""
     sources = sized.groupBy("source", "name").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     targets = with_targets(sources, weights)
     total = F.round(F.sum("target").over(Window.partitionBy()) / block_words).cast("long")
     targets = targets.withColumn("all", F.lit(0)).withColumn("blocks", total)
     targets = apportion(targets, ["all"], ["rank"], "target", F.col("blocks"), "quota")
-    targets = targets.select("name", "source_size", "target", "quota", F.ceil(F.col("n_docs") / shard_docs).cast("long").alias("n_shards"))
-    placed = sized.join(targets, "name").withColumn("shard", F.pmod(F.col("h"), F.col("n_shards")))
-    shards = placed.groupBy("name", "shard", "quota").agg(F.sum("size").alias("shard_size"))
+    n_shards = F.ceil(F.col("n_docs") / shard_docs).cast("long")
+    targets = stored(targets.select("name", "source_size", "target", "quota", n_shards.alias("n_shards")))
+    shards = _placed(sized, targets).groupBy("name", "shard", "quota").agg(F.sum("size").alias("shard_size"))
     shards = apportion(shards, ["name"], ["shard"], "shard_size", F.col("quota"), "shard_quota")
     words = F.least(F.col("shard_quota") * block_words, MOST * F.col("shard_size")).cast("long")
-    shards = shards.select("name", "shard", "shard_size", words.alias("words"))
-    rows = placed.join(shards, ["name", "shard"])
+    return targets, stored(shards.select("name", "shard", "shard_size", words.alias("words")))
+
+
+def _taken(sized: DataFrame, targets: DataFrame, shards: DataFrame) -> DataFrame:
+    """Adds rounds (full passes) and part (words of one more, from the front of the text)."""
+    rows = _placed(sized, targets).join(shards, ["name", "shard"])
     order = Window.partitionBy("name", "shard").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rounds = F.when(F.col("shard_size") > 0, F.floor(F.col("words") / F.col("shard_size"))).otherwise(0)
+    rows = rows.withColumn("rounds", F.when(F.col("shard_size") > 0, F.floor(F.col("words") / F.col("shard_size"))).otherwise(0))
     rest = F.col("words") - F.col("rounds") * F.col("shard_size") - F.coalesce(F.sum("size").over(order), F.lit(0))
-    rows = rows.withColumn("rounds", rounds)
-    taken = F.col("rounds") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))
+    return rows.withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), rest)))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, block_words: int = BLOCK_WORDS, shard_docs: int = SHARD_DOCS, seed: int = SEED) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken) for every row."""
+    sized = stored(_sized(docs, id_col, source_col, text_col, seed))
+    rows = _taken(sized, *_plan(sized, weights, block_words, shard_docs))
+    taken = F.col("rounds") * F.col("size") + F.col("part")
     return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, block_words: int = BLOCK_WORDS, shard_docs: int = SHARD_DOCS, seed: int = SEED) -> DataFrame:
+    """The mix itself: the documents' columns, one row per pass over a document, with its pass (1, 2) and taken words.
+
+    The one document of a shard that its quota ends in gives its first words, joined by single spaces.
+    """
+    compact = stored(_sized(docs, id_col, source_col, text_col, seed))
+    plan = _plan(compact, weights, block_words, shard_docs)
+    whole = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
+    rows = _taken(_sized(docs, id_col, source_col, text_col, seed, whole), *plan)
+    passes = F.filter(
+        F.transform(F.sequence(F.lit(1), F.lit(MOST)), lambda p: F.struct(p.alias("pass"), F.when(p <= F.col("rounds"), F.col("size")).when(p == F.col("rounds") + 1, F.col("part")).otherwise(0).cast("long").alias("taken"))),
+        lambda x: x["taken"] > 0,
+    )
+    rows = rows.select("row", "size", F.explode(passes).alias("p"))
+    front = F.array_join(F.slice(words_of(text_or_empty(f"row.{text_col}")), F.lit(1), F.col("p.taken").cast("int")), " ")
+    text = F.when(F.col("p.taken") < F.col("size"), front).otherwise(F.col(f"row.{text_col}"))
+    return rows.select(*[text.alias(c) if c == text_col else F.col(f"row.{c}").alias(c) for c in docs.columns], F.col("p.pass").alias("mix_pass"), F.col("p.taken").alias("mix_words"))
