@@ -53,3 +53,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def filtered(df: DataFrame, condition: Column) -> DataFrame:
+    """A filter that the optimizer leaves above the projections before it.
+
+    Pushed down, a condition over arrays made step by step would carry all the steps with it and
+    compute them again for every element. The outer explode of one boolean stops that; it adds no rows.
+    """
+    return df.withColumn("__keep", F.explode_outer(F.array(F.coalesce(condition, F.lit(False))))).filter("__keep").drop("__keep")

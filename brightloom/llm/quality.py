@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_RE, WORD_CHAR_RE, text_or_empty, words_of
+from .common import SPACE_RE, WORD_CHAR_RE, filtered, text_or_empty, words_of
 
 #: Frequent function words of English, French, German and Spanish.
 STOP_WORDS = (
@@ -152,4 +152,4 @@ def judge(df: DataFrame, text: Column, name: str = "__quality", rules: tuple[Rul
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
     """The rows that pass, with the columns they came with."""
-    return judge(docs, text_or_empty(text_col), "__quality", rules).filter("__quality.kept").drop("__quality")
+    return filtered(judge(docs, text_or_empty(text_col), "__quality", rules), F.col("__quality.kept")).drop("__quality")
