@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightloom.functions import scoring
+from brightloom.functions import dates, rules, scoring, text, urls
+from brightloom.operators import audit, changes, cohort, coverage, listing, report
+from brightloom.sources import html, registries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -53,3 +55,270 @@ def score_band_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
         .orderBy(F.desc("score"), "doc_id")
         .limit(50)
     )
+
+
+@query("faceted_page", "SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_totalprice BETWEEN 50000 AND 300000 ORDER BY CASE WHEN o_orderpriority = '1-URGENT' THEN 0 ELSE 1 END, o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 20")
+def faceted_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice", "o_orderstatus")
+    o = listing.facet(o, [F.col("o_orderstatus") == "O", F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), F.col("o_totalprice").between(50000, 300000), None])
+    order = [F.when(F.col("o_orderpriority") == "1-URGENT", 0).otherwise(1), F.desc("o_totalprice"), F.col("o_orderkey")]
+    return listing.page(o, order, 2, 20).select("o_orderkey", "o_orderpriority", "o_totalprice")
+
+
+@query("facet_counts", "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderstatus = 'O' GROUP BY 1")
+def facet_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing.counts(read(spark, sf_dir, "orders").filter("o_orderstatus = 'O'"), "o_orderpriority")
+
+
+@query("keyword_search", "SELECT doc_id, source FROM documents WHERE coalesce(text ILIKE '%license%', false) OR coalesce(source ILIKE '%license%', false) OR coalesce(lang ILIKE '%license%', false)")
+def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = text.keyword_search([F.col("text"), F.col("source"), F.col("lang")], "license")
+    return read(spark, sf_dir, "documents").filter(found).select("doc_id", "source")
+
+
+@query("latest_per_key", "SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")
+def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
+    return listing.latest(e, ["user_id"], "event_id")
+
+
+@query("newest_is_failure", "SELECT user_id, event_id FROM events e WHERE event_type = 'error' AND event_id = (SELECT max(event_id) FROM events x WHERE x.user_id = e.user_id) ORDER BY event_id DESC LIMIT 1000")
+def newest_is_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    newest = listing.latest(e, ["user_id"], "event_id").filter("event_type = 'error'")
+    return newest.select("user_id", "event_id").orderBy(F.desc("event_id")).limit(1000)
+
+
+LOCAL_DAY, ZONE = "2024-01-10", "Asia/Shanghai"
+
+
+def _local_day(events: DataFrame) -> DataFrame:
+    start, end = dates.local_day_bounds(LOCAL_DAY, ZONE)
+    ts = F.col("ts").cast("timestamp")
+    return events.filter((ts >= start) & (ts < end))
+
+
+_DAY_SQL = "ts >= TIMESTAMP '2024-01-09 16:00:00' AND ts < TIMESTAMP '2024-01-10 16:00:00'"
+
+
+@query("daily_delta_local_day", f"SELECT event_type, count(*) AS n FROM events WHERE {_DAY_SQL} GROUP BY 1")
+def daily_delta_local_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _local_day(read(spark, sf_dir, "events")).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query(
+    "daily_new_and_updated",
+    f"""WITH d AS (SELECT * FROM events WHERE {_DAY_SQL}), new AS (SELECT DISTINCT user_id FROM d WHERE event_type = 'signup')
+    SELECT 'new' AS section, count(*) AS n FROM new UNION ALL
+    SELECT 'updated', count(*) FROM (SELECT DISTINCT user_id FROM d WHERE event_type = 'view' AND user_id NOT IN (SELECT user_id FROM new))""",
+)
+def daily_new_and_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new, updated = report.split_day(_local_day(read(spark, sf_dir, "events")), "user_id", "signup", "view")
+    count = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("section"), "n")
+    return count(new, "new").unionByName(count(updated, "updated"))
+
+
+@query("upcoming_window", "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1997-03-01' AND DATE '1997-03-08'")
+def upcoming_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders")
+    # on the column as stored, so that the bounds reach the scan
+    found = o.filter((F.col("o_orderdate") >= F.lit("1997-03-01").cast("timestamp_ntz")) & (F.col("o_orderdate") < F.lit("1997-03-09").cast("timestamp_ntz")))
+    return found.select("o_orderkey", F.col("o_orderdate").cast("date").cast("string").alias("day"))
+
+
+@query("expire_before", "SELECT CASE WHEN o_orderstatus = 'O' AND CAST(o_orderdate AS DATE) < DATE '1997-01-01' THEN 'expired' ELSE o_orderstatus END AS status, count(*) AS n FROM orders GROUP BY 1")
+def expire_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders").select(F.when(F.col("o_orderstatus") == "O", "open").otherwise(F.col("o_orderstatus")).alias("status"), F.col("o_orderdate").cast("date").alias("deadline_date"), F.lit(None).cast("timestamp").alias("updated_at"))
+    day = F.lit("1997-01-01").cast("date")
+    done = changes.expire(o, day, day.cast("timestamp"))
+    return done.groupBy(F.when(F.col("status") == "open", "O").otherwise(F.col("status")).alias("status")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "top_source_concentration",
+    """WITH n AS (SELECT lang, coalesce(source, 'unknown') AS top_key, count(*) AS n FROM documents GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, top_key) AS r, sum(n) OVER (PARTITION BY lang) AS total FROM n)
+    SELECT lang, top_key, n AS top_count, total::BIGINT AS total, round(n / total, 4) AS share,
+      CASE WHEN round(n / total, 4) >= 0.5 THEN 'high' WHEN round(n / total, 4) >= 0.3 THEN 'watch' ELSE 'balanced' END AS risk FROM r WHERE r = 1""",
+)
+def top_source_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing.concentration(read(spark, sf_dir, "documents"), ["lang"], "source")
+
+
+@query(
+    "field_completeness",
+    """WITH d AS (SELECT lang, quality, text FROM documents LEFT JOIN labels USING (doc_id))
+    SELECT lang, 'label' AS field, count(*) AS total, count(quality) AS complete, round(count(quality) / count(*), 4) AS share FROM d GROUP BY lang UNION ALL
+    SELECT lang, 'text', count(*), count(*) FILTER (trim(text) <> ''), round(count(*) FILTER (trim(text) <> '') / count(*), 4) FROM d GROUP BY lang""",
+)
+def field_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id", "left")
+    return listing.completeness(d, ["lang"], {"label": F.col("quality").isNotNull(), "text": F.trim("text") != ""})
+
+
+@query("missing_health", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+def missing_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id").join(read(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
+@query("content_fingerprint_dups", r"SELECT fingerprint, count(*) AS n, min(doc_id) AS first_doc FROM (SELECT doc_id, sha256(trim(regexp_replace(coalesce(text, ''), '[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g'))) AS fingerprint FROM documents) GROUP BY 1 HAVING count(*) > 1")
+def content_fingerprint_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "documents").select("doc_id", text.stable_hash(F.col("text")).alias("fingerprint"))
+    return d.groupBy("fingerprint").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).filter("n > 1")
+
+
+@query(
+    "alias_contains_join",
+    """SELECT doc_id, item_id, alias FROM (SELECT d.doc_id, b.item_id, b.alias, row_number() OVER (PARTITION BY d.doc_id ORDER BY length(b.alias) DESC, b.item_id) AS r
+    FROM documents d JOIN (SELECT item_id, left(text, 60) AS alias FROM benchmark) b ON contains(d.text, b.alias)) WHERE r = 1""",
+)
+def alias_contains_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aliases = read(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 60).alias("alias"))
+    return listing.longest_containing(read(spark, sf_dir, "documents").select("doc_id", "text"), "text", aliases, "alias", ["doc_id"], "item_id")
+
+
+@query(
+    "url_normalise",
+    r"""WITH p AS (SELECT page_id, split_part(url, '#', 1) AS u FROM pages), s AS (SELECT page_id, lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme,
+      lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1)) AS host, regexp_replace(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)', 1), '/{2,}', '/', 'g') AS path,
+      array_to_string(list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'), lambda k: k <> '' AND NOT regexp_matches(lower(k), '^(utm_|spm|from)')), '&') AS q FROM p)
+    SELECT page_id, scheme || '://' || host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN q = '' THEN '' ELSE '?' || q END AS url FROM s""",
+)
+def url_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").select("page_id", urls.normalize(F.col("url")).alias("url"))
+
+
+@query("host_allowlist", "SELECT lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS host, count(*) AS n FROM pages GROUP BY 1 HAVING host LIKE '%.example.com'")
+def host_allowlist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hosts = read(spark, sf_dir, "pages").select(urls.host(F.col("url")).alias("host"))
+    return hosts.filter(F.col("host").endswith(".example.com")).groupBy("host").agg(F.count("*").alias("n"))
+
+
+@query("json_payload_counts", "SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1")
+def json_payload_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("long")
+    return read(spark, sf_dir, "events").groupBy(k.alias("k")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "dense_role_grid",
+    """SELECT r_name, p.o_orderpriority, coalesce(n, 0) AS n FROM region CROSS JOIN (SELECT DISTINCT o_orderpriority FROM orders) p LEFT JOIN
+    (SELECT r_name, o_orderpriority, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+     WHERE o_totalprice > 300000 GROUP BY 1, 2) f USING (r_name, o_orderpriority)""",
+)
+def dense_role_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lambda n: read(spark, sf_dir, n)
+    o = t("orders").select("o_custkey", "o_orderpriority", "o_totalprice")
+    places = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
+    large = o.filter("o_totalprice > 300000").join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(places, F.col("c_nationkey") == F.col("n_nationkey"))
+    facts = large.groupBy("r_name", "o_orderpriority").agg(F.count("*").alias("n"))
+    grid = listing.dense_grid(t("region").select("r_name"), o.select("o_orderpriority").distinct(), facts, ["r_name", "o_orderpriority"])
+    return grid.select("r_name", "o_orderpriority", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("snapshot_trend", "SELECT CAST(day AS VARCHAR) AS day, n, coalesce(n - lag(n) OVER (ORDER BY day), 0)::BIGINT AS change FROM (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1)")
+def snapshot_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    daily = read(spark, sf_dir, "events").groupBy(F.col("ts").cast("date").alias("day")).agg(F.count("*").alias("n"))
+    found = coverage.trend(daily, "day", "n")
+    return found.select(F.col("day").cast("string").alias("day"), "n", F.coalesce("change", F.lit(0)).alias("change"))
+
+
+@query(
+    "cohort_simulation",
+    """WITH p AS (SELECT * FROM (VALUES ('a', 40, 2), ('b', 14, 1), ('c', 6, 3)) t(profile, members, least)), m AS (SELECT o_orderkey, o_totalprice, CAST(left(o_orderpriority, 1) AS INT) AS r FROM orders)
+    SELECT profile, members::BIGINT AS members, count(*) FILTER (r <= least) AS explicit, count(*) FILTER (r > least AND o_totalprice > 200000) AS review, (members * count(*) FILTER (r <= least))::BIGINT AS weighted FROM p CROSS JOIN m GROUP BY profile, members""",
+)
+def cohort_simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cohort.simulate(
+        read(spark, sf_dir, "orders").select(F.substring("o_orderpriority", 1, 1).cast("int").alias("r"), "o_totalprice"),
+        {"a": 40, "b": 14, "c": 6}, {"a": F.col("r") <= 2, "b": F.col("r") <= 1, "c": F.col("r") <= 3}, F.col("o_totalprice") > 200000,
+    )
+
+
+@query(
+    "change_detection",
+    """SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN o_orderkey % 10 = 0 THEN 'created' WHEN o_orderkey % 7 = 0 THEN 'updated' ELSE 'unchanged' END AS outcome FROM orders) GROUP BY 1""",
+)
+def change_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders")
+    content = lambda price: text.stable_hash(F.col("o_orderstatus"), price.cast("string"))
+    stamp = F.lit("2020-01-01").cast("timestamp")
+    state = o.filter("o_orderkey % 10 <> 0").select("o_orderkey", content(F.col("o_totalprice")).alias("content_hash"), "o_orderpriority", stamp.alias("first_seen_at"), stamp.alias("last_seen_at"), stamp.alias("updated_at"))
+    batch = o.select("o_orderkey", content(F.col("o_totalprice") + F.when(F.col("o_orderkey") % 7 == 0, 1).otherwise(0)).alias("content_hash"), "o_orderpriority")
+    result, _ = changes.detect(state, batch, "o_orderkey", "content_hash", ["o_orderpriority"], F.lit("2020-02-01").cast("timestamp"))
+    return result.groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@query(
+    "audit_issues",
+    """SELECT 'empty_description' AS code, doc_id FROM documents WHERE text IS NULL OR trim(text) = '' UNION ALL
+    SELECT 'unknown_record', l.doc_id FROM labels l WHERE l.doc_id NOT IN (SELECT doc_id FROM documents) UNION ALL
+    SELECT 'below_threshold', doc_id FROM labels WHERE quality < 1 UNION ALL SELECT 'forbidden_text', doc_id FROM documents WHERE contains(text, 'license')""",
+)
+def audit_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    empty, forbidden = audit.rule("empty_description", F.coalesce(F.trim("text") == "", F.lit(True))), audit.rule("forbidden_text", F.contains("text", F.lit("license")))
+    return audit.issues(
+        [(d, [empty, forbidden], "doc_id"), (labels, [audit.rule("below_threshold", F.col("quality") < 1)], "doc_id"), (labels.join(d.select("doc_id"), "doc_id", "left_anti"), [audit.rule("unknown_record", F.lit(True))], "doc_id")]
+    )
+
+
+@query("coverage_gate", "SELECT count(*) >= 100 AS enough, avg(quality) >= 0.5 AS good, coalesce(bool_and(toxic IN (0, 1)), false) AS valid, count(*) >= 100 AND avg(quality) >= 0.5 AND coalesce(bool_and(toxic IN (0, 1)), false) AS passed FROM labels")
+def coverage_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checks = {"enough": F.count("*") >= 100, "good": F.avg("quality") >= 0.5, "valid": F.bool_and(F.col("toxic").isin(0, 1))}
+    return coverage.gate(read(spark, sf_dir, "labels"), checks)
+
+
+@query("title_extraction", "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages")
+def title_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+
+
+@query("link_extraction", """SELECT page_id, i::BIGINT AS position, hrefs[i] AS href FROM (SELECT page_id, hrefs, unnest(range(1, len(hrefs) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1) AS hrefs FROM pages))""")
+def link_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.links(read(spark, sf_dir, "pages"), "page_id", "html")
+
+
+@query(
+    "registry_union_dups",
+    "SELECT name, count(*) AS n FROM (SELECT s_name AS name FROM supplier UNION ALL SELECT c_name FROM customer UNION ALL SELECT s_name FROM supplier WHERE s_suppkey <= 5) GROUP BY 1 HAVING count(*) > 1",
+)
+def registry_union_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, c = read(spark, sf_dir, "supplier"), read(spark, sf_dir, "customer")
+    every = [s.select(F.col("s_name").alias("name")), c.select(F.col("c_name").alias("name")), s.filter("s_suppkey <= 5").select(F.col("s_name").alias("name"))]
+    return registries.duplicates(every, "name")
+
+
+@query(
+    "taxonomy_cascade",
+    """SELECT c_custkey, CASE WHEN contains(c_mktsegment, 'AUTO') OR contains(c_mktsegment, 'MACH') THEN 'industry' WHEN contains(c_mktsegment, 'BUILD') THEN 'building' ELSE 'other' END AS category,
+    CASE WHEN contains(r_name, 'AMERICA') THEN 'west' WHEN contains(r_name, 'ASIA') THEN 'east' ELSE r_name END AS place FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
+)
+def taxonomy_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    places = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
+    c = read(spark, sf_dir, "customer").join(places, F.col("c_nationkey") == F.col("n_nationkey"))
+    category = rules.first_match(F.col("c_mktsegment"), (("industry", ("AUTO", "MACH")), ("building", ("BUILD",))), F.lit("other"))
+    return c.select("c_custkey", category.alias("category"), rules.first_match(F.col("r_name"), (("west", ("AMERICA",)), ("east", ("ASIA",))), F.col("r_name")).alias("place"))
+
+
+@query(
+    "degree_rank_match",
+    """SELECT c_mktsegment, count(*) FILTER (least <= 2) AS explicit, count(*) FILTER (least > 2) AS review FROM (SELECT c_custkey, c_mktsegment, min(CAST(left(o_orderpriority, 1) AS INT)) AS least
+    FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2) GROUP BY 1""",
+)
+def degree_rank_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min(F.substring("o_orderpriority", 1, 1).cast("int")).alias("least"))
+    c = read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment").join(o, F.col("c_custkey") == F.col("o_custkey"))
+    return c.groupBy("c_mktsegment").agg(F.count_if(F.col("least") <= 2).alias("explicit"), F.count_if(F.col("least") > 2).alias("review"))
+
+
+@query(
+    "deadline_extraction",
+    """SELECT * FROM (VALUES (1, '2026-10-08'), (2, '2026-10-15'), (3, '2026-10-15'), (4, '2026-09-16'), (5, '2026-11-17'), (6, '2026-12-31'), (7, NULL), (8, NULL)) t(id, deadline)""",
+)
+def deadline_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [
+        (1, "报名截止时间为2026年10月8日"), (2, "2026.9.1-2026.10.15"), (3, "报名截止 2 0 2 6 年 1 0 月 1 5 日"), (4, "2026年9月10日 08:00 至 9月16日 18:00"),
+        (5, "失效日期：2026-11-17"), (6, "Application deadline: December 31, 2026"), (7, "截止时间2026年13月40日"), (8, None),
+    ]
+    return spark.createDataFrame(rows, "id int, text string").select("id", dates.deadline(F.col("text")).cast("string").alias("deadline"))
