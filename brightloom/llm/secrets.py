@@ -80,7 +80,15 @@ def window_entropy(candidate: Column, window: int) -> Column:
     One window passes into the next by the counts of the two characters that leave and enter:
     with S the sum of c*log2(c) over the counts, the entropy is log2(w) - S/w.
     """
-    chars = F.split(candidate, "")
+    return _bound(F.split(candidate, ""), lambda chars: _window_entropy(chars, window))
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value) with the value computed once: a lambda variable, where a plain column would be computed at each mention."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _window_entropy(chars: Column, window: int) -> Column:
     first = F.slice(chars, 1, window)
     total = F.aggregate(
         F.array_distinct(first), F.lit(0.0), lambda s, c: s + _weight(F.size(first) - F.size(F.array_remove(first, c)))
