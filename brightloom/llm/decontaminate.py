@@ -96,7 +96,7 @@ class TestIndex:
         table = np.zeros((len(rows), window), ">u4")
         for i, r in enumerate(rows):
             table[i, : len(r)] = r
-        self.low = _keys(table)
+        self.low = _keys(table.copy())
         table[np.arange(window) >= self.lengths[:, None]] = 0xFFFFFFFF
         self.high = _keys(table)
 
