@@ -45,6 +45,7 @@ BOILERPLATE = frozenset(
     "newsletter subscribe signup login nav navbar navigation menu breadcrumb breadcrumbs sidebar rail widget widgets header masthead topbar footer copyright "
     "comment comments commentlist disqus respond reply replies share sharing social related recommended pagination pager toolbar search".split()
 )
+LAYOUT = frozenset("has with without no is".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 
@@ -66,11 +67,17 @@ def _is_boilerplate(tag: str, attributes: str) -> bool:
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-        if name == "role" and value in ROLES or name in ("class", "id") and not BOILERPLATE.isdisjoint(re.split(r"[^a-z]+", value)):
+        if name == "role" and value in ROLES or name in ("class", "id") and any(map(_names_boilerplate, value.split())):
             return True
     return False
 
 
+def _names_boilerplate(name: str) -> bool:
+    """A class or id with a telling word, unless it says that something has or lacks it, as has-sidebar does."""
+    words = re.split(r"[^a-z]+", name)
+    return words[0] not in LAYOUT and not BOILERPLATE.isdisjoint(words)
+
+
 def _tree(page: str) -> _Node:
     """The page's tree; strings are decoded text, and a lone newline stands for each line break."""
     root = node = _Node("body", None)

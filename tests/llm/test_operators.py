@@ -257,7 +257,7 @@ def test_apportionment_is_sainte_lague(spark):
 
 PAGES = {
     "<html><head><title>T &amp; t</title><script>x('</p>')</script></head><body><nav><a href=/>Home</a></nav><div class='side-bar sidebar'><a href=x>l</a> links</div><article><h1>A &lt;b&gt;</h1><p><b>One&nbsp;two\n three<br><p>Four <a href=u>five</a> six and some more of the words of this long paragraph.</p><form><input value=1>Name</form><ul><li>x1 is one item of the list<li>x2</ul></article><div id=comments>First!</div><footer>F</footer></body></html>": "A <b>\n\nOne two three\n\nFour five six and some more of the words of this long paragraph.\n\nx1 is one item of the list\n\nx2",
-    "<div class=ad>Buy</div><div class=content><p>This is the whole text of a page without an article, long enough to count.</p><p>And this is its second paragraph, which is also long enough.</p></div><div class='cookie-notice'>We use cookies</div>": "This is the whole text of a page without an article, long enough to count.\n\nAnd this is its second paragraph, which is also long enough.",
+    "<div class=ad>Buy</div><div class='content has-sidebar'><p>This is the whole text of a page without an article, long enough to count.</p><p>And this is its second paragraph, which is also long enough.</p></div><div class='cookie-notice'>We use cookies</div>": "This is the whole text of a page without an article, long enough to count.\n\nAnd this is its second paragraph, which is also long enough.",
     "": "", "   ": "", "<p": "<p", "<!-- <p>no</p>": "", "plain text only": "plain text only", "</div></p>stray end": "stray end",
 }
 
