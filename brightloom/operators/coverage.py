@@ -48,3 +48,90 @@ def health_status(code: Column, text: Column, keeps_path: Column, soft_missing:
         F.when(code.isin(401, 403, 412, 429), "source_blocked").when(code == 404, "source_degraded").when((code < 200) | (code >= 400) | code.isNull(), "source_error")
         .when(text.rlike(soft_missing), "source_degraded").when(~F.coalesce(keeps_path, F.lit(True)), "source_degraded").otherwise("source_active")
     )
+
+
+def location_quality(jobs: DataFrame) -> DataFrame:
+    """One row: jobs, with a raw location, with a normal region, with a province, elsewhere only."""
+    given = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
+    return jobs.agg(
+        F.count("*").alias("total"), F.count_if(given("location")).alias("raw_location"), F.count_if(given("province") | given("country_or_region")).alias("normalized_region"),
+        F.count_if(given("province")).alias("province_known"), F.count_if(given("country_or_region") & ~given("province")).alias("elsewhere"),
+    )
+
+
+#: Fixed value: phrases of postings without an end.
+OPEN_ENDED = r"(?i)open\s+until\s+filled|rolling\s+basis|ongoing|招满即止|长期招聘|长期有效"
+
+
+def deadline_quality(jobs: DataFrame, sources: DataFrame) -> DataFrame:
+    """One row: jobs with an explicit deadline, with a source policy or open-ended words, and with neither.
+
+    sources: source_id and deadline_policy, one row each.
+    """
+    policies = sources.select("source_id", F.col("deadline_policy").alias("__policy"))
+    given = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
+    words = F.concat_ws(" ", "summary", "description")
+    kind = F.when(given(F.col("deadline_date").cast("string")), "explicit").when(given("__policy") | words.rlike(OPEN_ENDED), "policy").otherwise("unstated")
+    kinds = jobs.join(policies, "source_id", "left").select(kind.alias("kind"))
+    return kinds.agg(F.count("*").alias("total"), *[F.count_if(F.col("kind") == k).alias(k) for k in ("explicit", "policy", "unstated")])
+
+
+def source_scans(sources: DataFrame, health: DataFrame, latest_runs: DataFrame) -> DataFrame:
+    """Per source: enabled, healthy (null if never checked), usable (healthy and its latest run finished) and matches.
+
+    sources: source_id, province, enabled; health: source_id, status; latest_runs: source_id, status, open_matching_count.
+    """
+    h = health.select("source_id", F.col("status").alias("__health"))
+    r = latest_runs.select("source_id", F.col("status").alias("__run"), F.col("open_matching_count").alias("__matches"))
+    s = sources.join(h, "source_id", "left").join(r, "source_id", "left")
+    healthy = F.col("__health") == "source_active"
+    usable = F.coalesce(healthy & (F.col("__run") == "finished"), F.lit(False))
+    return s.select("source_id", "province", "enabled", healthy.alias("healthy"), usable.alias("usable"), F.when(usable, F.coalesce("__matches", F.lit(0))).alias("matches"))
+
+
+#: What a province's numbers may be said to show, in order; the first that holds is given. Absence is proof only in one case.
+LADDER = (
+    ("no_source", "registered = 0"),
+    ("matches", "with_matches > 0"),
+    ("source_unhealthy", "unhealthy > 0"),
+    ("scan_missing", "unready > 0"),
+    ("roles_unverified", "NOT roles_verified"),
+    ("role_scan_missing", "roles_unscanned > 0"),
+    ("jobs_from_elsewhere", "jobs > 0"),
+    ("fallback_matches", "fallback_matches > 0"),
+    ("no_match_verified", "no_match_is_verified"),
+    ("no_match_in_scanned", "without_matches > 0"),
+)
+
+
+def province_coverage(provinces: DataFrame, scans: DataFrame, targets: DataFrame, jobs: DataFrame, fallbacks: DataFrame, roles: tuple[str, ...]) -> DataFrame:
+    """One row for every province of the dimension, whether or not anything is known of it.
+
+    scans: of source_scans; targets: province, role, state, source_id; jobs: province of each open job;
+    fallbacks: province, source_id of national sources that stand in.
+    """
+    on = F.col("enabled")
+    local = scans.groupBy("province").agg(
+        F.count("*").alias("registered"), F.count_if(on).alias("enabled_sources"), F.count_if(on & (F.col("matches") > 0)).alias("with_matches"),
+        F.count_if(on & (F.col("matches") == 0)).alias("without_matches"), F.count_if(on & ~F.col("usable")).alias("unready"), F.count_if(on & ~F.col("healthy")).alias("unhealthy"),
+    )
+    ready = scans.select(F.col("source_id").alias("__id"), F.col("usable").alias("__usable"))
+    wanted = targets.filter(F.col("role").isin(*roles) & (F.col("state") == "verified") & F.col("source_id").isNotNull())
+    bound = wanted.join(ready, F.col("source_id") == F.col("__id"), "left").groupBy("province").agg(
+        F.count_distinct("role").alias("verified_roles"), F.count_if(~F.coalesce("__usable", F.lit(False))).alias("roles_unscanned")
+    )
+    stand_in = fallbacks.join(scans.select("source_id", "matches"), "source_id").groupBy("province").agg(F.count_if(F.col("matches") > 0).alias("fallback_matches"))
+    open_jobs = jobs.groupBy("province").agg(F.count("*").alias("jobs"))
+    p = provinces.select("province")
+    for part in (local, bound, stand_in, open_jobs):
+        p = p.join(part, "province", "left")
+    p = p.na.fill(0)
+    p = p.withColumn("roles_verified", F.col("verified_roles") == len(roles))
+    p = p.withColumn(
+        "no_match_is_verified",
+        no_match_is_verified(F.col("roles_verified"), (F.col("enabled_sources") > 0) & (F.col("unready") == 0), F.col("roles_unscanned") == 0, F.col("with_matches") == 0),
+    )
+    chain = None
+    for name, condition in LADDER:
+        chain = F.when(F.expr(condition), name) if chain is None else chain.when(F.expr(condition), name)
+    return p.withColumn("interpretation", chain.otherwise("not_scanned"))

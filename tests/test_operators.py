@@ -132,3 +132,25 @@ def test_stream_applies_each_batch_once(spark, tmp_path):
     assert {(r.k, r.content) for r in target.read(spark, STATE).collect()} == {("a", "2"), ("b", "1")}
     run()
     assert target.read(spark, STATE).count() == 2
+
+
+def test_province_ladder(spark):
+    roles = ("a", "b")
+    sources = spark.createDataFrame([(f"{p}{r}", p, True) for p in "PQRS" for r in roles] + [("N", None, True)], "source_id string, province string, enabled boolean")
+    health = spark.createDataFrame([(f"{p}{r}", "source_active") for p in "PQS" for r in roles] + [("Ra", "source_error"), ("N", "source_active")], "source_id string, status string")
+    runs = spark.createDataFrame([(f"{p}{r}", "finished", 2 if p == "Q" and r == "a" else 0) for p in "PQRS" for r in roles], "source_id string, status string, open_matching_count int")
+    targets = spark.createDataFrame([(p, r, "verified", f"{p}{r}") for p in "PQR" for r in roles] + [("S", "a", "verified", "Sa")], "province string, role string, state string, source_id string")
+    provinces = spark.createDataFrame([(p,) for p in "PQRST"], "province string")
+    scans = coverage.source_scans(sources, health, runs)
+    nothing = spark.createDataFrame([], "province string")
+    rows = coverage.province_coverage(provinces, scans, targets, nothing, spark.createDataFrame([], "province string, source_id string"), roles).collect()
+    assert {r.province: r.interpretation for r in rows} == {"P": "no_match_verified", "Q": "matches", "R": "source_unhealthy", "S": "roles_unverified", "T": "no_source"}
+    assert [r.province for r in rows if r.no_match_is_verified] == ["P"]
+
+
+def test_quality_counts(spark):
+    schema = "source_id string, location string, province string, country_or_region string, deadline_date string, summary string, description string"
+    jobs = spark.createDataFrame([("s", "x", "p", None, "2026-01-01", None, None), ("s", " ", None, "c", None, "Open until filled", None), ("t", None, None, None, None, None, None), ("u", None, None, None, None, None, None)], schema)
+    assert tuple(coverage.location_quality(jobs).first()) == (4, 1, 2, 1, 1)
+    policies = spark.createDataFrame([("t", "rolling")], "source_id string, deadline_policy string")
+    assert tuple(coverage.deadline_quality(jobs, policies).first()) == (4, 1, 2, 1)
