@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brightloom.functions import dates, rules, scoring, text, urls
-from brightloom.operators import audit, changes, cohort, coverage, listing, report
+from brightloom.operators import audit, changes, cohort, coverage, listing, normalise, report
 from brightloom.sources import html, registries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -322,3 +322,79 @@ def deadline_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
         (5, "失效日期：2026-11-17"), (6, "Application deadline: December 31, 2026"), (7, "截止时间2026年13月40日"), (8, None),
     ]
     return spark.createDataFrame(rows, "id int, text string").select("id", dates.deadline(F.col("text")).cast("string").alias("deadline"))
+
+
+@query(
+    "keyed_upsert",
+    """SELECT coalesce(n.k, o.k) AS k, CASE WHEN n.k IS NOT NULL THEN n.v ELSE o.v END AS v, coalesce(o.made, n.made) AS made FROM
+    (SELECT s_suppkey AS k, s_name AS v, 1 AS made FROM supplier WHERE s_suppkey % 3 <> 0) o FULL JOIN (SELECT s_suppkey AS k, s_name || '*' AS v, 2 AS made FROM supplier WHERE s_suppkey % 2 = 0) n USING (k)""",
+)
+def keyed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("v"))
+    old, new = s.filter("k % 3 <> 0").withColumn("made", F.lit(1)), s.filter("k % 2 = 0").withColumns({"v": F.concat("v", F.lit("*")), "made": F.lit(2)})
+    return changes.upsert(old, new, "k", ["made"])
+
+
+@query("frozen_insert", "SELECT day, max(n) AS n FROM (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n FROM events GROUP BY 1) GROUP BY day")
+def frozen_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    daily = read(spark, sf_dir, "events").groupBy(F.col("ts").cast("date").cast("string").alias("day")).agg(F.count("*").alias("n"))
+    again = daily.withColumn("n", F.col("n") - 1)
+    return changes.insert_absent(daily.filter("substr(day, 10, 1) <> '5'"), daily.filter("substr(day, 10, 1) = '5'").unionByName(again.filter("substr(day, 10, 1) <> '5'")), "day")
+
+
+@query("cascade_delete", "SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F') GROUP BY 1")
+def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus")
+    _, lines = changes.delete_cascade(o, read(spark, sf_dir, "lineitem").select("l_orderkey"), "l_orderkey", F.col("o_orderstatus") == "F")
+    return lines.groupBy("l_orderkey").agg(F.count("*").alias("n"))
+
+
+@query(
+    "reclassified_events",
+    """SELECT c_custkey, 'reclassified' AS event_type FROM customer WHERE c_mktsegment = 'BUILDING' OR c_acctbal < 0""",
+)
+def reclassified_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("category"), F.when(F.col("c_acctbal") < 0, F.lit(None)).otherwise(1).alias("score"))
+    after = before.withColumns({"category": F.when(F.col("category") == "BUILDING", "HOUSE").otherwise(F.col("category")), "score": F.lit(1)})
+    return changes.reclassified(before, after, "c_custkey", ["category", "score"], F.lit("2026-01-01").cast("timestamp")).select("c_custkey", "event_type")
+
+
+@query(
+    "profile_page",
+    """SELECT o_orderkey AS id, priority, relevance_score FROM (SELECT o_orderkey, CAST(o_totalprice / 10000 AS INT) AS relevance_score, CAST(o_orderdate AS DATE) AS d,
+      CASE WHEN o_orderstatus = 'O' THEN 3 WHEN o_orderstatus = 'P' THEN 2 ELSE 0 END AS priority FROM orders) WHERE priority > 0 ORDER BY priority DESC, relevance_score DESC, d, id LIMIT 25""",
+)
+def profile_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), F.round(F.col("o_totalprice") / 10000).cast("int").alias("relevance_score"), F.col("o_orderdate").cast("date").alias("deadline_date"), F.lit(None).cast("string").alias("updated_at"), "o_orderstatus"
+    )
+    level = F.when(F.col("o_orderstatus") == "O", "explicit").when(F.col("o_orderstatus") == "P", "review").otherwise("not_recommended")
+    priority = F.when(level == "explicit", 3).when(level == "review", 2).otherwise(0)
+    return normalise.profile_page(o, level, priority, 1, 25).select("id", "priority", "relevance_score")
+
+
+@query(
+    "shared_urls",
+    """SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1 AND NOT bool_and(l_returnflag = 'N')""",
+)
+def shared_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = read(spark, sf_dir, "lineitem").select("l_partkey", (F.col("l_returnflag") == "N").alias("allowed"))
+    return audit.shared_urls(lines, "l_partkey", "allowed")
+
+
+@query("report_order", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderdate NULLS FIRST, o_orderkey LIMIT 6")
+def report_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderdate")
+    return o.orderBy(*report.order(("o_totalprice", "o_orderdate", "o_orderkey"))).limit(6).select("o_orderkey")
+
+
+@query(
+    "day_report_stats",
+    f"""WITH d AS (SELECT * FROM events WHERE {_DAY_SQL}), new AS (SELECT DISTINCT user_id FROM d WHERE event_type = 'signup'), up AS (SELECT DISTINCT user_id FROM d WHERE event_type = 'view' AND user_id NOT IN (SELECT user_id FROM new))
+    SELECT (SELECT count(*) FROM new) AS new_jobs, (SELECT count(*) FROM up) AS updated_jobs, (SELECT count(*) FROM orders WHERE o_orderstatus = 'O' AND CAST(o_orderdate AS DATE) BETWEEN DATE '1997-03-01' AND DATE '1997-03-08') AS upcoming_deadlines,
+      (SELECT count(*) FROM orders WHERE o_orderstatus = 'O') AS open_jobs""",
+)
+def day_report_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new, updated = report.split_day(_local_day(read(spark, sf_dir, "events")), "user_id", "signup", "view")
+    o = read(spark, sf_dir, "orders").select(F.when(F.col("o_orderstatus") == "O", "open").alias("status"), F.col("o_orderdate").cast("date").alias("deadline_date"))
+    return report.stats(new, updated, report.upcoming(o, F.lit("1997-03-01").cast("date")), o.filter("status = 'open'"))
