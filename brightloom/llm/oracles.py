@@ -1,5 +1,6 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from . import secrets
 from .quality import STOP_FORMS
 
 SQL: dict[str, str] = {}
@@ -41,3 +42,45 @@ SELECT p.doc_id, len(a)::BIGINT AS n_lines, coalesce(len(g), 0)::BIGINT AS n_rem
   CASE WHEN g IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(1, len(p.l) + 1), lambda i: NOT list_contains(g, i)), lambda i: p.l[i]), chr(10)) END AS text
 FROM places p JOIN ls USING (doc_id) LEFT JOIN gone ON gone.doc_id = p.doc_id
 """
+
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+SQL["op6_decontaminate"] = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce({_LOWERED}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(coalesce({_LOWERED}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+spans AS (SELECT item_id, w, least(len(w), 10) AS k, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0),
+wins AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i+k-1], ' ') AS s FROM spans),
+places AS (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d CROSS JOIN (SELECT DISTINCT k FROM wins) WHERE len(w) >= k),
+hits AS (SELECT doc_id, i, k, s FROM (SELECT doc_id, i, k, array_to_string(w[i:i+k-1], ' ') AS s FROM places) WHERE s IN (SELECT s FROM wins)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hits) GROUP BY 1),
+items AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS ids FROM hits JOIN wins USING (s, k) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(ids), 0)::BIGINT AS n_items,
+  sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+#: Spans of a pattern: each match starts after the gaps and matches before it.
+_SPANS = """SELECT doc_id, '{kind}' AS kind, {rank} AS rank, m[i] AS s, (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0))::BIGINT AS a
+  FROM (SELECT doc_id, g, m, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, $re${pattern}$re$) AS m, regexp_split_to_array(text, $re${pattern}$re$) AS g FROM docs))"""
+
+
+def _secret_sql() -> str:
+    kinds = ((secrets.ASSIGN, "assign"), (secrets.ACCESS, "access"), (secrets.HEX, "hex"), (secrets.CANDIDATE, "entropy"))
+    found = " UNION ALL ".join(_SPANS.format(kind=k, rank=i, pattern=p) for i, (p, k) in enumerate(kinds))
+    belongs = lambda c: " AND ".join(f"regexp_matches(s, $re${p}$re$)" for p in c.patterns)
+    window = "list_max(list_transform(range(1, greatest(length(s) - {w}, 0) + 2), lambda i: list_aggregate(string_split(substr(s, i, {w}), ''), 'entropy')))"
+    verdict = " ".join(f"WHEN {belongs(c)} THEN {window.format(w=c.window)} >= {c.bits} - 1e-9" for c in secrets.CLASSES)
+    allowed = " AND ".join(f"NOT regexp_matches(s, $re${p}$re$)" for p in secrets.ALLOW)
+    return f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), raw AS ({found}), spans AS (SELECT *, a + length(s) AS e FROM raw),
+base AS (SELECT * FROM spans WHERE kind IN ('access', 'hex') OR kind = 'assign' AND length(regexp_extract(s, $re${secrets.ASSIGN}$re$, 2)) >= {secrets.ASSIGN_LEAST}),
+more AS (SELECT * FROM spans WHERE kind = 'entropy' AND {allowed} AND CASE {verdict} ELSE false END),
+free AS (SELECT * FROM more m WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = m.doc_id AND m.a < b.e AND b.a < m.e)),
+every AS (SELECT *, kind || ':' || a || ':' || e AS x FROM (SELECT * FROM base UNION ALL SELECT * FROM free)),
+named AS (SELECT doc_id, string_agg(x, ',' ORDER BY a, rank) AS spans, coalesce(string_agg(x, ',' ORDER BY a, rank) FILTER (kind <> 'entropy'), '') AS base,
+  count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, count(*) FILTER (kind = 'entropy') AS n_entropy FROM every GROUP BY 1)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_entropy, 0)::BIGINT AS n_entropy
+FROM docs LEFT JOIN named USING (doc_id)
+"""
+
+
+SQL["op2_secret_scan"] = _secret_sql()
