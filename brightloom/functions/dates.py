@@ -95,3 +95,30 @@ def local_day_bounds(day: str, zone: str) -> tuple[Column, Column]:
 
 def epoch_date(millis: Column) -> Column:
     return F.when(millis > 0, F.to_date(F.timestamp_millis(millis)))
+
+
+def month_day_date(text: Column) -> Column:
+    """The ISO day at the front of a timestamp text, null if there is none."""
+    return F.try_to_date(F.nullif(F.regexp_extract(text, r"^(\d{4}-\d{2}-\d{2})", 1), F.lit("")))
+
+
+def cn_date(day: Column) -> Column:
+    return F.date_format(day, "yyyy年M月d日")
+
+
+def local_date(stamp: Column, zone: str) -> Column:
+    """The local day of a UTC timestamp."""
+    return F.to_date(F.from_utc_timestamp(stamp, zone))
+
+
+def days_left(day: Column, today: Column) -> Column:
+    """struct(state, days): unstated, expired, today or open, with the days from today."""
+    n = F.datediff(day, today)
+    state = F.when(day.isNull(), "unstated").when(n < 0, "expired").when(n == 0, "today").otherwise("open")
+    return F.struct(state.alias("state"), n.alias("days"))
+
+
+def heartbeat(stamp: Column, now: Column, limit_seconds: int) -> Column:
+    """struct(status, age): missing, stale after the limit, or alive; the age in seconds."""
+    age = F.unix_timestamp(now) - F.unix_timestamp(stamp)
+    return F.struct(F.when(stamp.isNull(), "missing").when(age > limit_seconds, "stale").otherwise("alive").alias("status"), age.alias("age"))

@@ -135,3 +135,14 @@ def province_coverage(provinces: DataFrame, scans: DataFrame, targets: DataFrame
     for name, condition in LADDER:
         chain = F.when(F.expr(condition), name) if chain is None else chain.when(F.expr(condition), name)
     return p.withColumn("interpretation", chain.otherwise("not_scanned"))
+
+
+def resilience(sources: DataFrame, backups: DataFrame) -> DataFrame:
+    """One row: enabled sources, those with at least one other enabled source as backup, and the rate to four places.
+
+    sources: source_id, enabled; backups: source_id, backup_id. Backups that aren't registered don't count.
+    """
+    on = sources.filter("enabled").select("source_id")
+    good = backups.filter("backup_id <> source_id").join(on.select(F.col("source_id").alias("backup_id")), "backup_id", "left_semi").select("source_id").distinct()
+    covered = on.join(good.withColumn("__ok", F.lit(1)), "source_id", "left").agg(F.count("*").alias("enabled_sources"), F.count("__ok").alias("with_backup"))
+    return covered.withColumn("rate", F.coalesce(F.round(F.try_divide("with_backup", "enabled_sources"), 4), F.lit(0.0)))

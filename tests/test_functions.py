@@ -101,3 +101,13 @@ def test_labels_and_prefixes(spark):
     assert one(spark, text.label_value(V, "地点", ["学历"]), "地点: 北京 学历: 硕士") == "北京"
     assert one(spark, text.before_earliest(V, ["招聘", "公告"]), "某某研究院公告招聘") == "某某研究院"
     assert one(spark, text.before_earliest(V, ["招聘"]), "院招聘") is None
+
+
+def test_date_formats(spark):
+    day, today = F.to_date(V), F.lit("2026-09-18").cast("date")
+    assert one(spark, dates.cn_date(day), "2026-09-08") == "2026年9月8日"
+    assert [tuple(one(spark, dates.days_left(day, today), d)) for d in ("2026-09-17", "2026-09-18", "2026-09-20", None)] == [("expired", -1), ("today", 0), ("open", 2), ("unstated", None)]
+    assert one(spark, dates.local_date(F.to_timestamp(V), "Asia/Shanghai"), "2026-09-17 16:30:00") == dt.date(2026, 9, 18)
+    now = F.lit("2026-09-18 00:10:00").cast("timestamp")
+    assert [one(spark, dates.heartbeat(F.to_timestamp(V), now, 300), x)["status"] for x in ("2026-09-18 00:09:00", "2026-09-18 00:00:00", None)] == ["alive", "stale", "missing"]
+    assert one(spark, dates.month_day_date(V), "2026-09-18T08:00:00") == dt.date(2026, 9, 18) and one(spark, dates.month_day_date(V), "soon") is None

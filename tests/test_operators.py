@@ -154,3 +154,10 @@ def test_quality_counts(spark):
     assert tuple(coverage.location_quality(jobs).first()) == (4, 1, 2, 1, 1)
     policies = spark.createDataFrame([("t", "rolling")], "source_id string, deadline_policy string")
     assert tuple(coverage.deadline_quality(jobs, policies).first()) == (4, 1, 2, 1)
+
+
+def test_resilience_counts_registered_backups_only(spark):
+    s = spark.createDataFrame([("a", True), ("b", True), ("c", False)], "source_id string, enabled boolean")
+    b = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c"), ("b", "zz"), ("b", "b")], "source_id string, backup_id string")
+    assert tuple(coverage.resilience(s, b).first()) == (2, 1, 0.5)
+    assert tuple(coverage.resilience(s.limit(0), b).first()) == (0, 0, 0.0)
