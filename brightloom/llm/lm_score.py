@@ -6,9 +6,11 @@ A-Z, then one end per text; null text is empty and has its end only. All counts
 Nothing of the model is broadcast but the order-1 counts (at most 65,536 rows). Lookups go by chunks: the
 documents are dealt by hash to chunks of about CHUNK_CHARS characters, each chunk asks once for each of its
 distinct tokens, the answers come back by chunk, and every document is scored beside its chunk's own
-dictionary. A frequent token is thus one row per chunk, not one per occurrence. Likewise the distinct tokens
-are dealt to chunks that ask once for each distinct gram. Gram counts are grouped by the last two bytes of
-context, inside which a trie is complete. Rows are scored one by one, repeated or not.
+dictionary. A frequent token is thus one row per chunk, not one per occurrence. Likewise each chunk counts the
+grams of its whole texts, whose contexts cross word borders, before anything is shuffled, and asks once for each
+distinct gram. Grams are grouped by the last two bytes of context, inside which a trie is complete; the four
+bytes left of each travel packed, one row per chunk and group, and pass by one at a time. Rows are scored one by
+one, repeated or not. With whole_texts=False contexts end at the word and each distinct token is coded once.
 """
 
 from __future__ import annotations
@@ -25,8 +27,11 @@ from pyspark.sql import types as T
 from . import ppm
 from .common import ascii_lower, stored
 
+_TWO = np.uint64(8 * (ppm.ORDER - 1))
 CHUNK_CHARS = 16_000_000
 CHUNK_TOKENS = 250_000
+BATCH_CHARS = 4_000_000
+MERGE_GRAMS = 4_000_000
 
 
 def held_out(id_col: Column) -> Column:
@@ -37,17 +42,117 @@ def _tokens(text: str | None) -> list[str]:
     return [w.decode("utf-8", "surrogatepass") for w in (text or "").encode("utf-8", "surrogatepass").split()] + [""]
 
 
+def _counted_tokens(frame: pd.DataFrame) -> pd.DataFrame:
+    counts: dict[str, int] = {}
+    for text, out in zip(frame["text"], frame["held_out"], strict=True):
+        for t in _tokens(text):
+            counts[t] = counts.get(t, 0) + (not out)
+    return pd.DataFrame({"chunk": frame["chunk"].iat[0], "token": list(counts), "n": list(counts.values())})
+
+
 def _chunk_tokens(rows: DataFrame) -> DataFrame:
     """(chunk, token, n): the distinct tokens of every chunk with their occurrences in training rows."""
+    return rows.groupBy("chunk").applyInPandas(_counted_tokens, "chunk int, token string, n bigint")
+
+
+def _text_batches(texts: list[str | None]) -> Iterator[slice]:
+    """Slices of about BATCH_CHARS characters."""
+    begin, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size >= BATCH_CHARS or i + 1 == len(texts):
+            yield slice(begin, i + 1)
+            begin, size = i + 1, 0
+
+
+def _counted_grams(texts: list[str | None], out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct grams of all texts in order, with their occurrences in training texts."""
+    found = []
+    for part in _text_batches(texts):
+        grams, begin = ppm.text_grams(texts[part])
+        apart = np.repeat(out[part], np.diff(begin))
+        train, seen = ppm.distinct(grams[~apart]), ppm.distinct(grams[apart])
+        found += [train, (seen[0], np.zeros_like(seen[1]))]
+    return ppm.summed(*map(np.concatenate, zip(*found, strict=True)))
+
+
+def _chunk_tokens_and_grams(rows: DataFrame) -> DataFrame:
+    """(chunk, token, n, two, grams, counts): rows of tokens, where two is -1, and of grams by their last two bytes of context."""
 
     def of(frame: pd.DataFrame) -> pd.DataFrame:
-        counts: dict[str, int] = {}
-        for text, out in zip(frame["text"], frame["held_out"], strict=True):
-            for t in _tokens(text):
-                counts[t] = counts.get(t, 0) + (not out)
-        return pd.DataFrame({"chunk": frame["chunk"].iat[0], "token": list(counts), "n": list(counts.values())})
+        tokens = _counted_tokens(frame).assign(two=-1, grams=None, counts=None)
+        grams, counts = _counted_grams(frame["text"].tolist(), frame["held_out"].to_numpy(bool))
+        two, first = np.unique(grams >> _TWO, return_index=True)
+        low, counts = grams.astype("<u4"), counts.astype("<u4")
+        pieces = list(zip(first, np.append(first[1:], len(grams)), strict=True))
+        packed = pd.DataFrame(
+            {"chunk": frame["chunk"].iat[0], "token": None, "n": 0, "two": two.astype(int), "grams": [low[a:b].tobytes() for a, b in pieces], "counts": [counts[a:b].tobytes() for a, b in pieces]}
+        )
+        return pd.concat([tokens, packed], ignore_index=True)
+
+    return rows.groupBy("chunk").applyInPandas(of, "chunk int, token string, n bigint, two int, grams binary, counts binary")
+
 
-    return rows.groupBy("chunk").applyInPandas(of, "chunk int, token string, n bigint")
+def _unpacked(two: int, grams: bytes) -> np.ndarray:
+    return np.frombuffer(grams, "<u4").astype(np.uint64) | np.uint64(two) << _TWO
+
+
+def gram_answers(asked: DataFrame) -> DataFrame:
+    """(chunk, two, grams, scores) from (chunk, two, grams, counts): log10 probabilities under the model of all counts, packed."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << 16, np.int64)
+        for batch in batches:
+            for two, grams, counts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                at = (two >> 8) << 8 | (np.frombuffer(grams, "<u4") & 0xFF).astype(np.int64)
+                total += np.bincount(at, np.frombuffer(counts, "<u4"), len(total)).astype(np.int64)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
+
+    counted = asked.select("two", "grams", "counts")
+    rows = counted.mapInArrow(near, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).orderBy("at").collect()  # bytes by bytes: 65,536 rows at most
+    low_model = (np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], float))
+
+    def models(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held, size = None, [], 0
+
+        def model() -> pa.RecordBatch:
+            grams, counts = ppm.summed(*map(np.concatenate, zip(*held, strict=True)))
+            scores = ppm.log_probabilities(grams, counts.astype(float), low_model)
+            values = [[here], [grams.astype("<u4").tobytes()], [scores.tobytes()]]
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["two", "grams", "scores"])
+
+        for batch in batches:
+            for two, grams, counts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if two != here:
+                    if held:
+                        yield model()
+                    here, held, size = two, [], 0
+                held.append((_unpacked(two, grams), np.frombuffer(counts, "<u4").astype(np.int64)))
+                size += len(held[-1][0])
+                if size > MERGE_GRAMS + 2 * len(held[0][0]):
+                    held = [ppm.summed(*map(np.concatenate, zip(*held, strict=True)))]
+                    size = len(held[0][0])
+        if held:
+            yield model()
+
+    by_two = counted.repartition("two").sortWithinPartitions("two")
+    model = stored(by_two.mapInArrow(models, "two int, grams binary, scores binary"))
+
+    def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = scores = None
+        for batch in batches:
+            rows: list[tuple] = []
+            for two, chunk, grams, found in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if chunk < 0:
+                    known, scores = np.frombuffer(grams, "<u4"), np.frombuffer(found)
+                else:
+                    rows.append((chunk, two, grams, scores[np.searchsorted(known, np.frombuffer(grams, "<u4"))].tobytes()))
+            columns = zip(*rows, strict=True) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "two", "grams", "scores"])
+
+    both = model.select("two", F.lit(-1).alias("chunk"), "grams", "scores").union(asked.select("two", "chunk", "grams", F.lit(None).cast("binary")))
+    return both.repartition("two").sortWithinPartitions("two", "chunk").mapInArrow(answers, "chunk int, two int, grams binary, scores binary")
 
 
 def _gram_rows(tokens: DataFrame, by_chunk: bool) -> DataFrame:
@@ -100,28 +205,45 @@ def token_scores(tokens: DataFrame) -> DataFrame:
     return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(total, "token string, c bigint, score double")
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row."""
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_texts: bool = False) -> DataFrame:
+    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row; whole_texts: contexts cross word borders."""
     chars = docs.agg(F.coalesce(F.sum(F.length(text_col)), F.lit(0))).first()[0]
     chunks = max(1, -(-int(chars) // CHUNK_CHARS))
     rows = docs.select(F.col(id_col).alias("id"), ascii_lower(F.col(text_col)).alias("text"), held_out(F.col(id_col)).alias("held_out"))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).cast("int"))
-    asked = stored(_chunk_tokens(rows))
-    tokens = stored(token_scores(asked.groupBy("token").agg(F.sum("n").alias("c"))))
+    if whole_texts:
+        found = stored(_chunk_tokens_and_grams(rows))
+        asked = found.filter("two < 0").select("chunk", "token", "n")
+        tokens = stored(asked.groupBy("token").agg(F.sum("n").alias("c"))).withColumn("score", F.lit(0.0))
+        packed = gram_answers(found.filter("two >= 0").select("chunk", "two", "grams", "counts"))
+    else:
+        asked = stored(_chunk_tokens(rows))
+        tokens = stored(token_scores(asked.groupBy("token").agg(F.sum("n").alias("c"))))
     known = F.col("c") > 0
     n, v = tokens.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(known, 1))).first()
     floor, size = 0.5, n + 0.5 * (v + 1)
     answers = asked.join(tokens, "token").select("chunk", "token", "c", "score")
+    if whole_texts:
+        answers = answers.withColumn("two", F.lit(-1)).unionByName(packed, allowMissingColumns=True)
 
     def of(own: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        texts = own["text"].tolist()
+        if whole_texts:
+            packed = answers[answers["two"] >= 0].sort_values("two")
+            grams = np.concatenate([_unpacked(t, g) for t, g in zip(packed["two"], packed["grams"], strict=True)])
+            found_scores = np.concatenate([np.frombuffer(x) for x in packed["scores"]])
+            answers = answers[answers["two"] < 0]
+            score = np.concatenate([_text_scores(texts[part], grams, found_scores) for part in _text_batches(texts)])
         place = dict(zip(answers["token"], range(len(answers)), strict=True))
         c, scores = answers["c"].to_numpy(), answers["score"].to_numpy()
         base = np.log10((c + floor) / size)
         found = []
-        for text in own["text"]:
+        for text in texts:
             at = np.array([place[t] for t in _tokens(text)])
             found.append((len(at), int((c[at] > 0).sum()), base[at].sum(), scores[at].sum()))
         found = pd.DataFrame(found, columns=["n_tokens", "n_known", "base_score", "score"])
+        if whole_texts:
+            found["score"] = score
         return pd.DataFrame({"id": own["id"].reset_index(drop=True), "held_out": own["held_out"].reset_index(drop=True)}).join(found)
 
     schema = T.StructType(
@@ -129,3 +251,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
     scored = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(of, schema)
     return scored.select("id", "held_out", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def _text_scores(texts: list[str | None], known: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    grams, begin = ppm.text_grams(texts)
+    return np.add.reduceat(ppm.looked_up(grams, known, scores), begin[:-1])

@@ -1,11 +1,12 @@
 """Prediction by partial matching over bytes, in arrays.
 
 Tokens are coded byte by byte after a space: a word's bytes and a space that ends it, or a newline for
-the end of a text. The context is the last ORDER bytes, not beyond the token's leading space, so that a
-token's code length depends on the token alone and each distinct token is coded once for the corpus.
+the end of a text. The context is the last ORDER bytes. `text_grams` takes them from the running bytes of
+whole texts, over word borders; `token_grams` not beyond the token's leading space, so that a token's code
+length depends on the token alone.
 
 A gram is a context with its next byte in one long: the nearest context byte highest, the next byte
-lowest, zeros beyond the token's start. In sorted order, grams with equal high bytes are the nodes of the
+lowest, zeros beyond the start. In sorted order, grams with equal high bytes are the nodes of the
 context trie. Of a context's counts each of its symbols cedes one half to the escape (method D); symbols that
 a longer context offered are excluded from the shorter ones; what no context offers is shared evenly.
 """
@@ -17,6 +18,7 @@ import numpy as np
 ORDER = 5
 SHIFT = np.uint64(8)
 _START, _END_WORD, _END_TEXT = 0x20, 0x20, 0x0A
+_BEFORE = bytes(ORDER - 1) + b" "
 
 
 def token_grams(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -36,6 +38,47 @@ def token_grams(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return grams[place > 0], begin
 
 
+def text_grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """All grams of whole texts in order, and where each text's begin (one entry more than texts)."""
+    words = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
+    coded = [_BEFORE + b" ".join([*w, b"\n"]) for w in words]
+    data = np.frombuffer(b"".join(coded), np.uint8).astype(np.uint64)
+    lengths = np.array([len(c) for c in coded], np.int64)
+    starts = np.cumsum(lengths) - lengths
+    grams = data.copy()
+    for k in range(1, ORDER + 1):
+        grams[k:] |= data[:-k] << np.uint64(8 * (ORDER + 1 - k))
+    keep = np.ones(len(data), bool)
+    for k in range(len(_BEFORE)):
+        keep[starts + k] = False
+    return grams[keep], np.concatenate([[0], np.cumsum(lengths - len(_BEFORE))])
+
+
+def summed(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct grams in order with the sums of their counts."""
+    order = np.argsort(grams, kind="stable")
+    grams = grams[order]
+    first = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]][: len(grams)])
+    return grams[first], np.add.reduceat(counts[order], first) if len(first) else counts
+
+
+def distinct(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct grams in order and how often each occurs."""
+    grams = np.sort(grams)
+    first = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]][: len(grams)])
+    return grams[first], np.diff(np.append(first, len(grams)))
+
+
+def looked_up(grams: np.ndarray, known: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """The score of each gram; known: sorted and with all of them. Each piece is sorted with its places in the free low bytes."""
+    out = np.empty(len(grams))
+    for a in range(0, len(grams), 1 << 16):
+        piece = grams[a : a + (1 << 16)]
+        keys = np.sort(piece << np.uint64(16) | np.arange(len(piece), dtype=np.uint64))
+        out[a + (keys & np.uint64(0xFFFF)).astype(np.int64)] = scores[np.searchsorted(known, keys >> np.uint64(16))]
+    return out
+
+
 def _node_counts(grams: np.ndarray, counts: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For grams cut to an order: the distinct (context, symbol) keys, which of them each gram is, and their counts."""
     keys = (grams >> np.uint64(8 * (ORDER - order + 1))) << SHIFT | grams & np.uint64(0xFF)

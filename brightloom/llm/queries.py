@@ -22,7 +22,7 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.score(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return lm_score.score(table(spark, sf_dir, "documents"), whole_texts=True).withColumnRenamed("id", "doc_id")
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
