@@ -11,7 +11,7 @@ its path to the body is the threshold. Below the body, each child that reaches t
 maximum-sum node. A core inside an <article> stands for all of it.
 
 Pages stay in their rows; nothing is shuffled. Null or empty html gives an empty text. Broken markup never
-raises: unclosed elements end with their parent, stray end tags are ignored. Rows are handled one by one.
+raises: unclosed elements, dropped or not, end with their parent, stray end tags are ignored. Rows are handled one by one.
 """
 
 from __future__ import annotations
@@ -40,6 +40,7 @@ DROPPED = frozenset("nav footer aside form button head menu dialog header input
 CLOSES_P = BLOCK - {"body", "html", "tbody", "tfoot", "thead", "tr", "caption", "legend", "figcaption"}
 SAME_CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 STOPS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
+BARRIERS = frozenset("nav aside header footer form dialog fieldset button".split())
 BOILERPLATE = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay "
     "newsletter subscribe signup login nav navbar navigation menu breadcrumb breadcrumbs sidebar rail widget widgets header masthead topbar footer copyright "
@@ -50,10 +51,10 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "children", "link", "chars", "tags", "link_chars", "link_tags", "density", "sum", "best")
+    __slots__ = ("tag", "parent", "children", "link", "chars", "tags", "link_chars", "link_tags", "density", "sum", "best", "dropped")
 
-    def __init__(self, tag: str, parent: _Node | None):
-        self.tag, self.parent = tag, parent
+    def __init__(self, tag: str, parent: _Node | None, dropped: bool = False):
+        self.tag, self.parent, self.dropped = tag, parent, dropped
         self.children: list[_Node | str] = []
         self.link = tag == "a" or bool(parent and parent.link)
 
@@ -79,13 +80,18 @@ def _names_boilerplate(name: str) -> bool:
 
 
 def _tree(page: str) -> _Node:
-    """The page's tree; strings are decoded text, and a lone newline stands for each line break."""
+    """The page's tree; strings are decoded text, and a lone newline stands for each line break.
+
+    Dropped elements open and end as all others do; what they have inside stays out of the tree.
+    """
     root = node = _Node("body", None)
-    at, skip, depth = 0, "", 0  # skip: the dropped element that is open; depth: how many of its name
-    end = len(page)
+    at, end = 0, len(page)
     while at < end:
         m = _MARKUP.search(page, at)
-        if not skip and (text := page[at : m.start() if m else end]):
+        text = page[at : m.start() if m else end]
+        if node.tag == "head" and text.strip():
+            node = node.parent
+        if text and not node.dropped:
             node.children.append(unescape(text) if "&" in text else text)
         if not m:
             break
@@ -98,36 +104,29 @@ def _tree(page: str) -> _Node:
             close = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.IGNORECASE).search(page, at)
             at = close.end() if close else end
             continue
-        if skip:
-            if name == skip and name not in VOID:
-                depth += -1 if closing else 1
-                skip = skip if depth else ""
-            if not (skip and name == "body" and closing):
-                continue
-            skip = ""
         if closing:
             above = node
             while above is not None and above.tag != name:
                 above = above.parent
-            if above is not None and above.parent is not None:
+            if name in ("body", "html"):
+                node = root
+            elif above is not None and above.parent is not None:
                 node = above.parent
             continue
         attributes = m[3] or m[6] or ""
+        if node.tag == "head" and name not in ("html", "base", "link", "meta"):
+            node = node.parent
         if name in ("html", "body"):
             continue
         if name == "br":
-            node.children.append("\n")
+            if not node.dropped:
+                node.children.append("\n")
             continue
         node = _closed_for(node, name)
-        if name in VOID:
-            node.children.append(_Node(name, node))
-        elif _is_boilerplate(name, attributes):
-            node.children.append(_Node("br", node) if name not in BLOCK else _Node("hr", node))
-            if not attributes.endswith("/"):
-                skip, depth = name, 1
-        else:
-            child = _Node(name, node)
+        child = _Node(name, node, node.dropped or name not in VOID and _is_boilerplate(name, attributes))
+        if not node.dropped:
             node.children.append(child)
+        if name not in VOID and not (child.dropped and attributes.endswith("/")):
             node = child
     return root
 
@@ -136,7 +135,7 @@ def _closed_for(node: _Node, name: str) -> _Node:
     """Where a start tag goes: it ends an open paragraph, or an open item of its own kind."""
     ends, stops = (("p",), ("td", "th", "li", "table", "article", "section", "div", "body")) if name in CLOSES_P else (SAME_CLOSES.get(name, ()), STOPS.get(name, ()))
     above, found = node, None
-    while ends and above is not None and above.tag not in stops:
+    while ends and above is not None and above.tag not in stops and above.tag not in BARRIERS:
         if above.tag in ends:
             found = above
         above = above.parent
@@ -150,13 +149,13 @@ def _post_order(root: _Node) -> list[_Node]:
     while todo:
         node = todo.pop()
         order.append(node)
-        todo += [c for c in node.children if not isinstance(c, str)]
+        todo += [c for c in node.children if not isinstance(c, str) and not c.dropped]
     return order[::-1]
 
 
 def _measure(order: list[_Node]) -> None:
     for n in order:
-        nodes = [c for c in n.children if not isinstance(c, str)]
+        nodes = [c for c in n.children if not isinstance(c, str) and not c.dropped]
         own = sum(len("".join(c.split())) for c in n.children if isinstance(c, str))
         n.chars = own + sum(c.chars for c in nodes)
         n.tags = sum(c.tags + 1 for c in nodes)
@@ -165,7 +164,7 @@ def _measure(order: list[_Node]) -> None:
     body = order[-1]
     share = body.link_chars / (body.chars or 1)
     for n in order:
-        nodes = [c for c in n.children if not isinstance(c, str)]
+        nodes = [c for c in n.children if not isinstance(c, str) and not c.dropped]
         plain = n.chars - n.link_chars
         base = math.log(n.chars / (plain or 1) * n.link_chars + share * n.chars + math.e)
         tags = n.tags or 1
@@ -198,7 +197,7 @@ def _marked(body: _Node) -> set[int]:
         top = _core(node.best[1])
         marked.add(id(top))
         if top is not node:
-            todo += [c for c in node.children if not isinstance(c, str)]
+            todo += [c for c in node.children if not isinstance(c, str) and not c.dropped]
     return marked
 
 
@@ -233,7 +232,7 @@ def main_text(page: str | None) -> str:
             if block:
                 end_block()
                 todo.append((None, inside))
-            elif item.tag in ("td", "th", "br"):
+            elif item.dropped or item.tag in ("td", "th", "br"):
                 words.append(" ")
             todo += [(c, inside) for c in reversed(item.children)]
     end_block()
