@@ -27,11 +27,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.DOTALL)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden|aria-label)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?|"[^"]*"|'[^']*'""")
 
 #: HTML's void, raw-text and block elements, and those that are never main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object select canvas".split())
+RAW = frozenset("script style textarea title noscript template iframe svg annotation annotation-xml object select canvas".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr caption ul".split()
@@ -47,28 +47,32 @@ BOILERPLATE = frozenset(
     "comment comments commentlist disqus respond reply replies share sharing social related recommended pagination pager toolbar search".split()
 )
 LAYOUT = frozenset("has with without no is".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "children", "link", "chars", "tags", "link_chars", "link_tags", "density", "sum", "best", "dropped")
+    __slots__ = ("tag", "parent", "children", "link", "chars", "tags", "link_chars", "link_tags", "density", "sum", "best", "dropped", "in_article")
 
     def __init__(self, tag: str, parent: _Node | None, dropped: bool = False):
         self.tag, self.parent, self.dropped = tag, parent, dropped
         self.children: list[_Node | str] = []
+        self.in_article = tag in ("article", "main") or bool(parent and parent.in_article)
         self.link = tag == "a" or bool(parent and parent.link)
 
 
-def _is_boilerplate(tag: str, attributes: str) -> bool:
+def _is_boilerplate(tag: str, attributes: str, in_article: bool = False) -> bool:
+    """By tag, role, class or id; the ids of sections and headings and the classes of headings in an article say what they are about."""
     if tag in DROPPED:
         return True
     if not attributes.strip() or tag in ("body", "html", "article", "main"):
         return False
+    naming = () if in_article and tag in HEADINGS else ("class",) if in_article and tag == "section" else ("class", "id")
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-        if name == "role" and value in ROLES or name in ("class", "id") and any(map(_names_boilerplate, value.split())):
+        if name == "role" and value in ROLES or name in naming and any(map(_names_boilerplate, value.split())):
             return True
     return False
 
@@ -123,7 +127,7 @@ def _tree(page: str) -> _Node:
                 node.children.append("\n")
             continue
         node = _closed_for(node, name)
-        child = _Node(name, node, node.dropped or name not in VOID and _is_boilerplate(name, attributes))
+        child = _Node(name, node, node.dropped or name not in VOID and _is_boilerplate(name, attributes, node.in_article))
         if not node.dropped:
             node.children.append(child)
         if name not in VOID and not (child.dropped and attributes.endswith("/")):
