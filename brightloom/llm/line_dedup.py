@@ -1,7 +1,8 @@
-"""Line dedup over overlapping windows of three lines.
+"""Line dedup over overlapping windows of three lines, or fewer that hold a long passage.
 
 Lines are split at newlines; lines without a word are neither hashed nor removed. A window is three
-consecutive lines with words, trimmed; a document with one or two such lines is one window. Of the
+consecutive lines with words, trimmed; a document with one or two such lines is one window. One or two
+consecutive lines that hold over PASSAGE_WORDS words are a window too. Of the
 windows with the same content the one with the smallest (doc_id, text hash, place) stays (null ids
 first); the lines that any later one covers are removed. Rows that agree in id and text are one
 document and get the same result. Null text stays null and has no windows.
@@ -15,9 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, stored
+from .common import SPACE_CHARS, stored, words_of
 
 WINDOW = 3
+PASSAGE_WORDS = 50
 
 
 def _bare(line: Column) -> Column:
@@ -36,16 +38,30 @@ def _with_lines(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.withColumn("__at", F.array_compact(places))
 
 
+def _keys(lines: Column, n: int) -> Column:
+    """struct(line, n, key) of the windows of n lines, null where one shorter than WINDOW is neither a passage nor its whole document."""
+
+    def key(i: Column) -> Column:
+        window = F.slice(lines, i + 1, n)
+        found = F.struct(i.alias("line"), F.lit(n).alias("n"), F.md5(F.array_join(window, "\n")).alias("key"))
+        if n == WINDOW:
+            return found
+        chars = F.aggregate(window, F.lit(0), lambda a, x: a + F.length(x))
+        long = (chars >= 2 * PASSAGE_WORDS) & (F.size(words_of(F.array_join(window, "\n"))) > PASSAGE_WORDS)
+        return F.when((F.size(lines) == n) | long, found)
+
+    none = F.array().cast("array<struct<line:int,n:int,key:string>>")
+    return F.when(F.size(lines) >= n, F.transform(F.sequence(F.lit(0), F.size(lines) - n), key)).otherwise(none)
+
+
 def window_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, th, place, key): one row per window; key is the MD5 of the window's lines."""
+    """(id, th, place, key): one row per window; place is its first line and how many, key the MD5 of the lines."""
     rows = _with_lines(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text")
     rows = rows.select("id", F.xxhash64("text").alias("th"), F.array_remove("__bare", "").alias("lines"))
-    starts = F.sequence(F.lit(0), F.greatest(F.size("lines") - WINDOW, F.lit(0)))
-    keys = F.transform(starts, lambda i: F.md5(F.array_join(F.slice(F.col("lines"), i + 1, WINDOW), "\n")))
-    keys = F.when(F.size("lines") > 0, keys)
+    keys = F.concat(*(_keys(F.col("lines"), n) for n in range(1, WINDOW + 1)))
     # the outer explode and the filter after it keep the optimizer from computing the keys once more to test for rows
-    rows = rows.select("id", "th", F.posexplode_outer(keys).alias("place", "key")).filter(F.col("key").isNotNull())
-    return rows.withColumn("key", F.unhex("key"))
+    rows = rows.select("id", "th", F.explode_outer(keys).alias("w")).filter(F.col("w.key").isNotNull())
+    return rows.select("id", "th", F.struct("w.line", "w.n").alias("place"), F.unhex("w.key").alias("key"))
 
 
 def later_windows(windows: DataFrame) -> DataFrame:
@@ -68,7 +84,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.withColumn("__h", F.xxhash64(text_col))
     rows = rows.join(later, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th")), "left")
     rows = _with_lines(rows, text_col)
-    gone = F.flatten(F.transform(F.col("__places"), lambda p: F.slice(F.col("__at"), p + 1, WINDOW)))
+    gone = F.flatten(F.transform(F.col("__places"), lambda p: F.slice(F.col("__at"), p["line"] + 1, p["n"])))
     rows = rows.withColumn("__gone", F.array_distinct(F.coalesce(gone, F.array().cast("array<int>"))))
     stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
     text = F.when(F.size("__gone") == 0, F.col(text_col)).otherwise(
