@@ -21,6 +21,11 @@ def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+def fresh(df: DataFrame, name: str) -> Column:
+    """The column of exactly this name, dots and backticks in it included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def words_of(text: Column) -> Column:
     """The words of a text: maximal runs without white space."""
     for c in SPACE_CHARS[1:]:
@@ -55,10 +60,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that the table has not got, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def filtered(df: DataFrame, condition: Column) -> DataFrame:
     """A filter that the optimizer leaves above the projections before it.
 
     Pushed down, a condition over arrays made step by step would carry all the steps with it and
     compute them again for every element. The outer explode of one boolean stops that; it adds no rows.
     """
-    return df.withColumn("__keep", F.explode_outer(F.array(F.coalesce(condition, F.lit(False))))).filter("__keep").drop("__keep")
+    keep = free_name(df, "__keep")
+    return df.withColumn(keep, F.explode_outer(F.array(F.coalesce(condition, F.lit(False))))).filter(keep).drop(keep)

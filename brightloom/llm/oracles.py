@@ -48,14 +48,17 @@ SQL["op6_decontaminate"] = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce({_LOWERED}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(coalesce({_LOWERED}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 spans AS (SELECT item_id, w, least(len(w), 10) AS k, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0),
-wins AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i+k-1], ' ') AS s FROM spans),
+held AS (SELECT item_id, k, i AS j, array_to_string(w[i:i+k-1], ' ') AS s FROM spans),
+wins AS (SELECT DISTINCT item_id, k, s FROM held),
 places AS (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d CROSS JOIN (SELECT DISTINCT k FROM wins) WHERE len(w) >= k),
 hits AS (SELECT doc_id, i, k, s FROM (SELECT doc_id, i, k, array_to_string(w[i:i+k-1], ' ') AS s FROM places) WHERE s IN (SELECT s FROM wins)),
 hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hits) GROUP BY 1),
-items AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS ids FROM hits JOIN wins USING (s, k) GROUP BY 1)
+items AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS ids FROM hits JOIN wins USING (s, k) GROUP BY 1),
+runs AS (SELECT doc_id, item_id, k, i - j AS shift, i - row_number() OVER (PARTITION BY doc_id, item_id, k, i - j ORDER BY i) AS run FROM hits JOIN held USING (s, k)),
+longest AS (SELECT doc_id, max(n)::BIGINT AS n FROM (SELECT doc_id, k + count(*) - 1 AS n FROM runs GROUP BY doc_id, item_id, k, shift, run) GROUP BY 1)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(ids), 0)::BIGINT AS n_items,
-  sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+  sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(longest.n, 0) AS longest_match
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN longest USING (doc_id)
 """
 
 #: Spans of a pattern: each match starts after the gaps and matches before it.
