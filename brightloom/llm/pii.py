@@ -2,11 +2,14 @@
 
 Base spans are leftmost and non-overlapping per kind, over the whole text; a match that fails its
 kind's test is dropped. The field labels the tokens of each line (runs without white space) and adds
-spans of the same kinds where no base span overlaps. Lines without a token that holds a digit, @ or +
-are outside by the model itself: it is checked on training that no path over plain words scores more.
-
-Documents stay in their rows and nothing is shuffled. Null text has no spans. Positions are code points,
-ends exclusive. Rows are scanned one by one, repeated or not; only the text column is read.
+spans of the same kinds where no base span overlaps and the kind's test holds (a card's check digit, an
+address's parts, a phone's number of digits). Lines without a token that holds a digit, @ or + are left
+out where they are outside by the model itself: that no path over plain words scores more is checked on
+training, and where it does not hold all lines are decoded.
+
+Documents stay in their rows and nothing is shuffled. Null and empty texts have no spans; texts of any
+length are read whole. Positions are code points, ends exclusive. Rows are scanned one by one, repeated or
+not; only the id and the text are read, other columns may have any names.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .crf import EDGE, Crf, labelled_table
+from .crf import Crf, labelled_table, luhn
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -47,11 +50,6 @@ def _emails(text: str) -> Iterator[Span]:
         at = text.find("@", m.end() if m else at + 1)
 
 
-def _luhn(digits: str) -> bool:
-    doubled = (sum(divmod(2 * int(c), 10)) for c in digits[-2::-2])
-    return (sum(map(int, digits[-1::-2])) + sum(doubled)) % 10 == 0
-
-
 def base_spans(text: str) -> list[Span]:
     found = list(_emails(text))
     for m in _IP.finditer(text):
@@ -59,7 +57,7 @@ def base_spans(text: str) -> list[Span]:
             found.append((m.start(), 1, m.end()))
     for m in _CARD.finditer(text):
         digits = re.sub("[^0-9]", "", m[0])
-        if 12 <= len(digits) <= 19 and _luhn(digits):
+        if 12 <= len(digits) <= 19 and luhn(digits):
             found.append((m.start(), 2, m.end()))
     for m in _PHONE.finditer(text) if "+" in text else ():
         if 9 <= sum(c.isdigit() for c in m[0]) <= 15:
@@ -67,13 +65,13 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found)
 
 
-def _lines(text: str) -> Iterator[tuple[list[str], list[int]]]:
-    """Tokens and their places, of lines that hold a digit, @ or +."""
+def _lines(text: str, marked: bool) -> Iterator[tuple[list[str], list[int]]]:
+    """Tokens and their places, of all lines with tokens or of those that hold a digit, @ or +."""
     at = 0
     for line in text.split("\n"):
-        if _MARK.search(line):
-            ms = list(_TOKEN.finditer(line))
-            yield [m[0] for m in ms], [at + m.start() for m in ms]
+        if not marked or _MARK.search(line):
+            if ms := list(_TOKEN.finditer(line)):
+                yield [m[0] for m in ms], [at + m.start() for m in ms]
         at += len(line) + 1
 
 
@@ -84,11 +82,29 @@ def _labelled_spans(tokens: list[str], places: list[int], labels: list[str]) ->
             yield begin, KINDS.index(kind), end
             begin = None
         if label != "O":
-            bare = token.strip(EDGE) or token
-            first = place + token.index(bare)
             if begin is None:
-                begin, kind = first, label[2:]
-            end = first + len(bare)
+                begin, kind = place, label[2:]
+            end = place + len(token)
+
+
+#: What of a labelled span is the entity itself, without quotes and stops around it.
+_CORE = tuple(map(re.compile, (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", r"[0-9]+(?:\.[0-9]+){3}", r"[0-9](?:[\x20-]?[0-9])+", r"[+(]{0,2}[0-9][\x20().0-9-]*[0-9]")))
+
+
+def _tested(text: str, span: Span) -> Iterator[Span]:
+    """The entity in a labelled span, if the exact test of its kind holds."""
+    start, kind, end = span
+    if not (m := _CORE[kind].search(text, start, end)):
+        return
+    digits = re.sub("[^0-9]", "", m[0])
+    if KINDS[kind] == "ip":
+        holds = all(int(p) <= 255 for p in m[0].split(".") if len(p) < 9) and len(digits) <= 12
+    elif KINDS[kind] == "card":
+        holds = 12 <= len(digits) <= 19 and luhn(digits)
+    else:
+        holds = KINDS[kind] == "email" or 9 <= len(digits) <= 15
+    if holds:
+        yield m.start(), kind, m.end()
 
 
 def spans_of(texts: list[str | None], model: Crf, known: dict) -> list[tuple[list[Span], list[Span]]]:
@@ -98,14 +114,14 @@ def spans_of(texts: list[str | None], model: Crf, known: dict) -> list[tuple[lis
         marked = bool(text) and _MARK.search(text)
         base.append(base_spans(text) if marked else [])
         if text and (marked or not model.plain_is_outside):
-            for line in _lines(text):
+            for line in _lines(text, model.plain_is_outside):
                 lines.append(line)
                 owner.append(i)
     labels = model.decode([model.emissions(tokens, known) for tokens, _ in lines])
     more: list[list[Span]] = [[] for _ in texts]
     for i, line, found in zip(owner, lines, labels, strict=True):
         if any(x != "O" for x in found):
-            more[i] += _labelled_spans(*line, found)
+            more[i] += (x for span in _labelled_spans(*line, found) for x in _tested(texts[i], span))
     out = []
     for b, m in zip(base, more, strict=True):
         out.append((b, sorted([*b, *_apart(m, b)])))
