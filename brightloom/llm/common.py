@@ -21,7 +21,7 @@ def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
-def fresh(df: DataFrame, name: str) -> Column:
+def exact(name: str) -> Column:
     """The column of exactly this name, dots and backticks in it included."""
     return F.col("`" + name.replace("`", "``") + "`")
 
@@ -39,19 +39,51 @@ def ascii_lower(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or one beside the warehouse where that is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    """The folder that all executors see: spark.checkpoint.dir; where that is unset, one beside the warehouse, in local mode only."""
+    where = spark.conf.get("spark.checkpoint.dir", "")
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
+        where = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     return where.rstrip("/")
 
 
+#: Paths of the tables that stored() made in this process, in order.
+_MADE: list[str] = []
+
+
+def _delete(spark: SparkSession, path: str, now: bool) -> None:
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(sc._jsc.hadoopConfiguration())
+    files.delete(where, True) if now else files.deleteOnExit(where)
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: its lineage ends there, and it is small on disk."""
+    """Writes a table to the shared folder and reads it back: its lineage ends there, and it is small on disk.
+
+    The table goes when the session's process ends, or with forget_tables() before.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    _MADE.append(path)
     df.write.parquet(path)
+    _delete(spark, path, now=False)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tables_made() -> int:
+    return len(_MADE)
+
+
+def forget_tables(spark: SparkSession, since: int, but_last: bool = False) -> None:
+    """Deletes the tables stored since tables_made() gave that number, all or all but the last; nothing may read them any more."""
+    keep = _MADE[-1:] if but_last and len(_MADE) > since else []
+    for path in _MADE[since : len(_MADE) - len(keep)]:
+        _delete(spark, path, now=True)
+    _MADE[since:] = keep
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext

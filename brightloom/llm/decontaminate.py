@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import fresh, stored
+from .common import exact, stored
 
 WINDOW = 10
 BLOCK_CHARS = 16_000_000
@@ -267,7 +267,7 @@ FOUND = _struct(
 
 def test_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> tuple[int, Iterator[TestIndex]]:
     """How many blocks the test set has, of about `block_chars` characters by a hash of the text, and the blocks, made one at a time on the driver."""
-    items = benchmark.select(fresh(benchmark, id_col), fresh(benchmark, text_col)).toDF("id", "text").filter(F.col("text").isNotNull())
+    items = benchmark.select(exact(id_col), exact(text_col)).toDF("id", "text").filter(F.col("text").isNotNull())
     size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-int(size) // block_chars))
     part = lambda b: items if blocks == 1 else items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b)
@@ -301,7 +301,7 @@ def _searched(rows: DataFrame, index: TestIndex, only_hits: bool = False) -> Dat
 
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(id, n_words, n_hit, items, spans, longest) per row; items are distinct ids as strings, sorted; spans count words."""
-    rows = docs.select(fresh(docs, id_col), fresh(docs, text_col)).toDF("id", "text")
+    rows = docs.select(exact(id_col), exact(text_col)).toDF("id", "text")
     blocks, indexes = test_blocks(benchmark, text_col="text", window=window, block_chars=block_chars)
     found = _searched(rows, next(indexes)) if blocks == 1 else _of_blocks(rows, indexes, window)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
@@ -341,8 +341,8 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "
     """The documents without a hit, with the columns they came with."""
     blocks, indexes = test_blocks(benchmark, window=window, block_chars=block_chars)
     if blocks > 1:
-        hit = _hits_by_text(docs.select(fresh(docs, text_col)).toDF("text"), indexes).select(F.col("id").alias("md5"))
-        row = docs.select(F.struct(*[fresh(docs, c) for c in docs.columns]).alias("row"), F.md5(F.coalesce(fresh(docs, text_col), F.lit(""))).alias("md5"))
+        hit = _hits_by_text(docs.select(exact(text_col)).toDF("text"), indexes).select(F.col("id").alias("md5"))
+        row = docs.select(F.struct(*[exact(c) for c in docs.columns]).alias("row"), F.md5(F.coalesce(exact(text_col), F.lit(""))).alias("md5"))
         return row.join(hit, "md5", "left_anti").select(*[F.col("row")[c].alias(c) for c in docs.columns])
     index, place = next(indexes), docs.columns.index(text_col)
 

@@ -5,7 +5,8 @@ consecutive lines with words, trimmed; a document with one or two such lines is
 consecutive lines that hold over PASSAGE_WORDS words are a window too. Of the
 windows with the same content the one with the smallest (doc_id, text hash, place) stays (null ids
 first); the lines that any later one covers are removed. Rows that agree in id and text are one
-document and get the same result. Null text stays null and has no windows.
+document and get the same result. Null text stays null and has no windows; texts of any length are read
+whole. Columns of the documents may have any names but those of the two numbers that are added.
 
 Per key there is one counted row after map-side aggregation, so a passage shared by a third of all
 documents is a join against a single row, which adaptive execution may split; nothing is collected.
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, stored, words_of
+from .common import SPACE_CHARS, exact, free_name, stored, words_of
 
 WINDOW = 3
 PASSAGE_WORDS = 50
@@ -30,12 +31,12 @@ def _bare(line: Column) -> Column:
     return F.when(edge, F.btrim(line, F.lit(SPACE_CHARS))).otherwise(line)
 
 
-def _with_lines(docs: DataFrame, text_col: str) -> DataFrame:
-    """Adds __lines (all lines), __bare (trimmed) and __at (the places of those with words)."""
-    docs = docs.withColumn("__lines", F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"))
-    docs = docs.withColumn("__bare", F.transform("__lines", _bare))
-    places = F.transform(F.col("__bare"), lambda x, i: F.when(x != "", i))
-    return docs.withColumn("__at", F.array_compact(places))
+def _with_lines(docs: DataFrame, text: Column, lines: str, bare: str, at: str) -> DataFrame:
+    """Adds all lines, the same trimmed, and the places of those with words, under the names given."""
+    docs = docs.withColumn(lines, F.split(F.coalesce(text, F.lit("")), "\n"))
+    docs = docs.withColumn(bare, F.transform(lines, _bare))
+    places = F.transform(F.col(bare), lambda x, i: F.when(x != "", i))
+    return docs.withColumn(at, F.array_compact(places))
 
 
 def _keys(lines: Column, n: int) -> Column:
@@ -56,8 +57,9 @@ def _keys(lines: Column, n: int) -> Column:
 
 def window_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, th, place, key): one row per window; place is its first line and how many, key the MD5 of the lines."""
-    rows = _with_lines(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text")
-    rows = rows.select("id", F.xxhash64("text").alias("th"), F.array_remove("__bare", "").alias("lines"))
+    rows = docs.select(exact(id_col), exact(text_col)).toDF("id", "text")
+    rows = _with_lines(rows, F.col("text"), "lines", "bare", "at")
+    rows = rows.select("id", F.xxhash64("text").alias("th"), F.array_remove("bare", "").alias("lines"))
     keys = F.concat(*(_keys(F.col("lines"), n) for n in range(1, WINDOW + 1)))
     # the outer explode and the filter after it keep the optimizer from computing the keys once more to test for rows
     rows = rows.select("id", "th", F.explode_outer(keys).alias("w")).filter(F.col("w.key").isNotNull())
@@ -73,22 +75,22 @@ def later_windows(windows: DataFrame) -> DataFrame:
     return later.groupBy("id", "th").agg(F.collect_set("place").alias("places"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with their columns, the text without repeated lines, and __n_lines and __n_removed.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_lines: str = "__n_lines", n_removed: str = "__n_removed") -> DataFrame:
+    """The documents with their columns, the text without repeated lines, and the numbers of lines and of removed ones.
 
-    Repeated lines include their newline; the lines that stay are joined by newlines as before.
+    Repeated lines include their newline; the lines that stay are joined by newlines as before. The two names
+    of numbers must not be columns of the documents.
     """
-    later = later_windows(stored(window_rows(docs, id_col, text_col))).select(
-        F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("places").alias("__places")
-    )
-    rows = docs.withColumn("__h", F.xxhash64(text_col))
-    rows = rows.join(later, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th")), "left")
-    rows = _with_lines(rows, text_col)
-    gone = F.flatten(F.transform(F.col("__places"), lambda p: F.slice(F.col("__at"), p["line"] + 1, p["n"])))
-    rows = rows.withColumn("__gone", F.array_distinct(F.coalesce(gone, F.array().cast("array<int>"))))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
-    text = F.when(F.size("__gone") == 0, F.col(text_col)).otherwise(
-        F.array_join(F.transform(stay, lambda i: F.get(F.col("__lines"), i)), "\n")
-    )
-    kept = [F.col(c) if c != text_col else text.alias(c) for c in docs.columns]
-    return rows.select(*kept, F.size("__at").cast("long").alias("__n_lines"), F.size("__gone").cast("long").alias("__n_removed"))
+    later = later_windows(stored(window_rows(docs, id_col, text_col)))
+    own = ("h", "id", "th", "places", "lines", "bare", "at", "gone")
+    h, id_, th, places, lines, bare, at, gone = (free_name(docs, f"__{x}") for x in own)
+    later = later.select(F.col("id").alias(id_), F.col("th").alias(th), F.col("places").alias(places))
+    rows = docs.withColumn(h, F.xxhash64(exact(text_col)))
+    rows = rows.join(later, exact(id_col).eqNullSafe(F.col(id_)) & (F.col(h) == F.col(th)), "left")
+    rows = _with_lines(rows, exact(text_col), lines, bare, at)
+    lost = F.flatten(F.transform(F.col(places), lambda p: F.slice(F.col(at), p["line"] + 1, p["n"])))
+    rows = rows.withColumn(gone, F.array_distinct(F.coalesce(lost, F.array().cast("array<int>"))))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    text = F.when(F.size(gone) == 0, exact(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col(lines), i)), "\n"))
+    kept = [exact(c) if c != text_col else text.alias(c) for c in docs.columns]
+    return rows.select(*kept, F.size(at).cast("long").alias(n_lines), F.size(gone).cast("long").alias(n_removed))

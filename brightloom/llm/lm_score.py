@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import ppm
-from .common import ascii_lower, stored
+from .common import ascii_lower, exact, stored
 
 _TWO = np.uint64(8 * (ppm.ORDER - 1))
 CHUNK_CHARS = 16_000_000
@@ -83,10 +83,10 @@ def _chunk_tokens_and_grams(rows: DataFrame) -> DataFrame:
         tokens = _counted_tokens(frame).assign(two=-1, grams=None, counts=None)
         grams, counts = _counted_grams(frame["text"].tolist(), frame["held_out"].to_numpy(bool))
         two, first = np.unique(grams >> _TWO, return_index=True)
-        low, counts = grams.astype("<u4"), counts.astype("<u4")
+        low = grams.astype("<u4")
         pieces = list(zip(first, np.append(first[1:], len(grams)), strict=True))
         packed = pd.DataFrame(
-            {"chunk": frame["chunk"].iat[0], "token": None, "n": 0, "two": two.astype(int), "grams": [low[a:b].tobytes() for a, b in pieces], "counts": [counts[a:b].tobytes() for a, b in pieces]}
+            {"chunk": frame["chunk"].iat[0], "token": None, "n": 0, "two": two.astype(int), "grams": [ppm.packed_in_order(low[a:b]) for a, b in pieces], "counts": [ppm.packed(counts[a:b]) for a, b in pieces]}
         )
         return pd.concat([tokens, packed], ignore_index=True)
 
@@ -94,7 +94,7 @@ def _chunk_tokens_and_grams(rows: DataFrame) -> DataFrame:
 
 
 def _unpacked(two: int, grams: bytes) -> np.ndarray:
-    return np.frombuffer(grams, "<u4").astype(np.uint64) | np.uint64(two) << _TWO
+    return ppm.unpacked_in_order(grams).astype(np.uint64) | np.uint64(two) << _TWO
 
 
 def gram_answers(asked: DataFrame) -> DataFrame:
@@ -104,8 +104,8 @@ def gram_answers(asked: DataFrame) -> DataFrame:
         total = np.zeros(1 << 16, np.int64)
         for batch in batches:
             for two, grams, counts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                at = (two >> 8) << 8 | (np.frombuffer(grams, "<u4") & 0xFF).astype(np.int64)
-                total += np.bincount(at, np.frombuffer(counts, "<u4"), len(total)).astype(np.int64)
+                at = (two >> 8) << 8 | (ppm.unpacked_in_order(grams) & 0xFF).astype(np.int64)
+                total += np.bincount(at, ppm.unpacked(counts), len(total)).astype(np.int64)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
 
@@ -119,7 +119,7 @@ def gram_answers(asked: DataFrame) -> DataFrame:
         def model() -> pa.RecordBatch:
             grams, counts = ppm.summed(*map(np.concatenate, zip(*held, strict=True)))
             scores = ppm.log_probabilities(grams, counts.astype(float), low_model)
-            values = [[here], [grams.astype("<u4").tobytes()], [scores.tobytes()]]
+            values = [[here], [ppm.packed_in_order(grams.astype("<u4"))], [scores.tobytes()]]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["two", "grams", "scores"])
 
         for batch in batches:
@@ -128,7 +128,7 @@ def gram_answers(asked: DataFrame) -> DataFrame:
                     if held:
                         yield model()
                     here, held, size = two, [], 0
-                held.append((_unpacked(two, grams), np.frombuffer(counts, "<u4").astype(np.int64)))
+                held.append((_unpacked(two, grams), ppm.unpacked(counts).astype(np.int64)))
                 size += len(held[-1][0])
                 if size > MERGE_GRAMS + 2 * len(held[0][0]):
                     held = [ppm.summed(*map(np.concatenate, zip(*held, strict=True)))]
@@ -145,9 +145,9 @@ def gram_answers(asked: DataFrame) -> DataFrame:
             rows: list[tuple] = []
             for two, chunk, grams, found in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if chunk < 0:
-                    known, scores = np.frombuffer(grams, "<u4"), np.frombuffer(found)
+                    known, scores = ppm.unpacked_in_order(grams), np.frombuffer(found)
                 else:
-                    rows.append((chunk, two, grams, scores[np.searchsorted(known, np.frombuffer(grams, "<u4"))].tobytes()))
+                    rows.append((chunk, two, grams, scores[np.searchsorted(known, ppm.unpacked_in_order(grams))].tobytes()))
             columns = zip(*rows, strict=True) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "two", "grams", "scores"])
 
@@ -207,9 +207,9 @@ def token_scores(tokens: DataFrame) -> DataFrame:
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_texts: bool = False) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row; whole_texts: contexts cross word borders."""
-    chars = docs.agg(F.coalesce(F.sum(F.length(text_col)), F.lit(0))).first()[0]
+    chars = docs.agg(F.coalesce(F.sum(F.length(exact(text_col))), F.lit(0))).first()[0]
     chunks = max(1, -(-int(chars) // CHUNK_CHARS))
-    rows = docs.select(F.col(id_col).alias("id"), ascii_lower(F.col(text_col)).alias("text"), held_out(F.col(id_col)).alias("held_out"))
+    rows = docs.select(exact(id_col).alias("id"), ascii_lower(exact(text_col)).alias("text"), held_out(exact(id_col)).alias("held_out"))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).cast("int"))
     if whole_texts:
         found = stored(_chunk_tokens_and_grams(rows))

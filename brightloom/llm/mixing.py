@@ -4,11 +4,14 @@ Sources take turns at the weights in the order of their names by code point, nul
 `share` times all words by weight; one that reaches `most` times its source's words stops there and the
 excess goes to the others by weight. The words are dealt in blocks: Sainte-Laguë's highest quotients
 (target / (2 seats + 1)) give each source a whole number of blocks, then each shard of a source its part.
-A shard is a run of documents in the order of a seeded hash; its blocks are taken from the front of that
-order, going round again when the quota exceeds the shard, so each document is taken at most twice in full.
+A shard's documents, laid end to end in the order of a seeded hash, are its blocks in a seeded order; the quota is
+taken from the front of it, going round again when it exceeds the shard, so each document is taken at most twice in
+full and at most one of a shard in part. What a quota has above twice its shard goes on to the source's next shards
+that have room.
 
 Null texts and ids are allowed: a null text has size zero. Equal rows are separate documents; which of
-them a partial block reaches is unspecified, but they are equal. Only sums per source and per shard are
+them a partial block reaches is unspecified, but they are equal; texts of one id and size differ in the hash.
+Texts of any length count whole. The documents' columns may have any names but, in mixed_documents, those added. Only sums per source and per shard are
 moved beside (id, source, size); shards hold about `shard_docs` documents, so a source with a third of
 all rows is many shards. A source of no words has target zero.
 """
@@ -18,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, text_or_empty, words_of
+from .common import exact, stored, words_of
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -76,11 +79,15 @@ def apportion(rows: DataFrame, group: list[str], key: list[str], votes: str, sea
     return done.withColumn(out, F.col("__sure") + F.coalesce("__more", F.lit(0))).select(*rows.columns, out)
 
 
+def _whole(text_col: str) -> Column:
+    return F.coalesce(exact(text_col), F.lit(""))
+
+
 def _sized(docs: DataFrame, id_col: str, source_col: str, text_col: str, seed: int, *more: Column) -> DataFrame:
-    size = F.size(words_of(text_or_empty(text_col))).cast("long")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), *more)
+    size = F.size(words_of(_whole(text_col))).cast("long")
+    h = F.xxhash64(F.lit(seed), exact(id_col), exact(text_col))
+    rows = docs.select(exact(id_col).alias("doc_id"), exact(source_col).alias("source"), size.alias("size"), h.alias("h"), *more)
     rows = rows.withColumn("name", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
-    rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size"))
     return rows.withColumn("salt", F.pmod("h", F.lit(SALTS)).cast("int"))
 
 
@@ -101,8 +108,17 @@ def _plan(sized: DataFrame, weights: tuple[int, ...], block_words: int, shard_do
     targets = stored(targets.select("name", "source_size", "target", "quota", n_shards.alias("n_shards")))
     shards = _placed(sized, targets).groupBy("name", "shard", "quota").agg(F.sum("size").alias("shard_size"))
     shards = apportion(shards, ["name"], ["shard"], "shard_size", F.col("quota"), "shard_quota")
-    words = F.least(F.col("shard_quota") * block_words, MOST * F.col("shard_size")).cast("long")
-    return targets, stored(shards.select("name", "shard", "shard_size", words.alias("words")))
+    return targets, stored(_passed_on(shards, block_words).select("name", "shard", "shard_size", "words"))
+
+
+def _passed_on(shards: DataFrame, block_words: int) -> DataFrame:
+    """Adds words: a shard's quota up to MOST times its size; what is above goes to the source's shards with room, in their order."""
+    source, before = Window.partitionBy("name"), Window.partitionBy("name").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    most = F.lit(MOST) * F.col("shard_size")
+    s = shards.withColumn("given", F.least(F.col("shard_quota") * block_words, most)).withColumn("room", most - F.col("given"))
+    s = s.withColumn("above", F.sum(F.col("shard_quota") * block_words - F.col("given")).over(source))
+    more = F.least(F.col("room"), F.greatest(F.lit(0), F.col("above") - F.coalesce(F.sum("room").over(before), F.lit(0))))
+    return s.withColumn("words", (F.col("given") + more).cast("long"))
 
 
 def _taken(sized: DataFrame, targets: DataFrame, shards: DataFrame) -> DataFrame:
@@ -129,13 +145,14 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "
     """
     compact = stored(_sized(docs, id_col, source_col, text_col, seed))
     plan = _plan(compact, weights, block_words, shard_docs)
-    whole = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
+    whole = F.struct(*[exact(c) for c in docs.columns]).alias("row")
     rows = _taken(_sized(docs, id_col, source_col, text_col, seed, whole), *plan)
     passes = F.filter(
         F.transform(F.sequence(F.lit(1), F.lit(MOST)), lambda p: F.struct(p.alias("pass"), F.when(p <= F.col("rounds"), F.col("size")).when(p == F.col("rounds") + 1, F.col("part")).otherwise(0).cast("long").alias("taken"))),
         lambda x: x["taken"] > 0,
     )
     rows = rows.select("row", "size", F.explode(passes).alias("p"))
-    front = F.array_join(F.slice(words_of(text_or_empty(f"row.{text_col}")), F.lit(1), F.col("p.taken").cast("int")), " ")
-    text = F.when(F.col("p.taken") < F.col("size"), front).otherwise(F.col(f"row.{text_col}"))
-    return rows.select(*[text.alias(c) if c == text_col else F.col(f"row.{c}").alias(c) for c in docs.columns], F.col("p.pass").alias("mix_pass"), F.col("p.taken").alias("mix_words"))
+    own = F.col("row")[text_col]
+    front = F.array_join(F.slice(words_of(F.coalesce(own, F.lit(""))), F.lit(1), F.col("p.taken").cast("int")), " ")
+    text = F.when(F.col("p.taken") < F.col("size"), front).otherwise(own)
+    return rows.select(*[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns], F.col("p.pass").alias("mix_pass"), F.col("p.taken").alias("mix_words"))

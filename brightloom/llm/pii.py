@@ -19,9 +19,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import exact
 from .crf import Crf, labelled_table, luhn
 
 KINDS = ("email", "ip", "card", "phone")
@@ -155,7 +155,7 @@ BATCH = 64
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: list | None = None) -> DataFrame:
     """(id, n_email, n_ip, n_card, n_phone, base_spans, spans) per row. labelled: (tokens, labels) rows; the model is trained on the driver."""
     model = Crf.train(labelled or labelled_table())
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(exact(id_col), exact(text_col)).toDF("id", "text")
     fields = [T.StructField(f"n_{k}", T.LongType()) for k in KINDS] + [T.StructField(c, T.StringType()) for c in ("base_spans", "spans")]
     names = [f.name for f in fields]
 

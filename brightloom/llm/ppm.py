@@ -14,6 +14,7 @@ a longer context offered are excluded from the shorter ones; what no context off
 from __future__ import annotations
 
 import numpy as np
+import zstandard
 
 ORDER = 5
 SHIFT = np.uint64(8)
@@ -54,6 +55,26 @@ def text_grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return grams[keep], np.concatenate([[0], np.cumsum(lengths - len(_BEFORE))])
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Small numbers of four bytes, compressed plane by plane."""
+    planes = np.ascontiguousarray(values.astype("<u4")).view(np.uint8).reshape(len(values), 4).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, len(planes) // 4).T).view("<u4").ravel()
+
+
+def packed_in_order(values: np.ndarray) -> bytes:
+    """Numbers of four bytes in ascending order, by their differences."""
+    return packed(np.diff(values.astype(np.int64), prepend=0))
+
+
+def unpacked_in_order(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data), dtype=np.uint32)
+
+
 def summed(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct grams in order with the sums of their counts."""
     order = np.argsort(grams, kind="stable")

@@ -2,7 +2,8 @@
 
 Every metric is computed from the whole text inside its own row, so the plan is one scan with
 no shuffle. Null texts count as empty and fail the base rule. Repeated rows are judged one by one.
-Columns of the input other than the text are never read by the operator, so clashing names are harmless.
+Texts of any length are judged whole. Columns of the input other than the text are never read by the operator,
+and those made on the way take names that the table has not got, so clashing names are harmless.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_RE, WORD_CHAR_RE, filtered, text_or_empty, words_of
+from .common import SPACE_RE, WORD_CHAR_RE, exact, filtered, free_name, words_of
 
 #: Frequent function words of English, French, German and Spanish.
 STOP_WORDS = (
@@ -68,7 +69,7 @@ def _covered(positions: Column) -> Column:
 
 def with_counts(df: DataFrame, text: Column, name: str) -> DataFrame:
     """Adds the struct column `name` with COUNTS, all long."""
-    t, ws, hs, keys, again, ps, at, ls = own = [f"{name}_{x}" for x in ("text", "words", "hashes", "keys", "again", "pairs", "at", "lines")]
+    t, ws, hs, keys, again, ps, at, ls = own = [free_name(df, f"{name}_{x}") for x in ("text", "words", "hashes", "keys", "again", "pairs", "at", "lines")]
     df = df.withColumn(t, text)
     df = df.withColumn(ws, words_of(F.col(t))).withColumn(
         ls, F.filter(F.split(F.col(t), "\n"), lambda x: x.rlike(WORD_CHAR_RE))
@@ -138,17 +139,19 @@ def _qualified(metric: str, name: str) -> str:
 def judge(df: DataFrame, text: Column, name: str = "__quality", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Adds the struct `name`: the counts, base_failed, failed (rule names) and kept."""
     df = with_counts(df, text, name)
-    return df.withColumn(f"{name}_failed", failed_rules(name, rules)).withColumn(
+    failed = free_name(df, f"{name}_failed")
+    return df.withColumn(failed, failed_rules(name, rules)).withColumn(
         name,
         F.struct(
             f"{name}.*",
             base_failed(name).alias("base_failed"),
-            F.col(f"{name}_failed").alias("failed"),
-            (~base_failed(name) & (F.size(f"{name}_failed") == 0)).alias("kept"),
+            F.col(failed).alias("failed"),
+            (~base_failed(name) & (F.size(failed) == 0)).alias("kept"),
         ),
-    ).drop(f"{name}_failed")
+    ).drop(failed)
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
     """The rows that pass, with the columns they came with."""
-    return filtered(judge(docs, text_or_empty(text_col), "__quality", rules), F.col("__quality.kept")).drop("__quality")
+    name = free_name(docs, "__quality")
+    return filtered(judge(docs, F.coalesce(exact(text_col), F.lit("")), name, rules), F.col(f"{name}.kept")).drop(name)

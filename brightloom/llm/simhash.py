@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut_lineage
+from .common import cut_lineage, exact, free_name
 from .components import components
 
 SHINGLE = 4
@@ -62,7 +62,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(id, th, fp): th tells texts of one id apart; fp holds the 64 bits as a long."""
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    rows = docs.select(exact(id_col), F.xxhash64(exact(text_col)), exact(text_col)).toDF("id", "th", "text")
     schema = T.StructType([rows.schema["id"], rows.schema["th"], T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,9 +241,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     """One document of each component, with the columns it came with: that of the smallest id, then text hash."""
     found = groups(docs, id_col, text_col, shingle, radius)
     best = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "th")).alias("best"))
-    best = best.select(F.col("best.id").alias("__id"), F.col("best.th").alias("__th"))
-    rows = docs.withColumn("__h", F.xxhash64(text_col)).join(
-        best, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th")), "left_semi"
-    )
-    again = Window.partitionBy(id_col, "__h").orderBy(id_col)
-    return rows.withColumn("__n", F.row_number().over(again)).filter("__n = 1").drop("__n", "__h")
+    h, n, id_, th = (free_name(docs, f"__{x}") for x in ("h", "n", "id", "th"))
+    best = best.select(F.col("best.id").alias(id_), F.col("best.th").alias(th))
+    rows = docs.withColumn(h, F.xxhash64(exact(text_col))).join(best, exact(id_col).eqNullSafe(F.col(id_)) & (F.col(h) == F.col(th)), "left_semi")
+    again = Window.partitionBy(exact(id_col), h).orderBy(h)
+    return rows.withColumn(n, F.row_number().over(again)).filter(F.col(n) == 1).drop(n, h)
