@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import exact, stored
+from .words import hashed, places
 
 WINDOW = 10
 BLOCK_CHARS = 16_000_000
@@ -39,44 +40,13 @@ for _b in [*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]:
     _LOWER[_b] = _b
 for _b in range(0x41, 0x5B):
     _LOWER[_b] = _b + 32
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, modulo 2**64."""
-    if len(_POWERS.get("up", ())) < n:
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _POWERS[name] = np.multiply.accumulate(steps)
-    return _POWERS["up"], _POWERS["down"]
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all words in order and, for each text, where its words begin (one entry more than texts).
-
-    data: UTF-8 bytes of all texts; offsets: where each begins, and the end, counted from data's start.
-    """
-    n = len(data)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    """The hashes of all words in order and, for each text, where its words begin (one entry more than texts)."""
     low = _LOWER[data]
-    inside = low != 0
-    starts = inside.copy()
-    starts[1:] &= ~inside[:-1]
-    first = offsets[:-1][offsets[:-1] < n]
-    starts[first] = inside[first]
-    ends = inside.copy()
-    ends[:-1] &= ~inside[1:]
-    last = offsets[1:][offsets[1:] > 0] - 1
-    ends[last] = inside[last]
-    at, to = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    up, down = _powers(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(low * up[:n], out=sums[1:])
-    return (sums[to] - sums[at]) * down[at], np.searchsorted(at, offsets)
+    at, to = places(low, offsets)
+    return hashed(low, at, to), np.searchsorted(at, offsets)
 
 
 def _suffix_order(text: np.ndarray, depth: int) -> np.ndarray:

@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import ppm
-from .common import ascii_lower, exact, stored
+from .common import SPACE_CHARS, ascii_lower, exact, stored
+from .words import Finder, hashed, places
 
 _TWO = np.uint64(8 * (ppm.ORDER - 1))
 CHUNK_CHARS = 16_000_000
@@ -38,16 +39,45 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 5 == 1, F.lit(False))
 
 
-def _tokens(text: str | None) -> list[str]:
-    return [w.decode("utf-8", "surrogatepass") for w in (text or "").encode("utf-8", "surrogatepass").split()] + [""]
+#: A byte as a symbol, zero between words.
+_SYMBOLS = np.arange(1, 257, dtype=np.uint16)
+_SYMBOLS[list(SPACE_CHARS.encode())] = 0
+
+
+class _Tokens:
+    """The words of a batch of texts: hashes, the text of each, and the bytes."""
+
+    def __init__(self, texts: list[str | None]):
+        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        self.data = b"".join(raw)
+        offsets = np.concatenate([[0], np.cumsum(np.array([len(r) for r in raw], np.int64))]).astype(np.int64)
+        symbols = _SYMBOLS[np.frombuffer(self.data, np.uint8)]
+        self.at, self.to = places(symbols, offsets)
+        self.hashes = hashed(symbols, self.at, self.to)
+        self.lengths = np.diff(np.searchsorted(self.at, offsets))
+        self.owner = np.repeat(np.arange(len(texts)), self.lengths)
+
+    def words(self, which: np.ndarray) -> list[str]:
+        return [self.data[a:b].decode("utf-8", "surrogatepass") for a, b in zip(self.at[which].tolist(), self.to[which].tolist(), strict=True)]
 
 
 def _counted_tokens(frame: pd.DataFrame) -> pd.DataFrame:
-    counts: dict[str, int] = {}
-    for text, out in zip(frame["text"], frame["held_out"], strict=True):
-        for t in _tokens(text):
-            counts[t] = counts.get(t, 0) + (not out)
-    return pd.DataFrame({"chunk": frame["chunk"].iat[0], "token": list(counts), "n": list(counts.values())})
+    """(chunk, token, n) of a chunk's distinct tokens; the empty one is the end of a text."""
+    texts, out = frame["text"].tolist(), frame["held_out"].to_numpy(bool)
+    hashes, counts, words = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, object)
+    for part in _text_batches(texts):
+        tokens = _Tokens(texts[part])
+        order = np.argsort(tokens.hashes)
+        ordered = tokens.hashes[order]
+        first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]][: len(ordered)])
+        distinct, n = ordered[first], np.add.reduceat((~out[part])[tokens.owner[order]], first, dtype=np.int64) if len(first) else np.zeros(0, np.int64)
+        at = np.searchsorted(hashes, distinct)
+        there = at < len(hashes)
+        there[there] = hashes[at[there]] == distinct[there]
+        counts[at[there]] += n[there]
+        fresh = np.array(tokens.words(order[first[~there]]), object)
+        hashes, counts, words = (np.insert(old, at[~there], new) for old, new in ((hashes, distinct[~there]), (counts, n[~there]), (words, fresh)))
+    return pd.DataFrame({"chunk": frame["chunk"].iat[0], "token": ["", *words], "n": [int((~out).sum()), *counts.tolist()]})
 
 
 def _chunk_tokens(rows: DataFrame) -> DataFrame:
@@ -233,15 +263,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole
             grams = np.concatenate([_unpacked(t, g) for t, g in zip(packed["two"], packed["grams"], strict=True)])
             found_scores = np.concatenate([np.frombuffer(x) for x in packed["scores"]])
             answers = answers[answers["two"] < 0]
-            score = np.concatenate([_text_scores(texts[part], grams, found_scores) for part in _text_batches(texts)])
-        place = dict(zip(answers["token"], range(len(answers)), strict=True))
+            finder = Finder(grams)
+            score = np.concatenate([_text_scores(texts[part], finder, found_scores) for part in _text_batches(texts)])
         c, scores = answers["c"].to_numpy(), answers["score"].to_numpy()
-        base = np.log10((c + floor) / size)
-        found = []
-        for text in texts:
-            at = np.array([place[t] for t in _tokens(text)])
-            found.append((len(at), int((c[at] > 0).sum()), base[at].sum(), scores[at].sum()))
-        found = pd.DataFrame(found, columns=["n_tokens", "n_known", "base_score", "score"])
+        known_tokens = _KnownTokens(answers["token"].tolist(), c, np.log10((c + floor) / size), scores)
+        found = pd.concat([known_tokens.sums(texts[part]) for part in _text_batches(texts)], ignore_index=True)
         if whole_texts:
             found["score"] = score
         return pd.DataFrame({"id": own["id"].reset_index(drop=True), "held_out": own["held_out"].reset_index(drop=True)}).join(found)
@@ -253,6 +279,23 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole
     return scored.select("id", "held_out", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def _text_scores(texts: list[str | None], known: np.ndarray, scores: np.ndarray) -> np.ndarray:
+def _text_scores(texts: list[str | None], known: Finder, scores: np.ndarray) -> np.ndarray:
     grams, begin = ppm.text_grams(texts)
-    return np.add.reduceat(ppm.looked_up(grams, known, scores), begin[:-1])
+    return np.add.reduceat(scores[known.find(grams)], begin[:-1])
+
+
+class _KnownTokens:
+    """A chunk's dictionary by hash: how often each token occurs, its base score and its score."""
+
+    def __init__(self, words: list[str], c: np.ndarray, base: np.ndarray, scores: np.ndarray):
+        end = words.index("")
+        others = np.delete(np.arange(len(words)), end)
+        self.finder, self.order, self.end = Finder(_Tokens([words[i] for i in others.tolist()]).hashes), others, end
+        self.values = ((c > 0).astype(float), base, scores)
+
+    def sums(self, texts: list[str | None]) -> pd.DataFrame:
+        """Per text the number of its tokens and of known ones, and the sums of base and score; each text has an end."""
+        tokens = _Tokens(texts)
+        at = self.order[self.finder.find(tokens.hashes)]
+        known, base, score = (np.bincount(tokens.owner, v[at], len(texts)) + v[self.end] for v in self.values)
+        return pd.DataFrame({"n_tokens": tokens.lengths + 1, "n_known": known.astype(np.int64), "base_score": base, "score": score})

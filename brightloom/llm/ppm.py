@@ -20,6 +20,7 @@ ORDER = 5
 SHIFT = np.uint64(8)
 _START, _END_WORD, _END_TEXT = 0x20, 0x20, 0x0A
 _BEFORE = bytes(ORDER - 1) + b" "
+_SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r", b" " * 5)
 
 
 def token_grams(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -41,18 +42,28 @@ def token_grams(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def text_grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """All grams of whole texts in order, and where each text's begin (one entry more than texts)."""
-    words = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-    coded = [_BEFORE + b" ".join([*w, b"\n"]) for w in words]
-    data = np.frombuffer(b"".join(coded), np.uint8).astype(np.uint64)
-    lengths = np.array([len(c) for c in coded], np.int64)
-    starts = np.cumsum(lengths) - lengths
-    grams = data.copy()
-    for k in range(1, ORDER + 1):
-        grams[k:] |= data[:-k] << np.uint64(8 * (ORDER + 1 - k))
-    keep = np.ones(len(data), bool)
+    coded = [_BEFORE + (t or "").encode("utf-8", "surrogatepass").translate(_SPACES) + b" \n" for t in texts]
+    data = np.frombuffer(b"".join(coded), np.uint8)
+    ends = np.cumsum(np.array([len(c) for c in coded], np.int64))
+    space = data == 0x20
+    stay = np.ones(len(data), bool)
+    stay[1:] = ~(space[1:] & space[:-1])
+    data = data[stay].tobytes()
+    ends = np.cumsum(stay)[ends - 1]
+    lengths = np.diff(ends, prepend=0)
+    starts = ends - lengths
+    n = len(data) - ORDER
+    # every run of eight bytes as one number, the first lowest: the context and the next byte are its low six
+    runs = np.ndarray((n,), "<u8", data + bytes(8), strides=(1,)).copy()
+    keep = np.ones(n, bool)
     for k in range(len(_BEFORE)):
-        keep[starts + k] = False
-    return grams[keep], np.concatenate([[0], np.cumsum(lengths - len(_BEFORE))])
+        keep[starts[1:] - ORDER + k] = False
+    runs = runs[keep]
+    symbols = runs >> np.uint64(8 * ORDER) & np.uint64(0xFF)
+    runs <<= SHIFT
+    runs &= np.uint64((1 << 8 * (ORDER + 1)) - 256)
+    runs |= symbols
+    return runs, np.concatenate([[0], np.cumsum(lengths - len(_BEFORE))])
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -90,16 +101,6 @@ def distinct(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return grams[first], np.diff(np.append(first, len(grams)))
 
 
-def looked_up(grams: np.ndarray, known: np.ndarray, scores: np.ndarray) -> np.ndarray:
-    """The score of each gram; known: sorted and with all of them. Each piece is sorted with its places in the free low bytes."""
-    out = np.empty(len(grams))
-    for a in range(0, len(grams), 1 << 16):
-        piece = grams[a : a + (1 << 16)]
-        keys = np.sort(piece << np.uint64(16) | np.arange(len(piece), dtype=np.uint64))
-        out[a + (keys & np.uint64(0xFFFF)).astype(np.int64)] = scores[np.searchsorted(known, keys >> np.uint64(16))]
-    return out
-
-
 def _node_counts(grams: np.ndarray, counts: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For grams cut to an order: the distinct (context, symbol) keys, which of them each gram is, and their counts."""
     keys = (grams >> np.uint64(8 * (ORDER - order + 1))) << SHIFT | grams & np.uint64(0xFF)
