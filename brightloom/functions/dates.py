@@ -2,21 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import clean, without_digit_gaps
 
-#: Date notations and the cues around deadlines.
+#: Date notations and the words around application windows, deadlines and publication.
 SEP = r"\s*[年./\-]\s*"
 YMD = rf"(20\d{{2}}){SEP}(\d{{1,2}}){SEP.replace('年', '年月')}(\d{{1,2}})\s*日?"
+MD = r"(\d{1,2})\s*月\s*(\d{1,2})\s*日"
+CLOCK = r"(?:\s*\d{1,2}[:：]\d{2})?"
 ENGLISH_MDY = r"([A-Z][a-z]{2,8})\.?\s+(\d{1,2}),?\s+(20\d{2})"
 ENGLISH_DMY = r"(\d{1,2})\s+([A-Z][a-z]{2,8})\.?,?\s+(20\d{2})"
-RANGE_MARK = r"\s*(?:至|到|—|–|-|~|～)+\s*"
-DEADLINE_CUES = r"(?:截止(?:时间|日期)?|报名截止|有效期至)"
-EXPIRY_LABELS = r"(?:失效日期|失效时间|有效期至|到期日期)"
-PUBLISHED_LABELS = r"(?:发布时间|发布日期|发布于|公布时间)"
-ENGLISH_CUES = r"(?i:application deadline|closing date|apply by|deadline)"
+APPLY_WORDS = ("报名", "申请", "网申", "投递", "应聘")
+WINDOW_WORDS = ("时间", "期间", "日期")
+UNTIL_MARKS = ("至", "到", "-", "—", "–", "~", "～")
+CLOSE_WORDS = ("截止时间", "截止", "截至", "结束")
+EXPIRY_LABELS = ("过期时间", "到期时间", "到期日期", "失效时间", "失效日期", "有效期至", "有效期截止", "有效期")
+EXPIRY_WORDS = ("截止", "截至", "过期", "有效期", "到期", "失效")
+PUBLISHED_LABELS = ("发布时间", "发布日期", "发布于", "公告日期", "公布时间", "发文日期", "更新日期")
+ENGLISH_CUES = ("application deadline", "closing date", "apply by", "deadline")
+
+
+def _any(words: Iterable[str]) -> str:
+    return "(?:" + "|".join(words) + ")"
 
 
 def make_date(year: Column, month: Column, day: Column) -> Column:
@@ -48,30 +59,37 @@ def any_date(text: Column) -> Column:
 
 
 def deadline(text: Column) -> Column:
-    """The closing date: a range's end first (with its own year or the start's), then cues, expiry labels, English cues."""
+    """The closing date by the first of six patterns that the text has, null if that one holds no date.
+
+    In order: an overall application window from some start to a date; the end of an application range; an
+    end without year (the start's year counts; an impossible date passes on); a date after a closing word of
+    applying; an expiry label; an English cue. A range counts only after a word of applying.
+    """
     t = without_digit_gaps(clean(text))
-    clock = r"(?:\s*\d{1,2}[:：]\d{2})?"
-    full_range = rf"{YMD}{clock}{RANGE_MARK}{YMD}"
-    short_range = rf"{YMD}{clock}{RANGE_MARK}(\d{{1,2}})\s*[月./\-]\s*(\d{{1,2}})\s*日?"
-    after_cue = rf"{DEADLINE_CUES}\s*[为:：]?\s*{YMD}"
-    expiry = rf"{EXPIRY_LABELS}\s*[为:：]?\s*{YMD}"
-    english = rf"{ENGLISH_CUES}\s*[:：]?\s*({ENGLISH_MDY}|{ENGLISH_DMY})"
-    year, month, day = _groups(t, short_range, 1, 4, 5)
-    chain = F.when(t.rlike(full_range), make_date(*_groups(t, full_range, 4, 5, 6)))
-    implicit = make_date(year, month, day)
+    until, window = rf"\s*{_any(UNTIL_MARKS)}\s*", rf"{_any(APPLY_WORDS)}.{{0,24}}?{_any(WINDOW_WORDS)}"
+    overall = rf"{window}.{{0,32}}?(?:自|从).{{0,24}}?(?:至|到)\s*{YMD}"
+    span = rf"{window}.{{0,20}}?{YMD}{until}{YMD}"
+    same_year = rf"{window}.{{0,32}}?{YMD}{CLOCK}{until}(?:(20\d{{2}})\s*年\s*)?{MD}"
+    closing = rf"{_any((*APPLY_WORDS, '招聘'))}.{{0,24}}?{_any(CLOSE_WORDS)}.{{0,32}}?{YMD}"
+    expiry = rf"{_any(EXPIRY_LABELS)}\s*[为:：]?\s*{YMD}"
+    english = rf"(?i:{_any(ENGLISH_CUES)})[:：\s]{{0,16}}({ENGLISH_MDY}|{ENGLISH_DMY})"
+    start, year, month, day = _groups(t, same_year, 1, 4, 5, 6)
+    implicit = make_date(F.coalesce(year, start), month, day)
     return (
-        chain.when(t.rlike(short_range) & implicit.isNotNull(), implicit)
-        .when(t.rlike(after_cue), make_date(*_groups(t, after_cue, 1, 2, 3)))
+        F.when(t.rlike(overall), make_date(*_groups(t, overall, 1, 2, 3)))
+        .when(t.rlike(span), make_date(*_groups(t, span, 4, 5, 6)))
+        .when(implicit.isNotNull(), implicit)
+        .when(t.rlike(closing), make_date(*_groups(t, closing, 1, 2, 3)))
         .when(t.rlike(expiry), make_date(*_groups(t, expiry, 1, 2, 3)))
         .when(t.rlike(english), english_date(F.regexp_extract(t, english, 1)))
     )
 
 
 def published(text: Column) -> Column:
-    """The labelled date; else none if the text speaks of expiry; else the first date."""
+    """The labelled date; else none if the text speaks of closing or expiry; else the first date."""
     t = without_digit_gaps(clean(text))
-    labelled = rf"{PUBLISHED_LABELS}\s*[为:：]?\s*{YMD}"
-    return F.when(t.rlike(labelled), make_date(*_groups(t, labelled, 1, 2, 3))).when(~t.rlike(EXPIRY_LABELS), any_date(t))
+    labelled = rf"{_any(PUBLISHED_LABELS)}[为:：\s]{{0,8}}{YMD}"
+    return F.when(t.rlike(labelled), make_date(*_groups(t, labelled, 1, 2, 3))).when(~t.rlike(_any(EXPIRY_WORDS)), any_date(t))
 
 
 def is_expired(day: Column, today: Column) -> Column:

@@ -61,3 +61,31 @@ def match(degree: Column, major: Column, score: Column) -> Column:
     for name, p in PRIORITY.items():
         chain = F.when(level == name, p) if chain is None else chain.when(level == name, p)
     return F.struct(level.alias("level"), chain.alias("priority"))
+
+
+def explained(matched: Column, degree: Column, major: Column, labels: dict[str, str], reasons: dict[tuple[str, str], str]) -> Column:
+    """struct(level, label, reason, priority): the label by level, the reason by (degree, major) status, else by (degree, '')."""
+    label = F.lit(None).cast("string")
+    for level, name in labels.items():
+        label = F.when(matched["level"] == level, name).otherwise(label)
+    reason = F.lit("")
+    for (d, m), why in sorted(reasons.items(), key=lambda x: x[0][1] != ""):
+        reason = F.when((degree == d) & ((major == m) if m else F.lit(True)), why).otherwise(reason)
+    for (d, m), why in reasons.items():
+        if m:
+            reason = F.when((degree == d) & (major == m), why).otherwise(reason)
+    return F.struct(matched["level"].alias("level"), label.alias("label"), reason.alias("reason"), matched["priority"].alias("priority"))
+
+
+#: How a text says that a degree or any above it will do.
+OR_ABOVE = ("及以上", "或以上", "以上学历", "以上学位", " or above", " or higher")
+
+
+def or_above(text: Column, own: Column, names: dict[str, Iterable[str]] | None = None) -> Column:
+    """The text accepts a degree of at most the own rank and all above it. names: ways to write each degree."""
+    found = F.lit(False)
+    for degree, r in DEGREE_RANKS.items():
+        ways = [n + end for n in (names or {}).get(degree, (degree,)) for end in OR_ABOVE]
+        for way in ways:
+            found = found | (F.contains(F.lower(text), F.lit(way.lower())) & (rank(own) >= r))
+    return F.coalesce(found, F.lit(False))

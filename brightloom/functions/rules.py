@@ -1,6 +1,6 @@
 """Ordered first-match rules as column expressions, made from dictionaries that the caller gives.
 
-Used for place cascades, taxonomies, affiliations and directions: order is meaning, the first rule wins.
+Used for taxonomies, affiliations and directions: order is meaning, the first rule wins.
 """
 
 from __future__ import annotations
@@ -39,29 +39,3 @@ def lookup(key: Column, table: Mapping[str, str], default: Column | None = None)
 def longest_first(terms: Iterable[str]) -> list[str]:
     """Longer terms first; equal lengths keep their order."""
     return sorted(terms, key=lambda t: -len(t))
-
-
-def location(text: Column, cities: Mapping[str, str], provinces: Iterable[str], countries: Mapping[str, str], home: str) -> Column:
-    """struct(province, city, country_or_region, location_confidence, location_evidence).
-
-    Stages: blank; a city with its ending (explicit); a province; a bare city (normalized); a country; unknown.
-    cities: city to province; countries: marker to name.
-    """
-    def found(province, city, country, confidence, evidence):
-        values = (("province", province), ("city", city), ("country_or_region", country), ("location_confidence", confidence), ("location_evidence", evidence))
-        return F.struct(*[(v if isinstance(v, Column) else F.lit(v).cast("string")).alias(k) for k, v in values])
-
-    t = F.coalesce(text, F.lit(""))
-    chain = F.when(F.trim(t) == "", found(None, None, None, "unknown", None))
-    for city in longest_first(cities):
-        chain = chain.when(F.contains(t, F.lit(city + "市")), found(cities[city], city, home, "explicit", city + "市"))
-    for province in longest_first(provinces):
-        for ending in ("省", "自治区", "市"):
-            chain = chain.when(F.contains(t, F.lit(province + ending)), found(province, None, home, "explicit", province + ending))
-    for city in longest_first(cities):
-        chain = chain.when(F.contains(t, F.lit(city)), found(cities[city], city, home, "normalized", city))
-    for province in longest_first(provinces):
-        chain = chain.when(F.contains(t, F.lit(province)), found(province, None, home, "normalized", province))
-    for marker in longest_first(countries):
-        chain = chain.when(F.contains(t, F.lit(marker)), found(None, F.trim(F.split_part(t, F.lit(","), F.lit(1))), countries[marker], "normalized", marker))
-    return chain.otherwise(found(None, None, None, "unknown", None))

@@ -2,19 +2,31 @@
 
 from __future__ import annotations
 
+import html
 from collections.abc import Iterable
 from functools import reduce
 from operator import or_
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
 #: Fixed value: what counts as white space (Unicode, and the four ASCII separators).
 BLANKS = r"(?U)[\s\x1c-\x1f]+"
 
 
-def clean(text: Column) -> Column:
-    """Null becomes empty; runs of Unicode white space become one space; the ends are trimmed."""
+@pandas_udf(T.StringType())
+def unescaped(text: pd.Series) -> pd.Series:
+    """Character references decoded; there is no built-in function for the named ones."""
+    return text.map(lambda x: html.unescape(x) if x is not None and "&" in x else x)
+
+
+def clean(text: Column, references: bool = False) -> Column:
+    """Null becomes empty; runs of Unicode white space become one space; the ends are trimmed; with references they are decoded first."""
+    if references:
+        text = F.when(F.contains(text, F.lit("&")), unescaped(text)).otherwise(text)
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), BLANKS, " "))
 
 

@@ -55,3 +55,31 @@ def job_rules(today: Column, minimum: Column, hosts: Column, forbidden: list[str
         ("stale_open_job", (F.col("status") == "open") & (deadline < today)),
     ]
     return [("unknown_source", ~known), *((code, known & c) for code, c in found)]
+
+
+def own_hosts(allowed: Column, homepage: Column) -> Column:
+    """The hosts of a source: those it allows and its homepage's."""
+    from brightloom.functions import urls
+
+    return F.array_compact(F.array_union(F.coalesce(allowed, F.array().cast("array<string>")), F.array(urls.host(homepage))))
+
+
+def audit(jobs: DataFrame, sources: DataFrame, runs: DataFrame, today: Column, cutoff: Column, forbidden: list[str], process_titles: list[str]) -> DataFrame:
+    """(code, job_id, source_id) for every broken rule; no row means that all is well.
+
+    jobs: id, source_id and the fields of job_rules; sources: id, source_type, enabled, homepage_url, allowed_hosts, minimum_relevance
+    (text), allow_shared_urls; runs: id, source_id, status, started_at, of which those running since the cutoff on enabled sources are stale.
+    """
+    s = sources.select(F.col("id").alias("source_id"), "source_type", "enabled", own_hosts(F.col("allowed_hosts"), F.col("homepage_url")).alias("__hosts"), "minimum_relevance", F.col("allow_shared_urls").alias("__shared"))
+    j = jobs.join(s, "source_id", "left")
+    rules = job_rules(today, F.try_to_number("minimum_relevance", F.lit("S999999999")).cast("int"), F.col("__hosts"), forbidden, process_titles)
+    codes = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(code)) for code, c in rules]))
+    found = j.select(F.explode(codes).alias("code"), F.col("id").alias("job_id"), "source_id")
+    twice = shared_urls(j.filter(F.col("source_url").isNotNull() & F.col("source_type").isNotNull()), "source_url", "__shared")
+    on = sources.filter("enabled").select(F.col("id").alias("source_id"))
+    stale = runs.filter((F.col("status") == "running") & (F.col("started_at") <= cutoff)).join(on, "source_id", "left_semi")
+    none = F.lit(None).cast(jobs.schema["id"].dataType)
+    return (
+        found.unionByName(twice.select(F.lit("duplicate_source_url").alias("code"), none.alias("job_id"), F.lit(None).cast(jobs.schema["source_id"].dataType).alias("source_id")))
+        .unionByName(stale.select(F.lit("stale_crawl_run").alias("code"), none.alias("job_id"), "source_id"))
+    )

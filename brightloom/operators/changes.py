@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 
 def upsert(state: DataFrame, rows: DataFrame, key: str, keep: list[str]) -> DataFrame:
-    """Rows replace those with their key, but `keep` columns stay as they were; new keys are added."""
-    old, new = state.alias("o"), rows.alias("n")
+    """Rows replace those with their key, but `keep` columns stay as they were; new keys are added. Null is a key like others."""
+    old, new = state.alias("o"), rows.withColumn("__there", F.lit(True)).alias("n")
     joined = old.join(new, F.col(f"o.{key}").eqNullSafe(F.col(f"n.{key}")), "full_outer")
-    there = F.col(f"n.{key}").isNotNull()
+    there = F.col("n.__there").isNotNull()
     pick = lambda c: F.coalesce(F.col(f"o.{c}"), F.col(f"n.{c}")) if c in keep else F.when(there, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}"))
     return joined.select(*[pick(c).alias(c) for c in state.columns])
 
@@ -60,8 +60,8 @@ def expire(state: DataFrame, today: Column, now: Column) -> DataFrame:
 
 
 def insert_absent(state: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """Frozen rows: keys that exist stay as they are."""
-    return state.unionByName(rows.join(state.select(key), key, "left_anti"))
+    """Frozen rows: keys that exist stay as they are; of new rows with one key any one is kept."""
+    return state.unionByName(rows.join(state.select(key), key, "left_anti").dropDuplicates([key]).select(*state.columns))
 
 
 def replace_keys(state: DataFrame, rows: DataFrame, key: str) -> DataFrame:
@@ -91,5 +91,5 @@ def interrupt_stale(runs: DataFrame, cutoff: Column, now: Column) -> DataFrame:
 
 
 def with_ids(fresh: DataFrame, key: str, id_col: str = "id") -> DataFrame:
-    """A stable surrogate id that follows from the key alone, so no task has to number all rows."""
-    return fresh.withColumn(id_col, F.xxhash64(key))
+    """A stable surrogate id that follows from the key alone, so no task has to number all rows: 128 bits in hexadecimal."""
+    return fresh.withColumn(id_col, F.md5(F.col(key).cast("string")))

@@ -59,19 +59,15 @@ def location_quality(jobs: DataFrame) -> DataFrame:
     )
 
 
-#: Fixed value: phrases of postings without an end.
-OPEN_ENDED = r"(?i)open\s+until\s+filled|rolling\s+basis|ongoing|招满即止|长期招聘|长期有效"
-
-
-def deadline_quality(jobs: DataFrame, sources: DataFrame) -> DataFrame:
+def deadline_quality(jobs: DataFrame, sources: DataFrame, open_ended: str) -> DataFrame:
     """One row: jobs with an explicit deadline, with a source policy or open-ended words, and with neither.
 
-    sources: source_id and deadline_policy, one row each.
+    sources: source_id and deadline_policy, one row each; open_ended: a pattern of phrases of postings without an end.
     """
     policies = sources.select("source_id", F.col("deadline_policy").alias("__policy"))
     given = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
     words = F.concat_ws(" ", "summary", "description")
-    kind = F.when(given(F.col("deadline_date").cast("string")), "explicit").when(given("__policy") | words.rlike(OPEN_ENDED), "policy").otherwise("unstated")
+    kind = F.when(given(F.col("deadline_date").cast("string")), "explicit").when(given("__policy") | words.rlike(open_ended), "policy").otherwise("unstated")
     kinds = jobs.join(policies, "source_id", "left").select(kind.alias("kind"))
     return kinds.agg(F.count("*").alias("total"), *[F.count_if(F.col("kind") == k).alias(k) for k in ("explicit", "policy", "unstated")])
 
@@ -146,3 +142,118 @@ def resilience(sources: DataFrame, backups: DataFrame) -> DataFrame:
     good = backups.filter("backup_id <> source_id").join(on.select(F.col("source_id").alias("backup_id")), "backup_id", "left_semi").select("source_id").distinct()
     covered = on.join(good.withColumn("__ok", F.lit(1)), "source_id", "left").agg(F.count("*").alias("enabled_sources"), F.count("__ok").alias("with_backup"))
     return covered.withColumn("rate", F.coalesce(F.round(F.try_divide("with_backup", "enabled_sources"), 4), F.lit(0.0)))
+
+
+def without_health(sources: DataFrame, health: DataFrame, key: str = "source_id") -> DataFrame:
+    """The keys of sources that no health record has."""
+    return sources.select(key).join(health.select(key), key, "left_anti")
+
+
+def category_sources(jobs: DataFrame, categories: DataFrame, category: str = "category", source: str = "source_id") -> DataFrame:
+    """One row for every category of the dimension: its jobs, distinct sources, and its largest source with share and risk."""
+    from .listing import concentration
+
+    top = concentration(jobs.filter(F.col(category).isNotNull()), [category], source)
+    n = jobs.groupBy(category).agg(F.count_distinct(F.coalesce(source, F.lit("unknown"))).alias("source_count"))
+    found = categories.select(category).join(top, category, "left").join(n, category, "left")
+    return found.na.fill(0, ["top_count", "total", "share", "source_count"]).na.fill("no_data", ["risk"])
+
+
+def scan_quality(sources: DataFrame, health: DataFrame, latest_runs: DataFrame, healthy: tuple[str, ...] = ("source_active",)) -> tuple[DataFrame, DataFrame]:
+    """(one row of counts, outcomes with their numbers) over the latest runs of enabled sources.
+
+    A scan succeeded if its run finished and its source is healthy; unknown health is not healthy.
+    """
+    on = sources.filter("enabled").select("source_id").join(latest_runs.select("source_id", "status", "open_matching_count"), "source_id")
+    h = health.select("source_id", F.col("status").isin(*healthy).alias("__healthy"))
+    r = on.join(h, "source_id", "left").withColumn("__good", (F.col("status") == "finished") & F.coalesce("__healthy", F.lit(False)))
+    matches = F.coalesce("open_matching_count", F.lit(0)) > 0
+    counts = r.agg(F.count("*").alias("sources_with_latest_run"), F.count_if(F.col("__good")).alias("successful_scan_sources"), F.count_if(F.col("__good") & matches).alias("sources_with_open_matches"))
+    outcome = F.when(F.col("status") != "finished", F.col("status")).when(matches, "successful_with_open_matches").otherwise("successful_without_open_matches")
+    return counts, r.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
+
+
+def health_distribution(sources: DataFrame, health: DataFrame) -> DataFrame:
+    """(status, n) over all sources, those without record as unknown."""
+    s = sources.select("source_id").join(health.select("source_id", "status"), "source_id", "left")
+    return s.groupBy(F.coalesce("status", F.lit("unknown")).alias("status")).agg(F.count("*").alias("n"))
+
+
+def state_totals(grid: DataFrame, states: tuple[str, ...] = ("verified", "candidate", "unlocated", "blocked")) -> DataFrame:
+    """One row with the number of targets in each state."""
+    return grid.agg(*[F.count_if(F.col("state") == s).alias(s) for s in states])
+
+
+def distinct_sources(*columns: tuple[DataFrame, str]) -> DataFrame:
+    """One row: how many distinct sources the columns name together."""
+    every = reduce(DataFrame.unionAll, [df.select(F.col(c).alias("source_id")) for df, c in columns])
+    return every.agg(F.count_distinct("source_id").alias("sources"))
+
+
+def target_active(targets: DataFrame, column: str = "target_active_sources", default: int = 3) -> DataFrame:
+    return targets.agg(F.coalesce(F.max(column), F.lit(default)).alias(column))
+
+
+def metric_trend(current: DataFrame, snapshots: DataFrame, day: str, today: Column, metrics: list[str], strictly_before: bool = False) -> DataFrame:
+    """One row: whether there is an earlier snapshot, its day, and each metric's change against it (null without one)."""
+    old = baseline(snapshots, day, today, strictly_before).select(F.col(day).alias("baseline_day"), *[F.col(m).alias(f"__{m}") for m in metrics])
+    j = current.join(old, F.lit(True), "left")  # one row against one at most
+    return j.select(F.col("baseline_day").isNotNull().alias("available"), "baseline_day", *[(F.col(m) - F.col(f"__{m}")).alias(f"{m}_change") for m in metrics])
+
+
+#: The eight checks over the sections' numbers; what is unknown does not pass.
+QUALITY_CHECKS = (
+    ("official_evidence_url_complete", "evidence_rate = 1.0"),
+    ("major_tags_at_least_90_percent", "tags_rate >= 0.9"),
+    ("normalized_location_at_least_90_percent", "region_rate >= 0.9"),
+    ("deadline_explicit_or_policy_at_least_80_percent", "deadline_rate >= 0.8"),
+    ("explicit_profile_match_exists", "explicit_matches > 0"),
+    ("source_concentration_below_50_percent", "source_share < 0.5"),
+    ("category_concentration_below_70_percent", "category_share < 0.7"),
+    ("no_province_marked_verified_during_source_failure", "verified_in_failure = 0"),
+)
+
+
+def quality_gate(numbers: DataFrame, checks: tuple[tuple[str, str], ...] = QUALITY_CHECKS) -> DataFrame:
+    """One row with every check, the names of those that failed in order, and the status."""
+    one = numbers.select(*[F.coalesce(F.expr(c), F.lit(False)).alias(k) for k, c in checks])
+    failed = F.array_compact(F.array(*[F.when(~F.col(k), F.lit(k)) for k, _ in checks]))
+    return one.withColumn("failed_checks", failed).withColumn("status", F.when(F.size("failed_checks") == 0, "pass").otherwise("needs_attention"))
+
+
+def numbers_for_gate(jobs: DataFrame, policies: DataFrame, explicit_matches: DataFrame, provinces: DataFrame, open_ended: str) -> DataFrame:
+    """One row of what the checks ask.
+
+    jobs: source_id, category, official_evidence_url, major_tags, location, province, country_or_region, deadline_date, summary,
+    description; explicit_matches: one row with that column; provinces: of province_coverage.
+    """
+    from .listing import concentration
+
+    given = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
+    rate = lambda n: F.coalesce(F.round(F.try_divide(n, F.count("*")), 4), F.lit(0.0))
+    fields = jobs.agg(rate(F.count_if(given("official_evidence_url"))).alias("evidence_rate"), rate(F.count_if(F.coalesce(F.size("major_tags"), F.lit(0)) > 0)).alias("tags_rate"))
+    places = location_quality(jobs).select(F.coalesce(F.round(F.try_divide("normalized_region", "total"), 4), F.lit(0.0)).alias("region_rate"))
+    days = deadline_quality(jobs, policies, open_ended).select(F.coalesce(F.round(F.try_divide(F.col("explicit") + F.col("policy"), F.col("total")), 4), F.lit(0.0)).alias("deadline_rate"))
+    share = lambda c, missing, out: concentration(jobs.withColumn("__all", F.lit(0)), ["__all"], c, missing).agg(F.coalesce(F.max("share"), F.lit(0.0)).alias(out))
+    failing = provinces.agg(F.count_if(F.col("no_match_is_verified") & (F.col("unhealthy") > 0)).alias("verified_in_failure"))
+    parts = [fields, places, days, explicit_matches.select("explicit_matches"), share("source_id", "unknown", "source_share"), share("category", "unclassified", "category_share"), failing]
+    return reduce(lambda a, b: a.join(b, F.lit(True)), parts)  # one row each
+
+
+def report(sources: DataFrame, health: DataFrame, latest_runs: DataFrame, jobs: DataFrame, policies: DataFrame, targets: DataFrame, fallbacks: DataFrame, provinces: DataFrame, categories: DataFrame, explicit_matches: DataFrame, snapshots: DataFrame, today: Column, roles: tuple[str, ...], open_ended: str) -> dict[str, DataFrame]:
+    """The sections of the coverage report as flat tables, each to be read on its own."""
+    from .listing import concentration
+
+    scans = source_scans(sources, health, latest_runs)
+    by_province = province_coverage(provinces, scans, targets, jobs.select("province"), fallbacks, roles)
+    scan_counts, outcomes = scan_quality(sources, health, latest_runs)
+    one = jobs.withColumn("__all", F.lit(0))
+    current = jobs.agg(F.count("*").alias("open_jobs")).join(scan_counts, F.lit(True)).join(explicit_matches, F.lit(True))
+    metrics = ["open_jobs", "successful_scan_sources", "sources_with_open_matches", "explicit_matches"]
+    return {
+        "health": health_distribution(sources, health), "without_health": without_health(sources, health), "scan_quality": scan_counts, "scan_outcomes": outcomes, "province_coverage": by_province,
+        "target_states": state_totals(target_states(targets)), "location_quality": location_quality(jobs), "deadline_quality": deadline_quality(jobs, policies, open_ended),
+        "source_concentration": concentration(one, ["__all"], "source_id").drop("__all"), "category_concentration": concentration(one, ["__all"], "category", "unclassified").drop("__all"),
+        "category_sources": category_sources(jobs, categories), "trend": metric_trend(current, snapshots, "snapshot_date", today, metrics),
+        "quality_gate": quality_gate(numbers_for_gate(jobs, policies, explicit_matches, by_province, open_ended)),
+    }

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def facet(df: DataFrame, predicates: Iterable[Column | None]) -> DataFrame:
@@ -21,20 +24,50 @@ def page(df: DataFrame, order: Iterable[Column], number: int, size: int) -> Data
     return df.orderBy(*order).offset((max(1, number) - 1) * size).limit(size)
 
 
+def page_and_total(df: DataFrame, predicates: Iterable[Column | None], order: Iterable[Column], number: int, size: int) -> tuple[DataFrame, DataFrame]:
+    """The page, and one row with the number of all rows that match and of the pages they fill."""
+    found = facet(df, predicates)
+    total = found.agg(F.count("*").alias("total")).withColumn("pages", F.ceil(F.col("total") / size))
+    return page(found, order, number, size), total
+
+
+def display_order(bands: Iterable[str], band: str = "relevance_band", deadline: str = "deadline_date", updated: str = "updated_at", key: str = "id") -> list[Column]:
+    """Best band first, then the nearest deadline with undated rows last, then the newest update; the key parts ties."""
+    rank = None
+    for i, name in enumerate(bands):
+        rank = F.when(F.col(band) == name, i) if rank is None else rank.when(F.col(band) == name, i)
+    return [rank.otherwise(len(list(bands))), F.col(deadline).asc_nulls_last(), F.desc(updated), F.col(key)]
+
+
+def has(values: str, one: str | None) -> Column | None:
+    """An array column holds the value; no value is no predicate."""
+    return None if one is None else F.coalesce(F.array_contains(values, one), F.lit(False))
+
+
+def cards(jobs: DataFrame, texts: Iterable[str], lists: Iterable[str] = ()) -> DataFrame:
+    """The columns of a card: missing texts empty, missing lists empty, the others as they are."""
+    texts, lists = set(texts), set(lists)
+    empty = F.array().cast("array<string>")
+    return jobs.select(*[F.coalesce(c, F.lit("")).alias(c) if c in texts else F.coalesce(c, empty).alias(c) if c in lists else F.col(c) for c in jobs.columns])
+
+
 def counts(df: DataFrame, key: str, out: str = "n") -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias(out)).orderBy(F.desc(out), key)
 
 
 def latest(df: DataFrame, keys: Iterable[str], order: str) -> DataFrame:
-    """The row of each key with the largest `order`, by max_by over the whole row: no sort, partial aggregation."""
-    keys = list(keys)
-    whole = F.struct(*df.columns)
-    return df.groupBy(*keys).agg(F.max_by(whole, F.col(order)).alias("__row")).select("__row.*")
+    """The row of each key with the largest `order`; null is a key. Before the shuffle each task keeps one row of a key (a group limit)."""
+    return _first(df, keys, F.desc_nulls_last(order))
 
 
 def first_seen(df: DataFrame, keys: Iterable[str], order: str) -> DataFrame:
-    keys = list(keys)
-    return df.groupBy(*keys).agg(F.min_by(F.struct(*df.columns), F.col(order)).alias("__row")).select("__row.*")
+    """The row of each key with the smallest `order`."""
+    return _first(df, keys, F.asc_nulls_last(order))
+
+
+def _first(df: DataFrame, keys: Iterable[str], order: Column) -> DataFrame:
+    ranked = df.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
+    return ranked.filter("__rank = 1").drop("__rank")
 
 
 def concentration(df: DataFrame, groups: list[str], key: str, missing: str = "unknown") -> DataFrame:
@@ -65,14 +98,51 @@ def dense_grid(left: DataFrame, right: DataFrame, facts: DataFrame, keys: list[s
     return left.crossJoin(right).join(facts, keys, "left")
 
 
-def longest_containing(texts: DataFrame, text_col: str, aliases: DataFrame, alias_col: str, keys: list[str], order: str) -> DataFrame:
-    """For each text the longest alias it contains (ties: lowest `order`). The alias table must be a dictionary.
+ALIAS_BLOCK = 500_000
+
+
+def longest_containing(texts: DataFrame, text_col: str, aliases: DataFrame, alias_col: str, keys: list[str], order: str, block: int = ALIAS_BLOCK) -> DataFrame:
+    """For each text the longest alias it contains (ties: lowest `order`), as keys and the alias's columns; empty aliases match nothing.
 
-    Containment has no key to hash on, so the aliases are broadcast; their number is checked.
+    Every task runs an automaton of all aliases once over each text, so the work is the texts' length, whatever
+    the number of aliases. Larger dictionaries go in blocks of about so many aliases, one at a time on the driver.
     """
-    most = 100_000
-    if aliases.limit(most + 1).count() > most:
-        raise ValueError(f"over {most} aliases")
-    hits = texts.join(F.broadcast(aliases), F.contains(texts[text_col], aliases[alias_col]))
-    best = F.max_by(F.struct(*aliases.columns), F.struct(F.length(alias_col), -F.col(order)))
-    return hits.groupBy(*keys).agg(best.alias("__a")).select(*keys, "__a.*")
+    columns = aliases.columns
+    named = aliases.filter(F.length(alias_col) > 0)
+    blocks = max(1, -(-named.count() // block))
+    rows = texts.select(*keys, F.col(text_col).alias("__text")).filter(F.col("__text").isNotNull())
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("__alias", aliases.schema[alias_col].dataType), T.StructField("__ord", aliases.schema[order].dataType)])
+    every = None
+    for b in range(blocks):
+        part = named if blocks == 1 else named.filter(F.pmod(F.xxhash64(alias_col), F.lit(blocks)) == b)
+        best = part.groupBy(alias_col).agg(F.min(order)).collect()
+        hits = rows.mapInArrow(_automaton_search([tuple(r) for r in best], schema), schema)
+        hits = hits if blocks == 1 else hits.checkpoint()
+        every = hits if every is None else every.unionByName(hits)
+    if blocks > 1:
+        top = F.max_by(F.struct("__alias", "__ord"), F.struct(F.length("__alias"), -F.col("__ord")))
+        every = every.groupBy(*keys).agg(top.alias("t")).select(*keys, "t.*")
+    known = aliases.groupBy(F.col(alias_col).alias("__alias"), F.col(order).alias("__ord")).agg(F.first(F.struct(*columns)).alias("__a"))
+    return every.join(known, ["__alias", "__ord"]).select(*keys, "__a.*")
+
+
+def _automaton_search(aliases: list[tuple], schema: T.StructType):
+    """aliases: (alias, order), distinct."""
+    arrow = to_arrow_schema(schema)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for alias, order in aliases:
+            automaton.add_word(alias, (len(alias), -order, alias))
+        automaton.make_automaton()
+        for batch in batches:
+            found = [max((hit for _, hit in automaton.iter(t)), default=None) if aliases else None for t in batch.column(batch.num_columns - 1).to_pylist()]
+            keep = pa.array([f is not None for f in found], pa.bool_())
+            hits = [f for f in found if f is not None]
+            columns = [batch.column(i).filter(keep) for i in range(batch.num_columns - 1)]
+            columns += [pa.array([f[2] for f in hits], arrow.field("__alias").type), pa.array([-f[1] for f in hits], arrow.field("__ord").type)]
+            yield pa.RecordBatch.from_arrays(columns, names=arrow.names)
+
+    return search

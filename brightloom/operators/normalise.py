@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brightloom.functions import dates, profiles, rules, scoring, text, urls
+from brightloom.functions import dates, places, profiles, rules, scoring, text, urls
 
 
 @dataclass(frozen=True)
@@ -19,10 +19,10 @@ class Vocabulary:
     directions: Sequence[tuple[str, Sequence[str]]] = ()
     tier_points: Mapping[str, int] = field(default_factory=lambda: {"A": 20, "B": 12, "C": 5})
     category_points: Mapping[str, int] = field(default_factory=dict)
-    cities: Mapping[str, str] = field(default_factory=dict)
-    provinces: Sequence[str] = ()
-    countries: Mapping[str, str] = field(default_factory=dict)
-    home: str = "中国"
+    places: places.Places = field(default_factory=places.Places)
+    energy_words: Sequence[str] = ()
+    energy_points: int = 15
+    recruitment_points: int = 8
     cap: int = 58
     bands: Sequence[tuple[int, str]] = ((55, "strong"), (30, "related"))
     lowest_band: str = "weak"
@@ -30,9 +30,11 @@ class Vocabulary:
 
 
 def relevance(match_text: Column, tier: Column, category: Column, v: Vocabulary) -> Column:
-    """Points of the tier, the capped vocabulary score and the category's points, at most 100."""
+    """Points of the tier, the capped vocabulary score, the category's points, and fixed ones for energy words and words of hiring; at most 100."""
     points = lambda key, table: F.coalesce(rules.lookup(key, {k: str(n) for k, n in table.items()}).cast("int"), F.lit(0))
-    return F.least(F.lit(100), points(tier, v.tier_points) + scoring.weighted_score(match_text, v.majors, v.cap) + points(category, v.category_points))
+    bonus = lambda words, n: F.when(text.contains_any(match_text, words), n).otherwise(0)
+    more = bonus(v.energy_words, v.energy_points) + bonus(v.recruitment_words, v.recruitment_points)
+    return F.least(F.lit(100), points(tier, v.tier_points) + scoring.weighted_score(match_text, v.majors, v.cap) + points(category, v.category_points) + more)
 
 
 def posting(raw: DataFrame, v: Vocabulary, today: Column, undated_days: int | None = None) -> DataFrame:
@@ -42,7 +44,7 @@ def posting(raw: DataFrame, v: Vocabulary, today: Column, undated_days: int | No
     r = r.withColumn("source_url", urls.normalize(F.col("source_url"))).withColumn("match_text", F.coalesce(text.blank_to_null(F.col("match_text")), whole))
     r = r.withColumn("published_date", F.coalesce(F.try_to_date("published_date"), dates.published(whole)))
     r = r.withColumn("deadline_date", F.coalesce(F.try_to_date("deadline_date"), dates.deadline(whole)))
-    r = r.withColumn("place", rules.location(F.col("location"), v.cities, v.provinces, v.countries, v.home))
+    r = r.withColumn("place", places.location(F.coalesce(text.blank_to_null(F.col("location")), places.location_hint(F.col("text"))), v.places))
     r = r.withColumn("category", rules.first_match(whole, v.categories, F.lit("other"))).withColumn("direction", rules.first_match(whole, v.directions, F.lit("other")))
     r = r.withColumn("degree_levels", text.ordered_subset(whole, profiles.DEGREE_MARKERS))
     r = r.withColumn("major_tags", text.first_terms(F.col("match_text"), [k for k, _ in v.majors], v.most_tags))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightloom.functions import dates, rules, scoring, text, urls
+from brightloom.functions import dates, profiles, rules, scoring, text, urls
 from brightloom.operators import audit, changes, cohort, coverage, listing, normalise, report
 from brightloom.sources import html, registries
 
@@ -118,12 +118,10 @@ def daily_new_and_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count(new, "new").unionByName(count(updated, "updated"))
 
 
-@query("upcoming_window", "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1997-03-01' AND DATE '1997-03-08'")
+@query("upcoming_window", "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day FROM orders WHERE o_orderstatus = 'O' AND CAST(o_orderdate AS DATE) BETWEEN DATE '1997-03-01' AND DATE '1997-03-08'")
 def upcoming_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read(spark, sf_dir, "orders")
-    # on the column as stored, so that the bounds reach the scan
-    found = o.filter((F.col("o_orderdate") >= F.lit("1997-03-01").cast("timestamp_ntz")) & (F.col("o_orderdate") < F.lit("1997-03-09").cast("timestamp_ntz")))
-    return found.select("o_orderkey", F.col("o_orderdate").cast("date").cast("string").alias("day"))
+    o = read(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "O", "open").alias("status"), F.col("o_orderdate").cast("date").alias("deadline_date"))
+    return report.upcoming(o, F.lit("1997-03-01").cast("date")).select("o_orderkey", F.col("deadline_date").cast("string").alias("day"))
 
 
 @query("expire_before", "SELECT CASE WHEN o_orderstatus = 'O' AND CAST(o_orderdate AS DATE) < DATE '1997-01-01' THEN 'expired' ELSE o_orderstatus END AS status, count(*) AS n FROM orders GROUP BY 1")
@@ -158,7 +156,7 @@ def field_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("missing_health", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
 def missing_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id").join(read(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+    return coverage.without_health(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), "doc_id")
 
 
 @query("content_fingerprint_dups", r"SELECT fingerprint, count(*) AS n, min(doc_id) AS first_doc FROM (SELECT doc_id, sha256(trim(regexp_replace(coalesce(text, ''), '[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g'))) AS fingerprint FROM documents) GROUP BY 1 HAVING count(*) > 1")
@@ -170,10 +168,10 @@ def content_fingerprint_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "alias_contains_join",
     """SELECT doc_id, item_id, alias FROM (SELECT d.doc_id, b.item_id, b.alias, row_number() OVER (PARTITION BY d.doc_id ORDER BY length(b.alias) DESC, b.item_id) AS r
-    FROM documents d JOIN (SELECT item_id, left(text, 60) AS alias FROM benchmark) b ON contains(d.text, b.alias)) WHERE r = 1""",
+    FROM documents d JOIN (SELECT item_id, text AS alias FROM benchmark) b ON contains(d.text, b.alias)) WHERE r = 1""",
 )
 def alias_contains_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    aliases = read(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 60).alias("alias"))
+    aliases = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("alias"))
     return listing.longest_containing(read(spark, sf_dir, "documents").select("doc_id", "text"), "text", aliases, "alias", ["doc_id"], "item_id")
 
 
@@ -188,15 +186,18 @@ def url_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", urls.normalize(F.col("url")).alias("url"))
 
 
-@query("host_allowlist", "SELECT lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS host, count(*) AS n FROM pages GROUP BY 1 HAVING host LIKE '%.example.com'")
+HOSTS = ("therha.example.com", "m.therou.example.com", "blog.thernd.example.net", "spam-farm.example.org")
+
+
+@query("host_allowlist", "SELECT lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS host, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) IN ('" + "', '".join(HOSTS) + "') AS allowed, count(*) AS n FROM pages GROUP BY 1, 2")
 def host_allowlist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hosts = read(spark, sf_dir, "pages").select(urls.host(F.col("url")).alias("host"))
-    return hosts.filter(F.col("host").endswith(".example.com")).groupBy("host").agg(F.count("*").alias("n"))
+    allowed = urls.host_allowed(F.col("url"), F.array(*[F.lit(h) for h in HOSTS]))
+    return read(spark, sf_dir, "pages").groupBy(urls.host(F.col("url")).alias("host"), allowed.alias("allowed")).agg(F.count("*").alias("n"))
 
 
 @query("json_payload_counts", "SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1")
 def json_payload_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.get_json_object("props", "$.k").cast("long")
+    k = registries.json_value(F.col("props"), "k").cast("long")
     return read(spark, sf_dir, "events").groupBy(k.alias("k")).agg(F.count("*").alias("n"))
 
 
@@ -249,29 +250,9 @@ def change_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result.groupBy("outcome").agg(F.count("*").alias("n"))
 
 
-@query(
-    "audit_issues",
-    """SELECT 'empty_description' AS code, doc_id FROM documents WHERE text IS NULL OR trim(text) = '' UNION ALL
-    SELECT 'unknown_record', l.doc_id FROM labels l WHERE l.doc_id NOT IN (SELECT doc_id FROM documents) UNION ALL
-    SELECT 'below_threshold', doc_id FROM labels WHERE quality < 1 UNION ALL SELECT 'forbidden_text', doc_id FROM documents WHERE contains(text, 'license')""",
-)
-def audit_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
-    empty, forbidden = audit.rule("empty_description", F.coalesce(F.trim("text") == "", F.lit(True))), audit.rule("forbidden_text", F.contains("text", F.lit("license")))
-    return audit.issues(
-        [(d, [empty, forbidden], "doc_id"), (labels, [audit.rule("below_threshold", F.col("quality") < 1)], "doc_id"), (labels.join(d.select("doc_id"), "doc_id", "left_anti"), [audit.rule("unknown_record", F.lit(True))], "doc_id")]
-    )
-
-
-@query("coverage_gate", "SELECT count(*) >= 100 AS enough, avg(quality) >= 0.5 AS good, coalesce(bool_and(toxic IN (0, 1)), false) AS valid, count(*) >= 100 AND avg(quality) >= 0.5 AND coalesce(bool_and(toxic IN (0, 1)), false) AS passed FROM labels")
-def coverage_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checks = {"enough": F.count("*") >= 100, "good": F.avg("quality") >= 0.5, "valid": F.bool_and(F.col("toxic").isin(0, 1))}
-    return coverage.gate(read(spark, sf_dir, "labels"), checks)
-
-
 @query("title_extraction", "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages")
 def title_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+    return read(spark, sf_dir, "pages").select("page_id", html.title(F.col("html")).alias("title"))
 
 
 @query("link_extraction", """SELECT page_id, i::BIGINT AS position, hrefs[i] AS href FROM (SELECT page_id, hrefs, unnest(range(1, len(hrefs) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1) AS hrefs FROM pages))""")
@@ -279,14 +260,10 @@ def link_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.links(read(spark, sf_dir, "pages"), "page_id", "html")
 
 
-@query(
-    "registry_union_dups",
-    "SELECT name, count(*) AS n FROM (SELECT s_name AS name FROM supplier UNION ALL SELECT c_name FROM customer UNION ALL SELECT s_name FROM supplier WHERE s_suppkey <= 5) GROUP BY 1 HAVING count(*) > 1",
-)
+@query("registry_union_dups", "SELECT name, count(*) AS n FROM (SELECT r_name AS name FROM region UNION ALL SELECT p_type FROM part UNION ALL SELECT p_name FROM part) GROUP BY 1 HAVING count(*) > 1")
 def registry_union_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, c = read(spark, sf_dir, "supplier"), read(spark, sf_dir, "customer")
-    every = [s.select(F.col("s_name").alias("name")), c.select(F.col("c_name").alias("name")), s.filter("s_suppkey <= 5").select(F.col("s_name").alias("name"))]
-    return registries.duplicates(every, "name")
+    p = read(spark, sf_dir, "part")
+    return registries.duplicates([read(spark, sf_dir, "region").select(F.col("r_name").alias("name")), p.select(F.col("p_type").alias("name")), p.select(F.col("p_name").alias("name"))], "name")
 
 
 @query(
@@ -303,25 +280,37 @@ def taxonomy_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "degree_rank_match",
-    """SELECT c_mktsegment, count(*) FILTER (least <= 2) AS explicit, count(*) FILTER (least > 2) AS review FROM (SELECT c_custkey, c_mktsegment, min(CAST(left(o_orderpriority, 1) AS INT)) AS least
-    FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2) GROUP BY 1""",
+    """WITH d AS (SELECT c_custkey, c_mktsegment, CASE WHEN left(o_orderpriority, 1) IN ('1', '2') THEN 3 WHEN left(o_orderpriority, 1) = '3' THEN 2 ELSE 1 END AS r FROM customer JOIN orders ON o_custkey = c_custkey),
+    m AS (SELECT c_custkey, c_mktsegment, list(DISTINCT r) AS rs, min(r) AS least, CASE c_mktsegment WHEN 'BUILDING' THEN 1 WHEN 'MACHINERY' THEN 3 ELSE 2 END AS own FROM d GROUP BY 1, 2)
+    SELECT c_mktsegment, CASE WHEN list_contains(rs, own) THEN 'explicit' WHEN own < least THEN 'blocked' ELSE 'review' END AS status, count(*) AS n FROM m GROUP BY 1, 2""",
 )
 def degree_rank_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min(F.substring("o_orderpriority", 1, 1).cast("int")).alias("least"))
+    first = F.substring("o_orderpriority", 1, 1)
+    degree = F.when(first.isin("1", "2"), "博士").when(first == "3", "硕士").otherwise("本科")
+    o = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_set(degree).alias("listed"))
     c = read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment").join(o, F.col("c_custkey") == F.col("o_custkey"))
-    return c.groupBy("c_mktsegment").agg(F.count_if(F.col("least") <= 2).alias("explicit"), F.count_if(F.col("least") > 2).alias("review"))
+    own = F.when(F.col("c_mktsegment") == "BUILDING", "本科").when(F.col("c_mktsegment") == "MACHINERY", "博士").otherwise("硕士")
+    return c.groupBy("c_mktsegment", profiles.degree_status(F.col("listed"), own).alias("status")).agg(F.count("*").alias("n"))
 
 
 @query(
     "deadline_extraction",
-    """SELECT * FROM (VALUES (1, '2026-10-08'), (2, '2026-10-15'), (3, '2026-10-15'), (4, '2026-09-16'), (5, '2026-11-17'), (6, '2026-12-31'), (7, NULL), (8, NULL)) t(id, deadline)""",
+    """WITH o AS (SELECT o_orderkey AS id, o_orderkey % 7 AS k, CAST(o_orderdate + INTERVAL 30 YEAR AS DATE) AS d FROM orders)
+    SELECT id, CAST(CASE k WHEN 0 THEN d + 10 WHEN 1 THEN d + 20 WHEN 2 THEN make_date(year(d), month(d + 5), day(d + 5)) WHEN 3 THEN d - 12 WHEN 4 THEN d WHEN 5 THEN d END AS VARCHAR) AS deadline,
+      CAST(CASE WHEN k IN (1, 2, 5, 6) THEN d END AS VARCHAR) AS published FROM o""",
 )
 def deadline_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [
-        (1, "报名截止时间为2026年10月8日"), (2, "2026.9.1-2026.10.15"), (3, "报名截止 2 0 2 6 年 1 0 月 1 5 日"), (4, "2026年9月10日 08:00 至 9月16日 18:00"),
-        (5, "失效日期：2026-11-17"), (6, "Application deadline: December 31, 2026"), (7, "截止时间2026年13月40日"), (8, None),
-    ]
-    return spark.createDataFrame(rows, "id int, text string").select("id", dates.deadline(F.col("text")).cast("string").alias("deadline"))
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 7).alias("k"), F.add_months(F.col("o_orderdate").cast("date"), 360).alias("d"))
+    day = lambda n=0, form="yyyy年M月d日": F.date_format(F.date_add("d", n), form)
+    notices = (
+        ("报名时间：自公告发布之日起至", day(10), "止。第一批次：报名截止时间为", day()), ("报名时间：", day(form="yyyy.MM.dd"), "-", day(20, "yyyy.MM.dd"), "，请投递"), ("网上报名时间：", day(), "9:00至", day(5, "M月d日"), "17:00。"),
+        ("会议时间", day(), "至", day(2), "，报名截止", day(-12)), ("招聘公告 过期时间：", day(form="yyyy-MM-dd")), ("Application deadline: ", day(form="MMMM d, yyyy")), ("发布时间：", day(form="yyyy-MM-dd"), " 地点另行通知"),
+    )
+    notice = F.lit(None).cast("string")
+    for i, parts in enumerate(notices):
+        notice = F.when(F.col("k") == i, F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])).otherwise(notice)
+    o = o.withColumn("notice", notice)
+    return o.select("id", dates.deadline(F.col("notice")).cast("string").alias("deadline"), dates.published(F.col("notice")).cast("string").alias("published"))
 
 
 @query(

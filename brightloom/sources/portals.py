@@ -8,6 +8,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 
@@ -39,7 +40,7 @@ def decrypted(payload: Column, key: Column, iv: Column) -> Column:
     return F.try_aes_decrypt(F.concat(iv, F.unbase64(payload)), key, F.lit("CBC"), F.lit("PKCS")).cast("string")
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def embedded_article(packed: pd.Series) -> pd.Series:
     """base64 of zlib of base64 of text; null for anything else. zlib has no built-in function."""
 

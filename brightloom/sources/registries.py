@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REQUIRED = ("id", "name", "publisher", "homepage_url", "source_type", "category", "source_tier")
@@ -21,9 +21,9 @@ def load_sources(spark: SparkSession, paths: list[str]) -> DataFrame:
     """The concatenation of JSON lists; a missing required key or a repeated id is an error."""
     rows = reduce(DataFrame.unionByName, [spark.read.schema(SCHEMA).json(p, multiLine=True) for p in paths])
     rows = rows.withColumns({"enabled": F.coalesce("enabled", F.lit(True)), "config": F.coalesce("config", F.lit("{}"))})
-    for c in REQUIRED:
-        if rows.filter(F.col(c).isNull()).limit(1).count():
-            raise ValueError(f"a source has no {c}")
+    missing = rows.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in REQUIRED]).first()
+    if lacking := [c for c in REQUIRED if missing[c]]:
+        raise ValueError(f"a source has no {', '.join(lacking)}")
     if again := duplicates([rows], "id").limit(5).collect():
         raise ValueError(f"repeated ids: {[r[0] for r in again]}")
     return rows
@@ -39,6 +39,30 @@ def load_targets(spark: SparkSession, path: str, states: tuple[str, ...] = ("ver
     return rows
 
 
+def json_value(document: Column, path: str) -> Column:
+    """The value at a dotted path of a JSON text as text; null where a part is missing."""
+    return F.get_json_object(document, "$." + path)
+
+
+def verified_jobs(spark: SparkSession, path: str, required: tuple[str, ...] = ("source_id", "title", "source_url")) -> DataFrame:
+    """Jobs of a JSON file, a list or one object; a job without a required field is an error."""
+    rows = spark.read.json(path, multiLine=True)
+    if lacking := [c for c in required if c not in rows.columns]:
+        raise ValueError(f"no field {', '.join(lacking)}")
+    missing = rows.agg(*[F.count_if(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == "").alias(c) for c in required]).first()
+    if lacking := [c for c in required if missing[c]]:
+        raise ValueError(f"a job has no {', '.join(lacking)}")
+    return rows
+
+
+def landscape(spark: SparkSession, path: str) -> DataFrame:
+    """(group, unit) rows of an employer map; groups without units stay."""
+    raw = spark.read.schema("groups array<struct<name:string,units:array<string>>>").json(path, multiLine=True)
+    if raw.filter(F.col("groups").isNull()).limit(1).count():
+        raise ValueError("no list of groups")
+    return raw.select(F.explode("groups").alias("g")).select(F.col("g.name").alias("group"), F.explode_outer("g.units").alias("unit"))
+
+
 def json_items(df: DataFrame, col: str, items_path: str, fields: dict[str, str]) -> DataFrame:
     """One row per item of a JSON document, by dotted paths; missing values are null."""
     items = F.from_json(F.get_json_object(col, "$." + items_path), "array<string>")

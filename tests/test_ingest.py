@@ -2,7 +2,7 @@ import base64
 import datetime as dt
 import zlib
 
-from brightloom.functions import profiles
+from brightloom.functions import places, profiles
 from brightloom.operators import leads, normalise
 from brightloom.sources import html, portals, registries
 from pyspark.sql import functions as F
@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 def test_posting(spark):
     v = normalise.Vocabulary(
-        majors=(("地质工程", 40), ("gis", 30)), categories=(("mining", ("矿",)), ("oil", ("石油",))), cities={"北京": "北京"}, provinces=("北京",), category_points={"oil": 18},
+        majors=(("地质工程", 40), ("gis", 30)), categories=(("mining", ("矿",)), ("oil", ("石油",))), places=places.Places(cities={"北京": ("北京", "北京")}), category_points={"oil": 18},
     )
     schema = "source_id string, source_tier string, title string, employer string, source_url string, text string, published_date string, deadline_date string, location string, match_text string"
     rows = spark.createDataFrame(
-        [("s", "A", " 招聘 ", "石油院", "https://a.b//c?utm_x=1", "硕士 地质工程 截止时间为2026年10月8日", None, None, "北京市", None), ("s", None, None, None, None, None, None, "soon", None, None)], schema
+        [("s", "A", " 招聘 ", "石油院", "https://a.b//c?utm_x=1", "硕士 地质工程 报名截止时间为2026年10月8日", None, None, "北京市", None), ("s", None, None, None, None, None, None, "soon", None, None)], schema
     )
     got = normalise.posting(rows, v, F.lit("2026-10-08").cast("date")).orderBy(F.col("title").desc()).collect()
     a, b = got
@@ -55,10 +55,51 @@ def test_portals(spark):
 
 
 def test_notice_links(spark):
-    page = """<a href="/n/1">招聘 一</a><a href='/n/1#x'>招聘 again</a><a href="https://other.com/n">招聘</a><a href="/f.pdf">招聘 file</a><a href="/n/2"><b>About</b></a>"""
-    df = spark.createDataFrame([(1, page), (2, None)], "id int, html string")
-    got = html.notice_links(df, "id", "html", "a.b", F.array(F.lit("a.b")), "招聘").collect()
-    assert [(r.id, r.title, r.href) for r in got] == [(1, "招聘 一", "https://a.b/n/1")]
+    page = """<a href="/n/1">招聘 一</a><a href='/n/1#x'>招聘 again</a><a href="https://other.com/n">招聘</a><a href="/f.pdf">招聘 file</a><a href="/n/2"><b>About</b></a><a href=detail/3.html>招聘 三</a>
+    <A HREF='../4.html?utm_x=1&id=2'>招聘 四</A><script type="text/xml"><![CDATA[<a class="t" href="?id=5">招聘 五</a>]]></script>"""
+    df = spark.createDataFrame([(1, "https://a.b/list/index.html", page), (2, "https://a.b/", None)], "id int, url string, html string")
+    got = sorted(html.notice_links(df, "id", "html", "url", F.array(F.lit("a.b")), "招聘").collect())
+    assert [(r.title, r.href) for r in got] == [("招聘 一", "https://a.b/n/1"), ("招聘 三", "https://a.b/list/detail/3.html"), ("招聘 四", "https://a.b/4.html?id=2"), ("招聘 五", "https://a.b/list/index.html?id=5")]
+
+
+def test_addresses_are_those_of_the_standard_library(spark):
+    from urllib.parse import urljoin
+
+    pages = ["https://a.b/c/d.html?x=1", "http://a.b", "https://a.b/c/"]
+    hrefs = ["e", "/e", "//h/e", "?q", "./e", "../e", "../../e", "https://z/y", "mailto:x@y.z", "e/./f/../g", ""]
+    df = spark.createDataFrame([(p, h) for p in pages for h in hrefs], "p string, h string")
+    for r in df.select("p", "h", html.absolute(F.col("h"), F.col("p")).alias("got")).collect():
+        assert r.got.rstrip("/") == urljoin(r.p, r.h).split("#")[0].rstrip("/") or not r.h, (r.p, r.h, r.got)
+
+
+def test_titles_and_published_meta(spark):
+    page = """<html><head><TITLE class=x>T &amp; t</TITLE><meta content="2026-09-02T08:00" property="article:published_time"><meta name='PubDate' content='2026-01-01'></head>"""
+    df = spark.createDataFrame([(page,), ("<p>",), (None,)], "h string")
+    assert [(r.t, str(r.d)) for r in df.select(html.title(F.col("h")).alias("t"), html.published_meta(F.col("h")).alias("d")).collect()] == [("T &amp; t", "2026-09-02"), ("", "None"), (None, "None")]
+    links = html.links(spark.createDataFrame([(1, "<a href=x>1</a><A class='a' HREF='y z'>2</A><a data-href=\"n\" href=\"w\">3</a><abbr href=no>")], "id int, h string"), "id", "h")
+    assert [(r.position, r.href) for r in links.orderBy("position").collect()] == [(1, "x"), (2, "y z"), (3, "w")]
+
+
+def test_verified_jobs_and_landscape(spark, tmp_path):
+    import json
+
+    import pytest
+
+    (tmp_path / "j.json").write_text(json.dumps([{"source_id": "s", "title": "t", "source_url": "u"}]))
+    assert registries.verified_jobs(spark, str(tmp_path / "j.json")).first().title == "t"
+    (tmp_path / "k.json").write_text(json.dumps({"source_id": "s", "title": " ", "source_url": "u"}))
+    with pytest.raises(ValueError, match="no title"):
+        registries.verified_jobs(spark, str(tmp_path / "k.json"))
+    (tmp_path / "l.json").write_text(json.dumps({"groups": [{"name": "g", "units": ["u", "v"]}, {"name": "h", "units": []}]}))
+    assert [tuple(r) for r in registries.landscape(spark, str(tmp_path / "l.json")).collect()] == [("g", "u"), ("g", "v"), ("h", None)]
+
+
+def test_explained_matches(spark):
+    df = spark.createDataFrame([("explicit", "explicit", 80), ("blocked", "explicit", 80), ("review", "related", 80)], "d string, m string, s int")
+    got = df.select(profiles.explained(profiles.match(F.col("d"), F.col("m"), F.col("s")), F.col("d"), F.col("m"), {"explicit": "yes", "review": "ask", "not_recommended": "no"}, {("explicit", "explicit"): "all stated", ("blocked", ""): "degree too low", ("review", ""): "check"}).alias("x"))
+    assert [tuple(r.x) for r in got.collect()] == [("explicit", "yes", "all stated", 3), ("not_recommended", "no", "degree too low", 0), ("review", "ask", "check", 2)]
+    own = spark.createDataFrame([("硕士及以上学历", "博士"), ("硕士及以上学历", "本科"), ("硕士", "博士"), (None, "博士")], "t string, o string")
+    assert [r[0] for r in own.select(profiles.or_above(F.col("t"), F.col("o"))).collect()] == [True, False, False, False]
 
 
 def test_registry_errors(spark, tmp_path):

@@ -1,6 +1,6 @@
 import datetime as dt
 
-from brightloom.operators import audit, changes, cohort, coverage, listing, report
+from brightloom.operators import audit, changes, cohort, coverage, listing, report, store
 from brightloom.streaming import ingest
 from pyspark.sql import functions as F
 
@@ -153,7 +153,7 @@ def test_quality_counts(spark):
     jobs = spark.createDataFrame([("s", "x", "p", None, "2026-01-01", None, None), ("s", " ", None, "c", None, "Open until filled", None), ("t", None, None, None, None, None, None), ("u", None, None, None, None, None, None)], schema)
     assert tuple(coverage.location_quality(jobs).first()) == (4, 1, 2, 1, 1)
     policies = spark.createDataFrame([("t", "rolling")], "source_id string, deadline_policy string")
-    assert tuple(coverage.deadline_quality(jobs, policies).first()) == (4, 1, 2, 1)
+    assert tuple(coverage.deadline_quality(jobs, policies, r"(?i)open\s+until\s+filled").first()) == (4, 1, 2, 1)
 
 
 def test_resilience_counts_registered_backups_only(spark):
@@ -161,3 +161,86 @@ def test_resilience_counts_registered_backups_only(spark):
     b = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c"), ("b", "zz"), ("b", "b")], "source_id string, backup_id string")
     assert tuple(coverage.resilience(s, b).first()) == (2, 1, 0.5)
     assert tuple(coverage.resilience(s.limit(0), b).first()) == (0, 0, 0.0)
+
+
+def test_null_and_repeated_keys(spark):
+    s = spark.createDataFrame([(None, "old", 1), ("a", "old", 1)], "k string, v string, made int")
+    n = spark.createDataFrame([(None, "new", 2)], s.schema)
+    assert {tuple(r) for r in changes.upsert(s, n, "k", ["made"]).collect()} == {(None, "new", 1), ("a", "old", 1)}
+    again = spark.createDataFrame([("b", "x", 1), ("b", "y", 1), ("a", "z", 1)], s.schema)
+    assert sorted(r.k or "" for r in changes.insert_absent(s, again, "k").collect()) == ["", "a", "b"]
+
+
+def test_alias_blocks_agree_with_one(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    t = spark.createDataFrame([(i, "中国石油勘探院" + "北京" * (i % 3)) for i in range(5)] + [(9, None), (10, "")], "id int, t string")
+    a = spark.createDataFrame([("中国石油", 0), ("中国石油勘探院", 1), ("勘探院北京", 2), ("", 3), ("石油勘探院北京", 5), ("油勘探院北京北", 4)], "alias string, ord int")
+    found = [sorted(tuple(r) for r in listing.longest_containing(t, "t", a, "alias", ["id"], "ord", block).collect()) for block in (100, 2)]
+    assert found[0] == found[1] == [(0, "中国石油勘探院", 1), (1, "中国石油勘探院", 1), (2, "中国石油勘探院", 1), (3, "中国石油勘探院", 1), (4, "中国石油勘探院", 1)]
+
+
+def test_runs_start_and_finish_once(spark):
+    runs = spark.createDataFrame([], "id int, source_id string, started_at timestamp, finished_at timestamp, status string, inserted_count int, error_message string")
+    runs = store.started(runs, spark.createDataFrame([(1, "s"), (2, "t")], "id int, source_id string"), NOW)
+    assert [r.status for r in runs.collect()] == ["running"] * 2
+    one = spark.createDataFrame([(1, "finished", 3, None)], "id int, status string, inserted_count int, error_message string")
+    runs = store.finished(runs, one, LATER)
+    again = store.finished(runs, one.withColumn("inserted_count", F.lit(9)), LATER)
+    assert sorted((r.id, r.status, r.inserted_count, r.finished_at is None) for r in again.collect()) == [(1, "finished", 3, False), (2, "running", None, True)]
+    sources = spark.createDataFrame([("s", "Source", True)], "id string, name string, enabled boolean")
+    assert [(r.id, r.source_name) for r in store.stale_runs(again, sources, LATER).collect()] == [(2, None)] and store.stale_runs(again, sources, LATER, enabled_only=True).count() == 0
+
+
+def test_small_updates(spark):
+    beats = spark.createDataFrame([("w", "ok", "x" * 900, "t2"), ("v", "ok", None, "t2")], "service_name string, status string, detail string, updated_at string")
+    state = store.heartbeat(beats.limit(0), beats)
+    assert {(r.service_name, len(r.detail or "")) for r in store.heartbeat(state, beats.filter("service_name = 'w'")).collect()} == {("w", 500), ("v", 0)}
+    reports = spark.createDataFrame([("d1", "p", "pending", None), ("d2", "q", "pending", None)], "report_date string, payload string, delivery_status string, delivery_error string")
+    done = store.delivered(reports, spark.createDataFrame([("d1", "failed", "no route")], "report_date string, delivery_status string, delivery_error string"))
+    assert {tuple(r) for r in done.collect()} == {("d1", "p", "failed", "no route"), ("d2", "q", "pending", None)}
+    s = spark.createDataFrame([("a", None, None), ("b", None, None)], "id string, last_synced_at timestamp, updated_at timestamp")
+    assert {(r.id, r.last_synced_at is not None) for r in store.synced(s, s.filter("id = 'a'"), NOW).collect()} == {("a", True), ("b", False)}
+    assert store.find(s, "id", "b").count() == 1 and [r.id for r in store.listed(s, F.desc("id")).collect()] == ["b", "a"] and store.newest(s, "id", 0).first().id == "b"
+    assert [store.clamped(x, 1, 100, 40) for x in (None, 0, 7, 900)] == [40, 1, 7, 100]
+    d = spark.createDataFrame([("blocked by robots.txt",), ("other",), (None,)], "d string")
+    assert [r[0] for r in d.select(store.skipped_status(F.col("d"))).collect()] == ["source_blocked", "source_degraded", "source_degraded"]
+
+
+def test_collected_by_kind(spark):
+    s = spark.createDataFrame([("a", "feed"), ("b", "manual")], "id string, source_type string")
+    read = {"feed": lambda x: x.select("id", F.lit("t").alias("title"))}
+    assert [tuple(r) for r in store.collected(spark, s, read, "id string, title string").collect()] == [("a", "t")]
+    try:
+        store.collected(spark, s.withColumn("source_type", F.lit("odd")), read, "id string, title string")
+        raise AssertionError
+    except ValueError as e:
+        assert "odd" in str(e)
+
+
+def test_cards_and_membership(spark):
+    j = spark.createDataFrame([(1, None, None), (2, "x", ["a"])], "id int, title string, degrees array<string>")
+    assert [tuple(r) for r in listing.cards(j, ["title"], ["degrees"]).orderBy("id").collect()] == [(1, "", []), (2, "x", ["a"])]
+    assert [r.id for r in listing.facet(j, [listing.has("degrees", "a"), listing.has("degrees", None)]).collect()] == [2]
+
+
+def test_coverage_report_sections(spark):
+    sources = spark.createDataFrame([("a", "P", True), ("b", "P", True), ("c", None, False)], "source_id string, province string, enabled boolean")
+    health = spark.createDataFrame([("a", "source_active")], "source_id string, status string")
+    runs = spark.createDataFrame([("a", "finished", 1), ("b", "failed", 0)], "source_id string, status string, open_matching_count int")
+    job = "source_id string, category string, official_evidence_url string, major_tags array<string>, location string, province string, country_or_region string, deadline_date string, summary string, description string"
+    jobs = spark.createDataFrame([("a", "x", "https://a", ["t"], "P", "P", None, "2026-01-01", None, None), ("a", "y", None, [], None, None, None, None, None, None)], job)
+    policies = spark.createDataFrame([("a", "rolling")], "source_id string, deadline_policy string")
+    targets = spark.createDataFrame([("P", "r", "verified", None)], "province string, role string, state string, source_id string")
+    names = lambda *x, c: spark.createDataFrame([(n,) for n in x], f"{c} string")
+    snapshots = spark.createDataFrame([("2026-01-01", 5, 0, 0, 1), ("2026-01-02", 9, 9, 9, 9)], "snapshot_date string, open_jobs long, successful_scan_sources long, sources_with_open_matches long, explicit_matches long")
+    explicit = spark.createDataFrame([(3,)], "explicit_matches long")
+    got = coverage.report(sources, health, runs, jobs, policies, targets, spark.createDataFrame([], "province string, source_id string"), names("P", "Q", c="province"), names("x", "z", c="category"), explicit, snapshots, F.lit("2026-01-02"), ("r",), "rolling")
+    first = {k: v.first() for k, v in got.items()}
+    assert tuple(first["scan_quality"]) == (2, 1, 1) and {tuple(r) for r in got["health"].collect()} == {("source_active", 1), ("unknown", 2)}
+    assert {r.source_id for r in got["without_health"].collect()} == {"b", "c"} and first["target_states"].candidate == 1
+    assert tuple(first["trend"]) == (True, "2026-01-01", -3, 1, 1, 2)
+    assert {(r.category, r.total, r.source_count, r.risk) for r in got["category_sources"].collect()} == {("x", 1, 1, "high"), ("z", 0, 0, "no_data")}
+    gate = first["quality_gate"]
+    assert gate.status == "needs_attention" and gate.failed_checks == ["official_evidence_url_complete", "major_tags_at_least_90_percent", "normalized_location_at_least_90_percent", "source_concentration_below_50_percent"]
+    assert coverage.target_active(spark.createDataFrame([], "target_active_sources int")).first()[0] == 3
+    assert coverage.distinct_sources((sources, "source_id"), (policies, "source_id")).first()[0] == 3
