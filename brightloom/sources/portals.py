@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 
 import pandas as pd
@@ -40,14 +41,23 @@ def decrypted(payload: Column, key: Column, iv: Column) -> Column:
     return F.try_aes_decrypt(F.concat(iv, F.unbase64(payload)), key, F.lit("CBC"), F.lit("PKCS")).cast("string")
 
 
+#: Where a page hands its packed article to the script that unpacks it.
+PACKED = r"""Base64\.decode\s*\(\s*unzip\s*\(\s*["']([^"']+)["']"""
+
+
 @pandas_udf(T.StringType())
 def embedded_article(packed: pd.Series) -> pd.Series:
-    """base64 of zlib of base64 of text; null for anything else. zlib has no built-in function."""
+    """base64 of zlib of base64 of text, with or without a word before the inner base64; a view marker before the text is dropped.
+
+    Null for anything else. zlib has no built-in function.
+    """
 
     def read(x: str | None) -> str | None:
         try:
-            return base64.b64decode(zlib.decompress(base64.b64decode(x, validate=True))).decode()
-        except (ValueError, TypeError, zlib.error):
+            inner = zlib.decompress(base64.b64decode(x, validate=True)).decode().split(None, 1)
+            article = base64.b64decode(inner[-1], validate=True).decode()
+            return re.sub(r"^view\d+d\s*", "", article).strip() or None
+        except (ValueError, TypeError, IndexError, zlib.error):
             return None
 
     return packed.map(read)
