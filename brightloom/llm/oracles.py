@@ -32,11 +32,10 @@ FROM judged
 SQL["op5_line_dedup"] = r"""
 WITH ls AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 places AS (SELECT doc_id, l, list_filter(range(1, len(l) + 1), lambda i: regexp_matches(l[i], '[^\x20\x09-\x0D]')) AS a FROM ls),
-wins AS (SELECT doc_id, a, unnest(range(1, greatest(len(a) - 2, 1) + 1)) AS j, l FROM places WHERE len(a) > 0),
-keyed AS (SELECT doc_id, j, array_to_string(list_transform(list_filter([a[j], a[j+1], a[j+2]], lambda x: x IS NOT NULL),
-    lambda x: regexp_replace(l[x], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')), chr(10)) AS k,
-    list_filter([a[j], a[j+1], a[j+2]], lambda x: x IS NOT NULL) AS c FROM wins),
-later AS (SELECT doc_id, unnest(c) AS i FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, j) AS n FROM keyed) WHERE n > 1),
+wins AS (SELECT doc_id, a, l, n, unnest(range(1, len(a) - n + 2)) AS j FROM places CROSS JOIN (VALUES (1), (2), (3)) t(n) WHERE len(a) >= n),
+every AS (SELECT doc_id, j, n, a[j:j+n-1] AS c, len(a) AS lines, array_to_string(list_transform(a[j:j+n-1], lambda x: regexp_replace(l[x], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')), chr(10)) AS k FROM wins),
+keyed AS (SELECT * FROM every WHERE n = 3 OR lines = n OR len(list_filter(regexp_split_to_array(k, '[\x20\x09-\x0D]+'), lambda w: w <> '')) > 50),
+later AS (SELECT doc_id, unnest(c) AS i FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, j, n) AS r FROM keyed) WHERE r > 1),
 gone AS (SELECT doc_id, list(DISTINCT i) AS g FROM later GROUP BY doc_id)
 SELECT p.doc_id, len(a)::BIGINT AS n_lines, coalesce(len(g), 0)::BIGINT AS n_removed,
   CASE WHEN g IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(1, len(p.l) + 1), lambda i: NOT list_contains(g, i)), lambda i: p.l[i]), chr(10)) END AS text
