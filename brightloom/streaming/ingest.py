@@ -1,6 +1,7 @@
 """Change detection over micro-batches: each batch of a stream makes the next version of a state table.
 
-An extension: batch ids make the writes idempotent, so a batch that runs again gives the same version.
+An extension: batch ids make the writes idempotent, so a batch that runs again writes the same version; with `seen`, a
+timestamp column of the stream, it writes the same rows too. Each batch rewrites the whole state.
 """
 
 from __future__ import annotations
@@ -39,13 +40,14 @@ class VersionedTable:
         return self.at(spark, schema, max(self.versions(spark), default=None))
 
 
-def start(stream: DataFrame, target: VersionedTable, schema: str, key: str, content: str, derived: list[str], checkpoint: str) -> StreamingQuery:
-    """Runs over what is available and stops."""
+def start(stream: DataFrame, target: VersionedTable, schema: str, key: str, content: str, derived: list[str], checkpoint: str, seen: str | None = None) -> StreamingQuery:
+    """Runs over what is available and stops. A batch's time is the largest of its `seen`, or the present where none is given."""
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         before = max((v for v in target.versions(spark) if v < batch_id), default=None)
-        state, _ = changes.detect(target.at(spark, schema, before), batch, key, content, derived, F.current_timestamp())
+        now = F.lit(batch.agg(F.max(seen)).first()[0]).cast("timestamp") if seen else F.current_timestamp()
+        state, _ = changes.detect(target.at(spark, schema, before), batch, key, content, derived, now)
         state.drop("outcome").write.mode("overwrite").parquet(f"{target.path}/v{batch_id}")
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

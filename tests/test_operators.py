@@ -134,6 +134,14 @@ def test_stream_applies_each_batch_once(spark, tmp_path):
     assert target.read(spark, STATE).count() == 2
 
 
+def test_stream_takes_its_time_from_the_batch(spark, tmp_path):
+    schema = "k string, content string, tag string, at timestamp"
+    spark.createDataFrame([("a", "1", "x", dt.datetime(2026, 1, 5))], schema).write.parquet(str(tmp_path / "in"))
+    target = ingest.VersionedTable(str(tmp_path / "state"))
+    ingest.start(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), target, STATE, "k", "content", ["tag"], str(tmp_path / "ckpt"), seen="at").awaitTermination(60)
+    assert target.read(spark, STATE).first().first_seen_at == dt.datetime(2026, 1, 5)
+
+
 def test_province_ladder(spark):
     roles = ("a", "b")
     sources = spark.createDataFrame([(f"{p}{r}", p, True) for p in "PQRS" for r in roles] + [("N", None, True)], "source_id string, province string, enabled boolean")
