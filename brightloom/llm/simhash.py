@@ -9,8 +9,11 @@ little (0.87 of the work stays per level), so the shards are made on bands. Of t
 `radius` bits, some one of BANDS bands differs in at most radius // BANDS bits. In each band the
 distances to a few vantage points are a fingerprint's rings; by the triangle bound a neighbour's rings
 lie within the band's radius, so a fingerprint joins its own shard and each that the bound reaches (none
-besides at radius 4). Shards with over SHARD members are divided again by bands of the other bits. In a
-shard a vantage-point tree over all 64 bits finds the exact neighbours, pruned by the same bound.
+besides at radius 4). Shards with over SHARD members are divided again by bands of the bits that no band
+had so far. A shard that few blocks can hold, or that division leaves with over a third of its members
+(very many edited copies of one text), is dealt in blocks by hash, and each pair of blocks is a shard:
+a shard holds about SHARD fingerprints at most, and no pair of members is missed. In a shard a
+vantage-point tree over all 64 bits finds the exact neighbours, pruned by the same bound.
 
 A shard emits links to the smallest member of each of its groups, which is enough for the components;
 no list of pairs is made. Copies meet first: the search is over distinct fingerprints. component_id is
@@ -36,6 +39,8 @@ RADIUS = 4
 BANDS = 5
 RINGS = 6
 SHARD = 50_000
+LEVELS = 6
+BROADCAST_KEYS = 500_000
 LEAF = 48
 SEED = 42
 _LOWER = bytes.maketrans(bytes(range(0x41, 0x5B)), bytes(range(0x61, 0x7B)))
@@ -78,27 +83,28 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _bands(bits: list[int]) -> list[list[int]]:
-    return [bits[len(bits) * i // BANDS : len(bits) * (i + 1) // BANDS] for i in range(BANDS)]
+def _bands(level: int) -> list[int]:
+    """Masks that part the 64 bits in BANDS bands: runs of bits first, then seeded choices, other ones at each level."""
+    bits = list(range(64)) if not level else np.random.default_rng([SEED, level]).permutation(64).tolist()
+    return [sum(1 << b for b in bits[64 * i // BANDS : 64 * (i + 1) // BANDS]) for i in range(BANDS)]
 
 
 def _vantage_points() -> list[int]:
     return np.random.default_rng(SEED).integers(0, 1 << 63, RINGS, dtype=np.int64).tolist()
 
 
-def _shards_of(fp: Column, bits: list[int], band: int, radius: int) -> Column:
-    """The shards in one band, as an array of longs: the rings around the vantage points, give or take the radius."""
-    mask = F.lit(_signed(sum(1 << b for b in bits)))
+def _rings(fp: Column, mask: Column, radius: int) -> Column:
+    """The rings around the vantage points under a mask, give or take the radius: an array of longs."""
     rings = [F.bit_count(fp.bitwiseXOR(F.lit(v)).bitwiseAND(mask)).cast("long") for v in _vantage_points()]
+    codes = F.array(F.lit(0).cast("long"))
     if not radius:
-        code = F.lit(band).cast("long")
+        code = F.lit(0).cast("long")
         for ring in rings:
             code = code * 16 + ring
         return F.array(code)
-    codes = F.array(F.lit(band).cast("long"))
     for ring in rings:
         near = F.array(*[ring + d for d in range(-radius, radius + 1)])
-        codes = _extended(codes, F.filter(near, lambda r: (r >= 0) & (r <= len(bits))))
+        codes = _extended(codes, F.filter(near, lambda r: (r >= 0) & (r <= F.bit_count(mask))))
     return codes
 
 
@@ -106,21 +112,41 @@ def _extended(codes: Column, rings: Column) -> Column:
     return F.flatten(F.transform(codes, lambda c: F.transform(rings, lambda r: c * 16 + r)))
 
 
+def _divided(level: int, radius: int, count: Column) -> Column:
+    """The shards below (key, rest) as structs. rest: the bits of no band so far, in which a neighbour may still differ; above: the members divided."""
+    fp, key, rest = F.col("fp"), F.col("key"), F.col("rest")
+    parts = []
+    for j, band in enumerate(_bands(level)):
+        mask = rest.bitwiseAND(F.lit(_signed(band)))
+        left = rest.bitwiseAND(F.lit(_signed(~band & (1 << 64) - 1)))
+        parts.append(F.transform(_rings(fp, mask, radius // BANDS), lambda code: F.struct(F.xxhash64(key, F.lit(j), code).alias("key"), left.alias("rest"), count.alias("above"))))
+    return F.flatten(F.array(*parts))
+
+
+def _in_blocks(count: Column) -> Column:
+    """The pairs of blocks that a member of a shard of `count` is in, as shards of about SHARD members that are divided no more."""
+    key = F.col("key")
+    n = F.ceil(2 * count / F.lit(SHARD))
+    own = F.pmod(F.xxhash64("fp", "key"), n)
+    pairs = F.sequence(F.lit(0).cast("long"), n - 1)
+    return F.transform(pairs, lambda other: F.struct(F.xxhash64(key, F.least(own, other), F.greatest(own, other), F.lit("blocks")).alias("key"), F.lit(None).cast("long").alias("rest"), count.alias("above")))
+
+
 def _sharded(nodes: DataFrame, radius: int) -> DataFrame:
-    """(key, fp): each fingerprint in every shard that may hold a neighbour."""
-    fp, inner = F.col("fp"), radius // BANDS
-    parts = _bands(list(range(64)))
-    one = nodes.select("fp", F.explode(F.flatten(F.array(*[_shards_of(fp, p, j, inner) for j, p in enumerate(parts)]))).alias("key"))
-    hot = one.groupBy("key").count().filter(F.col("count") > SHARD).select("key", F.lit(True).alias("hot"))
-    one = one.join(hot, "key", "left")
-    band = F.shiftright("key", 4 * RINGS)
-    again = F.lit(None).cast("array<bigint>")
-    for j in range(BANDS):
-        rest = [b for b in range(64) if b not in parts[j]]
-        codes = F.flatten(F.array(*[_shards_of(fp, p, k, inner) for k, p in enumerate(_bands(rest))]))
-        again = F.when(band == j, codes).otherwise(again)
-    keys = F.when(F.col("hot"), F.transform(again, lambda c: (F.col("key") + 1) * (1 << 28) + c)).otherwise(F.array("key"))
-    return one.select("fp", F.explode(keys).alias("key"))
+    """(key, fp): each fingerprint in every shard that may hold a neighbour; no shard has many more than SHARD members."""
+    whole = nodes.select("fp", F.lit(0).cast("long").alias("key"), F.lit(-1).cast("long").alias("rest"))
+    rows = whole.select("fp", F.inline(_divided(0, radius, F.lit(None).cast("long"))))
+    for level in range(1, LEVELS + 1):
+        sizes = rows.filter("rest IS NOT NULL").groupBy("key").count()
+        large = cut_lineage(sizes.filter(F.col("count") > SHARD))
+        n = large.count()
+        if not n:
+            break
+        count = F.col("count")
+        close = (count <= BANDS * SHARD // 2) | F.coalesce(3 * count > F.col("above"), F.lit(False)) | F.lit(level == LEVELS)
+        parts = F.when(count.isNull(), F.array(F.struct("key", "rest", "above"))).when(close, _in_blocks(count)).otherwise(_divided(level, radius, count))
+        rows = rows.join(F.broadcast(large) if n <= BROADCAST_KEYS else large, "key", "left").select("fp", F.inline(parts))
+    return rows.select("fp", "key")
 
 
 class _Groups:

@@ -4,8 +4,9 @@ import os
 
 import brute
 import corpus_pipeline as P
+import numpy as np
 import pytest
-from brightloom.llm import common, html_text, line_dedup, lm_score, mixing, pii, quality, secrets, simhash, token_counts
+from brightloom.llm import common, components, html_text, line_dedup, lm_score, mixing, pii, quality, secrets, simhash, token_counts
 from pyspark.sql import functions as F
 
 NAMES = ["__h", "__n", "__keep", "__lines", "__bare", "__at", "__places", "__gone", "__id", "__th", "__quality", "__quality_text", "q_base", "row", "p", "size", "words", "name", "h", "shard", "a.b", "c.d"]
@@ -66,3 +67,17 @@ def test_mixing_over_many_shards(spark, block, shard):
     assert taken == {s: min(blocks[s] * block, 2 * sizes[s]) for s in target}
     mixed = mixing.mixed_documents(docs, block_words=block, shard_docs=shard).collect()
     assert sum(r.mix_words for r in mixed) == sum(taken.values()) and all(len(brute.words(r.text)) == r.mix_words for r in mixed)
+
+
+@pytest.mark.parametrize(("shard", "spread"), [(12, 3), (12, 9), (40, 24)])
+def test_no_shard_stays_large_and_no_link_is_lost(spark, monkeypatch, shard, spread):
+    monkeypatch.setattr(simhash, "SHARD", shard)
+    rng = np.random.default_rng(spread)
+    centre = int(rng.integers(0, 2**63))
+    prints = {centre ^ sum({1 << int(b) for b in rng.integers(0, 64, rng.integers(0, spread + 1))}) for _ in range(600)}
+    signed = {f - 2**64 if f >> 63 else f: f for f in prints}
+    nodes = spark.createDataFrame([(f,) for f in signed], "fp bigint")
+    sizes = [r["count"] for r in simhash._sharded(nodes, 4).groupBy("key").count().collect()]
+    assert max(sizes) <= shard + 6 * shard**0.5  # blocks are dealt by hash
+    roots = {r.node: r.root for r in components.components(simhash.links(nodes, 4)).collect()}
+    assert {f: roots.get(f, f) for f in signed} == brute.components(signed, 4)
