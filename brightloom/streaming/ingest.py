@@ -1,7 +1,8 @@
-"""Change detection over micro-batches: each batch of a stream makes the next version of a state table.
+"""Change detection over micro-batches: each batch of a stream makes new versions of the parts of a state table that it touches.
 
 An extension: batch ids make the writes idempotent, so a batch that runs again writes the same version; with `seen`, a
-timestamp column of the stream, it writes the same rows too. Each batch rewrites the whole state.
+timestamp column of the stream, it writes the same rows too. The state is parted by a hash of the key. A batch reads and
+writes the parts its keys are in; the others stay as they are, so the work follows the batch and not the state.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -18,36 +19,55 @@ from brightloom.operators import changes
 
 @dataclass(frozen=True)
 class VersionedTable:
-    """Directories v<n> below a path that all executors see; the largest is the state.
+    """Directories v<n>/state_part=<p> below a path that all executors see; of each part the largest version is the state.
 
     A stream begins a batch only when the one before is written, so all versions below a batch are whole.
+    The number of parts is fixed for the life of a table.
     """
 
     path: str
+    parts: int = 64
 
-    def versions(self, spark: SparkSession) -> list[int]:
+    def part_of(self, key: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(key)), F.lit(self.parts)).cast("int")
+
+    def latest(self, spark: SparkSession, before: int | None = None) -> dict[int, int]:
+        """The newest version of each part, at most one entry per part; below `before` if that is given."""
         try:
-            found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.parquet").option("recursiveFileLookup", True).load(self.path).select("path")
+            found = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(self.path).select("path")
         except AnalysisException:
-            return []
-        numbers = found.select(F.regexp_extract("path", r"/v(\d+)/part-[^/]*$", 1).alias("n")).filter("n <> ''").distinct()
-        return sorted(int(r.n) for r in numbers.collect())
-
-    def at(self, spark: SparkSession, schema: str, version: int | None) -> DataFrame:
-        return spark.createDataFrame([], schema) if version is None else spark.read.schema(schema).parquet(f"{self.path}/v{version}")
+            return {}
+        place = r"/v(\d+)/state_part=(\d+)/[^/]*$"
+        rows = found.select(*[F.regexp_extract("path", place, i).try_cast("long").alias(c) for i, c in ((1, "version"), (2, "part"))]).filter("part IS NOT NULL")
+        if before is not None:
+            rows = rows.filter(F.col("version") < before)
+        return {r.part: r.version for r in rows.groupBy("part").agg(F.max("version").alias("version")).collect()}
+
+    def at(self, spark: SparkSession, schema: str, versions: dict[int, int]) -> DataFrame:
+        """The rows of these parts in these versions."""
+        paths = [f"{self.path}/v{version}/state_part={part}" for part, version in sorted(versions.items())]
+        return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
     def read(self, spark: SparkSession, schema: str) -> DataFrame:
-        return self.at(spark, schema, max(self.versions(spark), default=None))
+        return self.at(spark, schema, self.latest(spark))
+
+    def write(self, rows: DataFrame, key: str, version: int) -> None:
+        parted = rows.withColumn("state_part", self.part_of(key)).repartition("state_part")
+        parted.write.mode("overwrite").partitionBy("state_part").parquet(f"{self.path}/v{version}")
 
 
 def start(stream: DataFrame, target: VersionedTable, schema: str, key: str, content: str, derived: list[str], checkpoint: str, seen: str | None = None) -> StreamingQuery:
-    """Runs over what is available and stops. A batch's time is the largest of its `seen`, or the present where none is given."""
+    """Runs over what is available and stops. A batch's time is the largest of its `seen`, or the present where none is given.
+
+    Of rows with one key in a batch the last by `seen` counts, or where none is given that of the largest content.
+    """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        before = max((v for v in target.versions(spark) if v < batch_id), default=None)
+        touched = {r.part for r in batch.select(target.part_of(key).alias("part")).distinct().collect()}
+        versions = {p: v for p, v in target.latest(spark, batch_id).items() if p in touched}
         now = F.lit(batch.agg(F.max(seen)).first()[0]).cast("timestamp") if seen else F.current_timestamp()
-        state, _ = changes.detect(target.at(spark, schema, before), batch, key, content, derived, now)
-        state.drop("outcome").write.mode("overwrite").parquet(f"{target.path}/v{batch_id}")
+        state, _ = changes.detect(target.at(spark, schema, versions), batch, key, content, derived, now, seen or content)
+        target.write(state.drop("outcome"), key, batch_id)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

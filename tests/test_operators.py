@@ -142,6 +142,23 @@ def test_stream_takes_its_time_from_the_batch(spark, tmp_path):
     assert target.read(spark, STATE).first().first_seen_at == dt.datetime(2026, 1, 5)
 
 
+def test_stream_writes_only_the_parts_it_touches(spark, tmp_path):
+    schema = "k string, content string, tag string, at timestamp"
+    feed, day = tmp_path / "in", lambda n: dt.datetime(2026, 1, n)
+    spark.createDataFrame([(f"k{i}", "1", "x", day(1)) for i in range(60)], schema).write.parquet(str(feed))
+    target = ingest.VersionedTable(str(tmp_path / "state"), parts=8)
+    run = lambda: ingest.start(spark.readStream.schema(schema).parquet(str(feed)), target, STATE, "k", "content", ["tag"], str(tmp_path / "ckpt"), seen="at").awaitTermination(60)
+    run()
+    assert target.latest(spark) == dict.fromkeys(range(8), 0)
+    spark.createDataFrame([("k7", "3", "z", day(3)), ("k7", "2", "y", day(2))], schema).coalesce(1).write.parquet(str(feed), mode="append")
+    run()
+    assert sorted(target.latest(spark).values()) == [0] * 7 + [1]
+    rows = {r.k: r for r in target.read(spark, STATE).collect()}
+    assert len(rows) == 60 == target.read(spark, STATE).count()
+    assert (rows["k7"].content, rows["k7"].tag, rows["k7"].first_seen_at, rows["k7"].updated_at) == ("3", "z", day(1), day(3))
+    assert rows["k8"].content == "1" and target.latest(spark, before=1) == dict.fromkeys(range(8), 0)
+
+
 def test_province_ladder(spark):
     roles = ("a", "b")
     sources = spark.createDataFrame([(f"{p}{r}", p, True) for p in "PQRS" for r in roles] + [("N", None, True)], "source_id string, province string, enabled boolean")
