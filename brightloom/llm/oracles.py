@@ -86,3 +86,66 @@ FROM docs LEFT JOIN named USING (doc_id)
 
 
 SQL["op2_secret_scan"] = _secret_sql()
+
+SQL["op11_warc"] = """
+WITH h AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, list_transform(string_split(sha1(coalesce(html, '')), ''), lambda x: strpos('0123456789abcdef', x) - 1) AS x FROM pages),
+d AS (SELECT page_id, n::BIGINT AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((x[1 + (5 * i) // 4] * 256 + x[2 + (5 * i) // 4] * 16 + coalesce(x[3 + (5 * i) // 4], 0)) // (128 >> ((5 * i) % 4))::INTEGER) % 32, 1)), '') AS payload_digest FROM h)
+SELECT *, CASE WHEN page_id = max(page_id) OVER w THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id < max(page_id) OVER w THEN max(page_id) OVER w END AS refers_to
+FROM d WINDOW w AS (PARTITION BY payload_digest)
+"""
+
+SQL["op12_filter_audit"] = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, min(doc_id) OVER (PARTITION BY text) AS first FROM d),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n,
+    CASE WHEN len(w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > first THEN 'E' ELSE '' END AS failed
+  FROM w LEFT JOIN l USING (doc_id) GROUP BY ALL),
+letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM letter a, letter b, letter c, letter d, letter e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+placed AS (SELECT *, CASE WHEN failed = '' THEN 9 ELSE list_min(list_transform(string_split(failed, ''), lambda x: strpos(o, x))) END AS place FROM f CROSS JOIN orders),
+steps AS (SELECT part, o AS filter_order, s::INTEGER AS step, substr(o, s, 1) AS x, sum(n) FILTER (place > s) AS kept, sum(n) FILTER (place = s) AS removed,
+    sum(n) FILTER (contains(failed, substr(o, s, 1)) AND place < s) AS redundant, sum(n) FILTER (failed = substr(o, s, 1)) AS unique_fails,
+    sum(n) FILTER (place = s AND good) AS good_lost, sum(n) FILTER (place = s AND toxic) AS toxic_lost
+  FROM placed CROSS JOIN (SELECT unnest(range(1, 6)) AS s) GROUP BY part, o, s)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+  coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, coalesce(sum(removed) OVER (PARTITION BY part, x), 0)::BIGINT AS shapley
+FROM steps
+"""
+
+#: CRC-32 bit by bit, then one step of the least cost and audit for each turn and last role.
+SQL["op13_conversation_repair"] = r"""
+WITH RECURSIVE keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+coded AS (SELECT *, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(k, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295) % 20 AS how FROM keyed),
+damaged AS (SELECT conv_id, turn, CASE how WHEN 4 THEN 'user' ELSE role END AS role, CASE how WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM coded, (VALUES (1), (2)) v(copy) WHERE how <> 0 AND (copy = 1 OR how = 3)),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY j) AS again FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS j FROM damaged)),
+turns AS (SELECT *, substr(role, 1, 1) AS i, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN again > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault FROM seen),
+pairs AS (SELECT *, lag(i) OVER (PARTITION BY conv_id ORDER BY j) || i AS pair FROM turns),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM pairs GROUP BY 1),
+follows(p, q, added) AS (VALUES ('', 's', ''), ('', 'u', ''), ('', 'a', 'u'), ('s', 'u', ''), ('s', 'a', 'u'), ('u', 'a', ''), ('u', 'u', 'a'), ('a', 'u', ''), ('a', 'a', 'u')),
+named(q, name) AS (VALUES ('u', 'user'), ('a', 'assistant')),
+ways AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS j, '' AS q, {'cost': 0, 'audit': '', 'made': ''} AS best FROM conversations
+  UNION ALL
+  SELECT conv_id, j, q, min(best) FROM (
+    SELECT t.conv_id, t.j, w.q, {'cost': best.cost + 4, 'audit': best.audit || 'D', 'made': best.made} AS best FROM ways w JOIN turns t ON t.conv_id = w.conv_id AND t.j = w.j + 1
+    UNION ALL
+    SELECT t.conv_id, t.j, f.q, {'cost': best.cost + 3 * length(f.added) + CASE WHEN f.q = t.i THEN 0 ELSE 3 END + CASE fault WHEN 'truncated' THEN 3 ELSE 0 END,
+      'audit': best.audit || repeat('I', length(f.added)) || CASE WHEN f.q = t.i THEN 'K' ELSE 'R' END,
+      'made': best.made || CASE f.added WHEN 'u' THEN chr(10) || 'user:' WHEN 'a' THEN chr(10) || 'assistant:' ELSE '' END || chr(10) || CASE WHEN f.q = t.i THEN t.role ELSE n.name END || ':' || t.text}
+    FROM ways w JOIN turns t ON t.conv_id = w.conv_id AND t.j = w.j + 1 JOIN follows f ON f.p = w.q LEFT JOIN named n ON n.q = f.q WHERE fault NOT IN ('blank', 'duplicate') AND (f.q <> 's' OR t.i = 's')
+  ) GROUP BY conv_id, j, q),
+ends AS (SELECT conv_id, min({'cost': best.cost + CASE q WHEN 's' THEN 6 WHEN 'u' THEN 3 ELSE 0 END, 'audit': best.audit || CASE q WHEN 's' THEN 'II' WHEN 'u' THEN 'I' ELSE '' END,
+    'made': best.made || CASE q WHEN 's' THEN chr(10) || 'user:' || chr(10) || 'assistant:' WHEN 'u' THEN chr(10) || 'assistant:' ELSE '' END}) AS b
+  FROM ways w WHERE j = (SELECT count(*) FROM turns t WHERE t.conv_id = w.conv_id) GROUP BY 1)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  b.cost::BIGINT AS cost, b.audit AS audit, sha256(substr(b.made, 2)) AS repaired_sha256
+FROM ends LEFT JOIN counts USING (conv_id)
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, line_dedup, lm_score, mixing, pii, quality, secrets, simhash, token_counts
+from . import conversation, decontaminate, filter_audit, html_text, line_dedup, lm_score, mixing, pii, quality, secrets, simhash, token_counts, warc
 from .common import table, text_or_empty
 from .oracles import SQL  # noqa: F401
 
@@ -61,4 +61,29 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op3_lm_score, op4_html_text, op5_line_dedup, op6_decontaminate, op7_simhash, op8_token_counts, op9_pii, op10_mixing)}
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    path = warc.new_folder(spark)
+    warc.archive(pages, path)
+    kind = pages.schema["page_id"].dataType
+    return warc.read(spark, path, with_payload=False).select(
+        F.col("key").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to")
+    )
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversation.damage(table(spark, sf_dir, "conversations"))
+    return conversation.repair(damaged, present="present").withColumnRenamed("conv", "conv_id")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_rules, op2_secret_scan, op3_lm_score, op4_html_text, op5_line_dedup, op6_decontaminate, op7_simhash, op8_token_counts, op9_pii, op10_mixing,
+        op11_warc, op12_filter_audit, op13_conversation_repair,
+    )
+}
