@@ -45,11 +45,12 @@ CLASSES = (
     CharacterClass("letters", (".",), 20, 4.1),
 )
 #: Candidates that have one of these patterns are not secrets: UUIDs, paths of plain words, given examples, hyphened words.
+#: Repeated groups are possessive: others are matched by recursion, which a long candidate would end with the whole JVM.
 ALLOW = (
     "^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
-    "^/?[A-Za-z]{2,}(/[A-Za-z0-9_.]{2,}){2,}/?$",
+    "^/?+[A-Za-z]{2,}+(?:/[A-Za-z0-9_.]{2,}+){2,}+/?+$",
     "EXAMPLE|example",
-    "^[A-Za-z]+([-_][A-Za-z]+)+$",
+    "^[A-Za-z]++(?:[-_][A-Za-z]++)++$",
 )
 
 
