@@ -6,17 +6,31 @@ import numpy as np
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_PRIME = np.uint64((1 << 31) - 1)
+_SECOND = 1_234_567_891
 _POWERS: dict[str, np.ndarray] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, modulo 2**64."""
+def _powers_of(base: int, n: int) -> np.ndarray:
+    """Powers modulo the prime, by doubling."""
+    out = np.ones(n, np.uint64)
+    known = 1
+    while known < n:
+        more = min(known, n - known)
+        out[known : known + more] = out[:more] * np.uint64(pow(base, known, int(_PRIME))) % _PRIME
+        known += more
+    return out
+
+
+def _powers(n: int) -> tuple[np.ndarray, ...]:
+    """Powers of both bases and of their inverses, modulo 2**64 and modulo the prime."""
     if len(_POWERS.get("up", ())) < n:
         for name, base in (("up", _BASE), ("down", _INVERSE)):
             steps = np.full(n, base, np.uint64)
             steps[0] = 1
             _POWERS[name] = np.multiply.accumulate(steps)
-    return _POWERS["up"], _POWERS["down"]
+        _POWERS["up2"], _POWERS["down2"] = _powers_of(_SECOND, n), _powers_of(pow(_SECOND, -1, int(_PRIME)), n)
+    return _POWERS["up"], _POWERS["down"], _POWERS["up2"], _POWERS["down2"]
 
 
 def places(symbols: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -40,11 +54,18 @@ def places(symbols: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def hashed(symbols: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """64 bits of each word: a polynomial modulo 2**64, and one modulo a prime over it.
+
+    The first alone gives some regular words the same value (a Thue-Morse word and its complement); the second tells those apart.
+    """
     n = len(symbols)
-    up, down = _powers(n + 1)
+    up, down, up2, down2 = _powers(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(symbols * up[:n], out=sums[1:])
-    return (sums[to] - sums[at]) * down[at]
+    first = (sums[to] - sums[at]) * down[at]
+    np.cumsum(symbols * up2[:n] % _PRIME, out=sums[1:])
+    second = (sums[to] - sums[at]) % _PRIME * down2[at] % _PRIME
+    return first ^ second * _BASE
 
 
 class Finder:
