@@ -98,7 +98,7 @@ def _tested(text: str, span: Span) -> Iterator[Span]:
         return
     digits = re.sub("[^0-9]", "", m[0])
     if KINDS[kind] == "ip":
-        holds = all(int(p) <= 255 for p in m[0].split(".") if len(p) < 9) and len(digits) <= 12
+        holds = all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))
     elif KINDS[kind] == "card":
         holds = 12 <= len(digits) <= 19 and luhn(digits)
     else:
