@@ -8,8 +8,10 @@ node has C characters, T tags, LC characters and LT tags in links, menus and foo
 with LCb and Cb of the body, and C/T on a page without text in links. The floor e of the base keeps short texts
 from growing without bound. A container's sum is the sum of the densities of its block children and of its
 own running text. Menus, footers, asides, forms and hidden elements are evidence in the counts but add nothing to
-sums and are never text. Names (class, id) of boilerplate only weigh densities by NAMED; containers in an
-<article> or <main> count DECLARED times.
+sums and are not text. Names (class, id) of boilerplate only weigh densities by NAMED; containers in an
+<article> or <main> count DECLARED times. A form or hidden element is no more than a strong hint, as whole pages
+stand in one: where NAMED times the best sum inside it is above all sums outside, it is an ordinary element. So is
+a dropped element without end tag, by UNCLOSED times its best sum.
 
 The container with the largest sum is the core, or the outermost <article> around it. The smallest weighted
 density on its path to the body is the threshold: named elements and lists of links below it are left out. Beside
@@ -18,9 +20,8 @@ subtree there; headings before the path join. A declared article is joined by ot
 
 Pages stay in their rows; nothing is shuffled. Null or empty html gives an empty text; repeated pages are read one by
 one. Very long pages take time in proportion to their length. Broken markup never raises: unclosed elements end with
-their parent, stray end tags are ignored, a raw element (script, title) without end tag is an ordinary one, and a
-dropped element without end tag that holds over half of the page's text isn't dropped. After a tag whose quotes
-never end, tags are read to their first >. Only the three columns named are read; others may have any names.
+their parent, stray end tags are ignored, and a raw element (script, title) without end tag is an ordinary one.
+After a tag whose quotes never end, tags are read to their first >. Only the three columns named are read; others may have any names.
 """
 
 from __future__ import annotations
@@ -65,14 +66,19 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Weights: of a boilerplate name, of a declared article, and the share of the path's density that a block beside it needs.
 NAMED, DECLARED, JOIN = 0.05, 2.0, 0.5
+#: The weight of what stands in a dropped element that no end tag closes.
+UNCLOSED = 0.5
+#: Names of reader comments; they count on any element.
+COMMENTS = frozenset("comment comments commentlist disqus respond reply replies".split())
 LINK_LIST, LINK_SHARE = 3, 0.9
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "children", "link", "dropped", "closed", "weight", "in_article", "chars", "tags", "link_chars", "link_tags", "own", "below", "density", "sum")
+    __slots__ = ("tag", "parent", "children", "link", "dropped", "hint", "closed", "weight", "in_article", "chars", "tags", "link_chars", "link_tags", "own_chars", "own", "below", "density", "sum")
 
     def __init__(self, tag: str, parent: _Node | None, dropped: bool = False, named: bool = False):
         self.tag, self.parent, self.dropped, self.closed = tag, parent, dropped, False
+        self.hint = dropped and (tag == "form" or tag not in DROPPED)
         self.children: list[_Node | str] = []
         self.in_article = tag in ("article", "main") or bool(parent and parent.in_article)
         self.link = tag == "a" or bool(parent and parent.link)
@@ -102,13 +108,14 @@ def _judged(tag: str, attributes: str, in_article: bool = False) -> tuple[bool,
         if name == "role" and value in ROLES:
             return True, False
         named = named or name in naming and any(map(_names_boilerplate, value.split()))
+        named = named or tag == "section" and name == "id" and any(_names_boilerplate(v, COMMENTS) for v in value.split())
     return False, named
 
 
-def _names_boilerplate(name: str) -> bool:
+def _names_boilerplate(name: str, of: frozenset[str] = BOILERPLATE) -> bool:
     """A class or id with a telling word, unless it says that something has or lacks it, as has-sidebar does."""
     words = re.split(r"[^a-z]+", name)
-    return words[0] not in LAYOUT and not BOILERPLATE.isdisjoint(words)
+    return words[0] not in LAYOUT and not of.isdisjoint(words)
 
 
 def _markup(page: str) -> Iterator[tuple[str, str, str, int]]:
@@ -230,6 +237,17 @@ def density(chars: int, tags: int, link_chars: int, link_tags: int, share: float
 
 
 def _measure(order: list[_Node]) -> None:
+    """Counts, densities and sums; what is dropped only by a hint is so while the sums outside bear it out."""
+    _count(order)
+    while True:
+        _sum_up(order)
+        if not (wrong := _wrongly_dropped(order)):
+            return
+        for n in wrong:
+            n.dropped = False
+
+
+def _count(order: list[_Node]) -> None:
     for n in order:
         nodes = [c for c in n.children if not isinstance(c, str)]
         text = sum(len("".join(c.split())) for c in n.children if isinstance(c, str))
@@ -237,14 +255,16 @@ def _measure(order: list[_Node]) -> None:
         n.tags = sum(c.tags + 1 for c in nodes)
         n.link_chars = n.chars if n.link else sum(c.link_chars for c in nodes)
         n.link_tags = sum(c.link_tags + (c.tag == "a") for c in nodes)
-        n.own = text
+        n.own_chars = text
+
+
+def _sum_up(order: list[_Node]) -> None:
     body = order[-1]
     share = body.link_chars / (body.chars or 1)
     for n in order:
-        n.dropped = n.dropped and (n.closed or n.tag in VOID or 2 * n.chars <= body.chars)
         n.density = density(n.chars, n.tags, n.link_chars, n.link_tags, share)
         # running text: characters, tags, link characters and tags of the strings and of inline elements; below: worth of the blocks
-        own, n.below = [n.own, 0, n.own if n.link else 0, 0], 0.0
+        own, n.below = [n.own_chars, 0, n.own_chars if n.link else 0, 0], 0.0
         for c in n.children:
             if isinstance(c, str) or c.dropped:
                 continue
@@ -257,6 +277,28 @@ def _measure(order: list[_Node]) -> None:
         n.sum = n.below + n.weight * density(*own, share)
 
 
+def _wrongly_dropped(order: list[_Node]) -> list[_Node]:
+    """The dropped elements on the way to the best sum, if it stands in hinted ones only and outweighs all sums outside of them."""
+    weights: dict[int, float] = {}  # 1 outside of what is dropped, 0 where nothing speaks for it
+    best, most, outside = None, 0.0, 0.0
+    for n in reversed(order):  # parents first
+        weight = weights[id(n.parent)] if n.parent is not None else 1.0
+        if n.dropped:
+            weight *= NAMED if n.hint else UNCLOSED if not n.closed and n.tag not in VOID else 0.0
+        weights[id(n)] = weight
+        if n.tag in CONTAINERS or n.dropped and weight:
+            worth = n.sum * weight * (DECLARED if n.in_article else 1.0)
+            if weight == 1.0:
+                outside = max(outside, worth)
+            elif worth > most:
+                best, most = n, worth
+    found = []
+    while most > outside and best is not None:
+        found += [best] if best.dropped else []
+        best = best.parent
+    return found
+
+
 def _core(order: list[_Node]) -> _Node:
     """The container with the largest sum, of equal ones the outermost, or the outermost <article> around it."""
     shut: set[int] = set()

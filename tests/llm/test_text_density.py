@@ -108,3 +108,21 @@ def test_long_and_repeated_pages(spark):
     pages = spark.createDataFrame([(1, "u", long, 0), (1, "u", long, 0), (2, None, None, 0)], "page_id int, url string, html string, text int")
     got = sorted((r.page_id, r.text) for r in H.extract(pages).collect())
     assert got == [(1, "\n\n".join([STORY * 50] * 100))] * 2 + [(2, "")]
+
+
+_PARAGRAPHS = "".join(f"<p>The {w} paragraph of the story goes on for a while, with commas, and says what it has to say.</p>" for w in ("first", "second", "third", "fourth"))
+_MENU = "<nav><ul>" + "".join(f"<li><a href=/{i}>Part {i}</a>" for i in range(9)) + "</ul></nav>"
+
+
+@pytest.mark.parametrize("wrap", ["<form action=/x>{}</form>", '<div style="display:none">{}</div>', "<div hidden>{}</div>", "<form><div aria-hidden=true>{}</div></form>", "<form>{}", "<aside>{}", "<body><form id=f>{}</form><footer>All rights</footer>"])
+def test_a_page_in_a_form_or_a_hidden_element_is_read(wrap):
+    page = wrap.format(f"<header>Site</header>{_MENU}<div class=content><h1>Title</h1>{_PARAGRAPHS}</div><label>Your name</label><input>")
+    text = H.main_text(page)
+    assert text.startswith("Title\n\nThe first") and text.count("paragraph") == 4
+    assert "Part" not in text and "Site" not in text and "rights" not in text
+
+
+@pytest.mark.parametrize("extra", ["<form><p>Write to us, with your name and address, and we answer.</p><input></form>", "<div hidden><p>This text, of some length, is not shown to any reader of it.</p></div>", "<section id=comments><p>I like it, says a reader of the page.</p></section>", "<section id=user-comments><h3>Replies</h3><p>So do I, says another.</p></section>"])
+def test_forms_hidden_elements_and_comments_beside_a_text_go(extra):
+    page = f"<body>{_MENU}<article><h1>Title</h1>{_PARAGRAPHS}{extra}</article></body>"
+    assert H.main_text(page) == H.main_text(page.replace(extra, ""))
