@@ -8,8 +8,8 @@ arrays on, whose sums are the answer. All columns are sums over documents, so pa
 
 Texts are read once, in their rows. What is shuffled are rows of an id, a digest and a mask: a text's smallest
 id is found with map-side aggregation and joined by (digest, id), so a text with very many copies is no hot key;
-labels are joined by id. Rows that agree in part, mask and labels are counted before the table is asked, so a task
-meets a part at most 128 times however many documents or parts there are.
+labels are joined by id. Rows that agree in part, mask and labels are counted before the table is asked and dealt
+by part, so a part is at most 128 rows of one task however many documents or parts there are.
 
 Null texts are empty, null parts the empty string. A document is good (toxic) if any label row says so; without
 labels it is neither. Repeated rows count one by one and are not copies of each other, as no id is smaller. A null
@@ -134,5 +134,6 @@ def audit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([names, orders.dictionary_decode(), steps, *(pa.array(v.ravel()) for v in found.values())], names=["part", "filter_order", "step", *MEASURES])
 
     schema = "part string, filter_order string, step int, " + ", ".join(f"{m} long" for m in MEASURES)
-    partial = masks(docs, labels, id_col, text_col, part_col).mapInArrow(run, schema)
+    counts = masks(docs, labels, id_col, text_col, part_col).repartition("part")  # at most 128 rows of a part, so partial sums are few
+    partial = counts.mapInArrow(run, schema)
     return partial.groupBy("part", "filter_order", "step").agg(*[F.sum(m).alias(m) for m in MEASURES])
