@@ -97,7 +97,7 @@ def is_expired(day: Column, today: Column) -> Column:
     return F.coalesce(F.try_to_date(day.cast("string")) < today, F.lit(False))
 
 
-def status(deadline_day: Column, published_day: Column, today: Column, undated_days: int | None = None) -> Column:
+def status(deadline_day: Column, published_day: Column, today: Column, undated_days: Column | int | None = None) -> Column:
     """expired after the deadline, or without one after `undated_days` from publication; else open."""
     late = is_expired(deadline_day, today)
     if undated_days is not None:

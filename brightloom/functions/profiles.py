@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import clean, contains_any
+
 #: Degree ranks, the levels with their priorities, and the alignment score.
 DEGREE_RANKS = {"本科": 1, "硕士": 2, "博士": 3}
 DEGREE_MARKERS = (("本科", ("本科", "学士")), ("硕士", ("硕士",)), ("博士", ("博士",)))
-PRIORITY = {"explicit": 3, "review": 2, "not_recommended": 0}
+PRIORITY = {"explicit": 2, "review": 1, "not_recommended": 0}
 ALIGNED_SCORE = 55
 
 
@@ -21,12 +23,14 @@ def rank(degree: Column) -> Column:
     return chain
 
 
-def degree_status(listed: Column, own: Column) -> Column:
-    """explicit if listed; blocked below the lowest listed; review above it; unspecified without a list."""
+def degree_status(listed: Column, own: Column, text: Column | None = None) -> Column:
+    """explicit if listed, or if the text takes the own degree or a lower one and all above; blocked below the lowest listed; review above it; unspecified without a list."""
     ranks = F.filter(F.transform(listed, rank), lambda r: r.isNotNull())
+    none = F.size(F.coalesce(ranks, F.array())) == 0
     return (
-        F.when(F.size(F.coalesce(ranks, F.array())) == 0, "unspecified")
-        .when(F.array_contains(listed, own), "explicit")
+        F.when(F.coalesce(F.array_contains(listed, own), F.lit(False)), "explicit")
+        .when(F.lit(False) if text is None else or_above(text, own), "explicit")
+        .when(none, "unspecified")
         .when(rank(own) < F.array_min(ranks), "blocked")
         .otherwise("review")
     )
@@ -38,18 +42,15 @@ def english_major_required(text: Column, terms: Iterable[str], cues: Iterable[st
     return F.coalesce(text.rlike(rf"(?iU)\b(?:{a})\b[^.!?;\n]{{0,{within}}}\b(?:{b})\b|\b(?:{b})\b[^.!?;\n]{{0,{within}}}\b(?:{a})\b"), F.lit(False))
 
 
-def major_status(tags: Column, exact: Column, related: Column, english: Column) -> Column:
-    """tags of the record against a profile's exact and related terms (arrays); english: required in running text."""
-    return (
-        F.when(F.arrays_overlap(tags, exact), "explicit")
-        .when(english, "explicit")
-        .when(F.arrays_overlap(tags, related), "related")
-        .otherwise("unspecified")
-    )
+def major_status(tags: Column, exact: Column, english: Column) -> Column:
+    """explicit if one of a profile's exact terms (an array) is a tag, whatever the case, or its English name is required; related with other tags."""
+    low = lambda words: F.transform(F.filter(words, lambda x: F.trim(x) != ""), lambda x: F.lower(clean(x)))
+    own = F.coalesce(low(tags), F.array().cast("array<string>"))
+    return F.when(F.coalesce(F.arrays_overlap(own, low(exact)), F.lit(False)) | english, "explicit").when(F.size(own) > 0, "related").otherwise("unspecified")
 
 
 def match(degree: Column, major: Column, score: Column) -> Column:
-    """struct(level, priority) from the two statuses; a record that is not aligned by score or major isn't recommended."""
+    """struct(level, priority) from the two statuses; a record that neither its majors nor its score align isn't recommended."""
     aligned = (major != "unspecified") | (score >= ALIGNED_SCORE)
     level = (
         F.when(degree == "blocked", "not_recommended")
@@ -77,15 +78,15 @@ def explained(matched: Column, degree: Column, major: Column, labels: dict[str,
     return F.struct(matched["level"].alias("level"), label.alias("label"), reason.alias("reason"), matched["priority"].alias("priority"))
 
 
-#: How a text says that a degree or any above it will do.
-OR_ABOVE = ("及以上", "或以上", "以上学历", "以上学位", " or above", " or higher")
+#: The ways to write each degree, and how a text says that it or any above will do.
+DEGREE_NAMES = {"本科": ("本科", "学士", "bachelor", "undergraduate"), "硕士": ("硕士", "master"), "博士": ("博士", "ph.d", "phd", "doctoral")}
+OR_ABOVE = ("及以上", "学历及以上", "学位及以上", "'s degree or above", " degree or above")
 
 
-def or_above(text: Column, own: Column, names: dict[str, Iterable[str]] | None = None) -> Column:
-    """The text accepts a degree of at most the own rank and all above it. names: ways to write each degree."""
+def or_above(text: Column, own: Column, names: Mapping[str, Iterable[str]] = DEGREE_NAMES) -> Column:
+    """The text takes a degree of at most the own rank and all above it."""
+    low = F.lower(clean(text))
     found = F.lit(False)
     for degree, r in DEGREE_RANKS.items():
-        ways = [n + end for n in (names or {}).get(degree, (degree,)) for end in OR_ABOVE]
-        for way in ways:
-            found = found | (F.contains(F.lower(text), F.lit(way.lower())) & (rank(own) >= r))
+        found = found | (contains_any(low, [n + end for n in names.get(degree, ()) for end in OR_ABOVE]) & (rank(own) >= r))
     return F.coalesce(found, F.lit(False))

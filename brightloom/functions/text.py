@@ -69,11 +69,17 @@ def ordered_subset(text: Column, names: Iterable[tuple[str, tuple[str, ...]]]) -
     return F.array_compact(F.array(*[F.when(contains_any(text, markers), F.lit(name)) for name, markers in names]))
 
 
+def matches_any(text: Column, patterns: Iterable[str]) -> Column:
+    """Some pattern occurs, whatever the case; none does if there are none."""
+    found = [text.rlike(f"(?iu){p}") for p in patterns]
+    return reduce(or_, found) if found else F.lit(False)
+
+
 def title_allowed(title: Column, excluded: Iterable[str], required: Iterable[str]) -> Column:
-    """No excluded pattern occurs and, if any are required, one of those does."""
-    excluded, required = list(excluded), list(required)
-    ok = ~reduce(or_, [title.rlike(p) for p in excluded]) if excluded else F.lit(True)
-    return ok & reduce(or_, [title.rlike(p) for p in required]) if required else ok
+    """No excluded pattern occurs in the cleaned title and, if any are required, one of those does; case counts for nothing."""
+    required, name = list(required), clean(title)
+    ok = ~matches_any(name, excluded)
+    return ok & matches_any(name, required) if required else ok
 
 
 def label_value(text: Column, label: str, next_labels: Iterable[str], most: int = 200) -> Column:

@@ -8,6 +8,7 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def trend(daily: DataFrame, day: str, metric: str) -> DataFrame:
@@ -72,17 +73,30 @@ def deadline_quality(jobs: DataFrame, sources: DataFrame, open_ended: str) -> Da
     return kinds.agg(F.count("*").alias("total"), *[F.count_if(F.col("kind") == k).alias(k) for k in ("explicit", "policy", "unstated")])
 
 
+#: The states of a source's health that speak for it, and against it; any other is unknown.
+HEALTHY = ("source_active",)
+UNHEALTHY = ("source_degraded", "source_blocked", "source_error")
+TARGETED = 3
+
+
 def source_scans(sources: DataFrame, health: DataFrame, latest_runs: DataFrame) -> DataFrame:
-    """Per source: enabled, healthy (null if never checked), usable (healthy and its latest run finished) and matches.
+    """Per source: enabled, healthy (null if its health is unknown), finished, usable (enabled, healthy and its latest run finished) and matches of a usable one.
 
-    sources: source_id, province, enabled; health: source_id, status; latest_runs: source_id, status, open_matching_count.
+    sources: source_id, province, enabled, and if they have them source_role and target_active_sources; health: source_id, status;
+    latest_runs: source_id, status, open_matching_count.
     """
     h = health.select("source_id", F.col("status").alias("__health"))
     r = latest_runs.select("source_id", F.col("status").alias("__run"), F.col("open_matching_count").alias("__matches"))
     s = sources.join(h, "source_id", "left").join(r, "source_id", "left")
-    healthy = F.col("__health") == "source_active"
-    usable = F.coalesce(healthy & (F.col("__run") == "finished"), F.lit(False))
-    return s.select("source_id", "province", "enabled", healthy.alias("healthy"), usable.alias("usable"), F.when(usable, F.coalesce("__matches", F.lit(0))).alias("matches"))
+    on = F.coalesce("enabled", F.lit(False))
+    healthy = F.when(F.col("__health").isin(*HEALTHY), True).when(F.col("__health").isin(*UNHEALTHY), False)
+    finished = F.coalesce(F.col("__run") == "finished", F.lit(False))
+    usable = on & F.coalesce(healthy, F.lit(False)) & finished
+    optional = [F.col(c) if c in sources.columns else F.lit(None).cast(t).alias(c) for c, t in (("source_role", "string"), ("target_active_sources", "int"))]
+    return s.select(
+        "source_id", "province", on.alias("enabled"), healthy.alias("healthy"), F.coalesce("__health", F.lit("unknown")).alias("health"), finished.alias("finished"), usable.alias("usable"),
+        F.when(usable, F.coalesce("__matches", F.lit(0))).alias("matches"), *optional,
+    )
 
 
 #: What a province's numbers may be said to show, in order; the first that holds is given. Absence is proof only in one case.
@@ -101,47 +115,87 @@ LADDER = (
 
 
 def province_coverage(provinces: DataFrame, scans: DataFrame, targets: DataFrame, jobs: DataFrame, fallbacks: DataFrame, roles: tuple[str, ...]) -> DataFrame:
-    """One row for every province of the dimension, whether or not anything is known of it.
+    """One row for every province of the dimension, whether or not anything is known of it: its numbers, ids and roles, and what they may be said to show.
 
     scans: of source_scans; targets: province, role, state, source_id; jobs: province of each open job;
-    fallbacks: province, source_id of national sources that stand in.
+    fallbacks: province, source_id of national sources that stand in; those not registered don't count. A verified target whose source is
+    not registered is a candidate. What no source or target speaks of is missing.
     """
     on = F.col("enabled")
+    accessible = F.coalesce("healthy", F.lit(False))
+    ids = lambda test: F.array_sort(F.collect_set(F.when(test, F.col("source_id").cast("string"))))
+    health = scans.groupBy("province", "health").agg(F.count("*").alias("n"))
+    health = health.groupBy("province").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("health", "n")))).alias("health_statuses"))
     local = scans.groupBy("province").agg(
-        F.count("*").alias("registered"), F.count_if(on).alias("enabled_sources"), F.count_if(on & (F.col("matches") > 0)).alias("with_matches"),
-        F.count_if(on & (F.col("matches") == 0)).alias("without_matches"), F.count_if(on & ~F.col("usable")).alias("unready"), F.count_if(on & ~F.col("healthy")).alias("unhealthy"),
+        F.count("*").alias("registered"), F.count_if(on).alias("enabled_sources"), F.count_if("usable").alias("active_sources"), F.count_if(on & accessible).alias("accessible"), F.count_if(on & F.col("finished")).alias("completed_scans"),
+        F.count_if(on & (accessible | F.col("finished"))).alias("accessible_or_scanned"), F.count_if(F.col("matches") > 0).alias("with_matches"), F.count_if(F.col("matches") == 0).alias("without_matches"),
+        F.count_if(on & ~F.col("usable")).alias("unready"), F.count_if(on & ~F.col("healthy")).alias("unhealthy"), ids(on & ~F.col("usable")).alias("unready_source_ids"),
+        F.max("target_active_sources").alias("target_active_sources"), F.array_sort(F.collect_set(F.when(F.col("source_role") != "", F.col("source_role")))).alias("registered_roles"),
+    )
+    known = scans.select(F.col("source_id").alias("__id"), F.col("usable").alias("__usable"))
+    t = targets.filter(F.col("role").isin(*roles)).join(known, F.col("source_id") == F.col("__id"), "left")
+    state = F.when((F.col("state") == "verified") & F.col("__id").isNull(), "candidate").otherwise(F.coalesce("state", F.lit("unlocated")))
+    t = t.withColumn("state", state).groupBy("province", "role").agg(F.max_by("state", F.col("state") == "verified").alias("state"), F.max("__usable").alias("__usable"))
+    verified = F.col("state") == "verified"
+    bound = t.groupBy("province").agg(
+        F.count_if(verified).alias("verified_roles"), F.count_if(verified & ~F.col("__usable")).alias("roles_unscanned"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("role", "state")))).alias("__states"),
+        F.collect_set(F.when(verified, F.col("role"))).alias("__verified"), F.collect_set(F.when(verified & ~F.col("__usable"), F.col("role"))).alias("__unscanned"),
+    )
+    stand_in = fallbacks.select("province", "source_id").distinct().join(scans.select("source_id", "usable", "matches"), "source_id").groupBy("province").agg(
+        F.count("*").alias("fallback_sources"), F.count_if("usable").alias("fallback_active"), F.count_if(F.col("matches") > 0).alias("fallback_matches"), ids(F.lit(True)).alias("fallback_source_ids")
     )
-    ready = scans.select(F.col("source_id").alias("__id"), F.col("usable").alias("__usable"))
-    wanted = targets.filter(F.col("role").isin(*roles) & (F.col("state") == "verified") & F.col("source_id").isNotNull())
-    bound = wanted.join(ready, F.col("source_id") == F.col("__id"), "left").groupBy("province").agg(
-        F.count_distinct("role").alias("verified_roles"), F.count_if(~F.coalesce("__usable", F.lit(False))).alias("roles_unscanned")
-    )
-    stand_in = fallbacks.join(scans.select("source_id", "matches"), "source_id").groupBy("province").agg(F.count_if(F.col("matches") > 0).alias("fallback_matches"))
     open_jobs = jobs.groupBy("province").agg(F.count("*").alias("jobs"))
     p = provinces.select("province")
-    for part in (local, bound, stand_in, open_jobs):
+    for part in (local, bound, stand_in, open_jobs, health):
         p = p.join(part, "province", "left")
-    p = p.na.fill(0)
-    p = p.withColumn("roles_verified", F.col("verified_roles") == len(roles))
-    p = p.withColumn(
-        "no_match_is_verified",
-        no_match_is_verified(F.col("roles_verified"), (F.col("enabled_sources") > 0) & (F.col("unready") == 0), F.col("roles_unscanned") == 0, F.col("with_matches") == 0),
-    )
+    p = p.withColumn("target_active_sources", F.coalesce("target_active_sources", F.lit(TARGETED))).na.fill(0)
+    none = F.array().cast("array<string>")
+    lists = ("unready_source_ids", "registered_roles", "fallback_source_ids", "__verified", "__unscanned")
+    p = p.withColumns({c: F.coalesce(c, none) for c in lists})
+    wanted = F.array(*[F.lit(r) for r in roles])
+    empty = F.create_map().cast("map<string,string>")
+    p = p.withColumns(
+        {
+            "missing_source_roles": F.array_except(wanted, "registered_roles"), "missing_target_roles": F.array_except(wanted, "__verified"), "roles_without_scan": F.array_intersect(wanted, "__unscanned"),
+            "target_states": F.map_from_arrays(wanted, F.transform(wanted, lambda r: F.coalesce(F.try_element_at(F.coalesce("__states", empty), r), F.lit("unlocated")))), "target_count": F.lit(len(roles)),
+            "effective_active_sources": F.col("active_sources") + F.col("fallback_active"), "roles_verified": F.col("verified_roles") == len(roles), "all_scanned": (F.col("enabled_sources") > 0) & (F.col("unready") == 0),
+            "health_statuses": F.coalesce("health_statuses", F.create_map().cast("map<string,bigint>")),
+        }
+    ).drop("__states", "__verified", "__unscanned")
+    p = p.withColumn("no_match_is_verified", no_match_is_verified(F.col("roles_verified"), F.col("all_scanned"), F.col("roles_unscanned") == 0, F.col("with_matches") == 0))
     chain = None
     for name, condition in LADDER:
         chain = F.when(F.expr(condition), name) if chain is None else chain.when(F.expr(condition), name)
     return p.withColumn("interpretation", chain.otherwise("not_scanned"))
 
 
-def resilience(sources: DataFrame, backups: DataFrame) -> DataFrame:
-    """One row: enabled sources, those with at least one other enabled source as backup, and the rate to four places.
+def backups(sources: DataFrame, scans: DataFrame) -> DataFrame:
+    """Per source: has_backup, how many entry addresses and sources stand by, and which of these sources are usable now.
 
-    sources: source_id, enabled; backups: source_id, backup_id. Backups that aren't registered don't count.
+    sources: source_id, listing_urls, fallback_entry_urls, fallback_source_ids (arrays); an address beside the first listing, an entry, or another source is a
+    backup, whether or not that source is registered; usable are registered ones with a usable scan (source_scans).
     """
-    on = sources.filter("enabled").select("source_id")
-    good = backups.filter("backup_id <> source_id").join(on.select(F.col("source_id").alias("backup_id")), "backup_id", "left_semi").select("source_id").distinct()
-    covered = on.join(good.withColumn("__ok", F.lit(1)), "source_id", "left").agg(F.count("*").alias("enabled_sources"), F.count("__ok").alias("with_backup"))
-    return covered.withColumn("rate", F.coalesce(F.round(F.try_divide("with_backup", "enabled_sources"), 4), F.lit(0.0)))
+    size = lambda c: F.coalesce(F.size(F.filter(c, lambda x: x.isNotNull())), F.lit(0))
+    key = F.col("source_id").cast("string")
+    others = F.array_sort(F.array_distinct(F.filter(F.coalesce("fallback_source_ids", F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != "") & (x != key))))
+    s = sources.select("source_id", others.alias("__others"), (size("fallback_entry_urls") + F.greatest(size("listing_urls") - 1, F.lit(0))).alias("backup_entry_count"))
+    named = s.select("source_id", F.explode("__others").alias("__id"))
+    usable = named.join(scans.filter("usable").select(F.col("source_id").cast("string").alias("__id")), "__id").groupBy("source_id").agg(F.array_sort(F.collect_set("__id")).alias("usable_fallback_source_ids"))
+    s = s.join(usable, "source_id", "left").withColumn("backup_source_count", F.size("__others"))
+    return s.select(
+        "source_id", ((F.col("backup_entry_count") > 0) | (F.col("backup_source_count") > 0)).alias("has_backup"), "backup_entry_count", "backup_source_count",
+        F.coalesce("usable_fallback_source_ids", F.array().cast("array<string>")).alias("usable_fallback_source_ids"),
+    )
+
+
+def resilience(sources: DataFrame, scans: DataFrame) -> DataFrame:
+    """One row over all sources: how many have a declared backup, how many a fallback source that is usable now, and both rates to four places."""
+    rate = lambda n: F.coalesce(F.round(F.try_divide(n, F.count("*")), 4), F.lit(0.0))
+    has, usable = F.count_if("has_backup"), F.count_if(F.size("usable_fallback_source_ids") > 0)
+    return backups(sources, scans).agg(
+        F.count("*").alias("registered_sources"), has.alias("sources_with_backup"), rate(has).alias("coverage_rate"),
+        usable.alias("sources_with_usable_fallback_source"), rate(usable).alias("usable_fallback_source_coverage_rate"),
+    )
 
 
 def without_health(sources: DataFrame, health: DataFrame, key: str = "source_id") -> DataFrame:
@@ -194,6 +248,43 @@ def target_active(targets: DataFrame, column: str = "target_active_sources", def
     return targets.agg(F.coalesce(F.max(column), F.lit(default)).alias(column))
 
 
+def asof(asked: DataFrame, facts: DataFrame, time: str, keys: list[str], values: list[str], order: str | None = None, strictly_before: bool = True) -> DataFrame:
+    """Each asked row with the values of its keys' last fact before its time (or at it): one union, one shuffle by keys and one window, no join.
+
+    Of facts at one time the last by `order` counts; without one the values are null. Keys and time are columns of both. Null keys are keys; a
+    null time has no fact before it. Without keys all rows are sorted in one task: for tables of one row a day. The column `fact_time` is the fact's own.
+    """
+    own = [c for c in asked.columns if c not in (*keys, time)]
+    held = F.struct(F.col(time).alias("fact_time"), *[F.col(v) for v in values])
+    place = F.struct(F.col(order).alias("o")) if order else F.struct(F.lit(0).alias("o"))
+    kind = held_type(facts, time, values)
+    a = asked.select(*keys, time, F.struct(*own).alias("__own") if own else F.lit(True).alias("__own"), F.lit(None).cast(kind).alias("__fact"), F.lit(0 if strictly_before else 1).alias("__late"), F.lit(None).cast(facts.select(place.alias("p")).schema["p"].dataType).alias("__place"))
+    b = facts.filter(F.col(time).isNotNull()).select(*keys, time, F.lit(None).cast(a.schema["__own"].dataType).alias("__own"), held.cast(kind).alias("__fact"), F.lit(1 if strictly_before else 0).alias("__late"), place.alias("__place"))
+    w = Window.partitionBy(*keys).orderBy(F.col(time).asc_nulls_first(), "__late", "__place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = a.withColumn("__asked", F.lit(True)).unionByName(b.withColumn("__asked", F.lit(False))).withColumn("__last", F.last("__fact", ignorenulls=True).over(w)).filter("__asked")
+    return found.select(*[F.col("__own")[c].alias(c) if c in own else F.col(c) for c in asked.columns], *[F.col("__last")[c].alias(c) for c in ("fact_time", *values)])
+
+
+def held_type(facts: DataFrame, time: str, values: list[str]) -> T.StructType:
+    return T.StructType([T.StructField("fact_time", facts.schema[time].dataType), *[T.StructField(v, facts.schema[v].dataType) for v in values]])
+
+
+def daily_changes(snapshots: DataFrame, day: str, metrics: list[str], maps: list[str] = (), shares: list[str] = ()) -> DataFrame:
+    """Every snapshot with its baseline, the snapshot of the last day before it: available, baseline_day, and each metric's change.
+
+    snapshots: one row a day. A baseline's missing metric counts as zero. shares change by four places. maps: columns of name to number, by profile
+    for instance; a name that one of the two lacks counts as zero there. Nothing has changed where there is no baseline: changes are null.
+    """
+    found = asof(snapshots, snapshots.select(day, *[F.col(c).alias(f"__{c}") for c in (*metrics, *maps, *shares)]), day, [], [f"__{c}" for c in (*metrics, *maps, *shares)])
+    known = F.col("fact_time").isNotNull()
+    minus = lambda a, b: F.coalesce(a, F.lit(0)) - F.coalesce(b, F.lit(0))
+    moved = [F.when(known, minus(F.col(m), F.col(f"__{m}"))).alias(f"{m}_change") for m in metrics]
+    moved += [F.when(known, F.round(minus(F.col(m), F.col(f"__{m}")), 4)).alias(f"{m}_change") for m in shares]
+    empty = lambda c: F.coalesce(F.col(c), F.create_map().cast(snapshots.schema[c.removeprefix("__")].dataType))
+    moved += [F.when(known, F.map_zip_with(empty(m), empty(f"__{m}"), lambda _, a, b: minus(a, b))).alias(f"{m}_change") for m in maps]
+    return found.select(*snapshots.columns, known.alias("available"), F.col("fact_time").alias("baseline_day"), *moved)
+
+
 def metric_trend(current: DataFrame, snapshots: DataFrame, day: str, today: Column, metrics: list[str], strictly_before: bool = False) -> DataFrame:
     """One row: whether there is an earlier snapshot, its day, and each metric's change against it (null without one)."""
     old = baseline(snapshots, day, today, strictly_before).select(F.col(day).alias("baseline_day"), *[F.col(m).alias(f"__{m}") for m in metrics])

@@ -3,7 +3,7 @@ import datetime as dt
 import zlib
 
 from brightloom.functions import places, profiles
-from brightloom.operators import leads, normalise
+from brightloom.operators import normalise
 from brightloom.sources import html, portals, registries
 from pyspark.sql import functions as F
 
@@ -20,7 +20,7 @@ def test_posting(spark):
     a, b = got
     assert (a.title, a.source_url, a.category, a.degree_levels, a.major_tags, a.relevance_score, a.relevance_band, a.status) == ("招聘", "https://a.b/c", "oil", ["硕士"], ["地质工程"], 78, "strong", "open")
     assert a.deadline_date == dt.date(2026, 10, 8) and a.city == "北京" and len(a.fingerprint) == 64
-    assert (b.relevance_score, b.status, b.location_confidence) == (0, "open", "unknown")
+    assert (b.relevance_score, b.status, b.location_confidence) == (5, "open", "unknown")
 
 
 def test_profile_page_order(spark):
@@ -30,18 +30,6 @@ def test_profile_page_order(spark):
     assert [x.id for x in page.collect()] == [2, 1, 3]
 
 
-def test_leads(spark):
-    schema = "id int, lead_provider string, lead_url string, title string, official_url string, verification_note string, verification_status string, updated_at timestamp"
-    new = spark.createDataFrame([(1, "p", "https://a.b", "t", None, None, None, None), (2, "", "x", "t", None, None, None, None)], schema)
-    good, bad = leads.accepted(new)
-    assert [r.id for r in good.collect()] == [1] and [r.reason for r in bad.collect()] == ["no provider"]
-    changes = spark.createDataFrame([(1, "published", None, "https://o.f")], "id int, to string, note string, official_url string")
-    after, refused = leads.move(good, changes, F.lit("2026-01-01").cast("timestamp"))
-    assert after.first().verification_status == "pending" and refused.count() == 1
-    after, refused = leads.move(good, changes.withColumn("to", F.lit("verified")), F.lit("2026-01-01").cast("timestamp"))
-    assert after.first().verification_status == "verified" and refused.count() == 0
-
-
 def test_portals(spark):
     packed = base64.b64encode(zlib.compress(base64.b64encode("正文".encode()))).decode()
     df = spark.createDataFrame([(packed,), ("junk",), (None,)], "p string")
@@ -97,7 +85,7 @@ def test_verified_jobs_and_landscape(spark, tmp_path):
 def test_explained_matches(spark):
     df = spark.createDataFrame([("explicit", "explicit", 80), ("blocked", "explicit", 80), ("review", "related", 80)], "d string, m string, s int")
     got = df.select(profiles.explained(profiles.match(F.col("d"), F.col("m"), F.col("s")), F.col("d"), F.col("m"), {"explicit": "yes", "review": "ask", "not_recommended": "no"}, {("explicit", "explicit"): "all stated", ("blocked", ""): "degree too low", ("review", ""): "check"}).alias("x"))
-    assert [tuple(r.x) for r in got.collect()] == [("explicit", "yes", "all stated", 3), ("not_recommended", "no", "degree too low", 0), ("review", "ask", "check", 2)]
+    assert [tuple(r.x) for r in got.collect()] == [("explicit", "yes", "all stated", 2), ("not_recommended", "no", "degree too low", 0), ("review", "ask", "check", 1)]
     own = spark.createDataFrame([("硕士及以上学历", "博士"), ("硕士及以上学历", "本科"), ("硕士", "博士"), (None, "博士")], "t string, o string")
     assert [r[0] for r in own.select(profiles.or_above(F.col("t"), F.col("o"))).collect()] == [True, False, False, False]
 
@@ -118,3 +106,75 @@ def test_registry_errors(spark, tmp_path):
 def test_json_items(spark):
     df = spark.createDataFrame([('{"data": {"rows": [{"a": {"b": 1}}, {"c": 2}]}}',), ("bad",), (None,)], "j string")
     assert [r.x for r in registries.json_items(df, "j", "data.rows", {"x": "a.b"}).collect()] == ["1", None]
+
+
+POSTING = "source_id string, source_tier string, title string, employer string, source_url string, text string, published_date string, deadline_date string, location string, match_text string, application_url string, external_id string"
+
+
+def postings(spark, v, changes, employers=None):
+    """The records of one posting with each of the changes, in their order."""
+    rows = []
+    for i, changed in enumerate(changes):
+        row = {"source_id": "s", "source_tier": "A", "title": "Senior GIS Engineer", "employer": "石油院", "source_url": "https://a.b/1", "text": "地质工程", "deadline_date": "2099-01-01", "external_id": "x1"} | changed
+        rows.append((*(row.get(c.split()[0]) for c in POSTING.split(", ")), i))
+    return normalise.posting(spark.createDataFrame(rows, POSTING + ", i int"), v, F.lit("2026-10-08").cast("date"), employers=employers).orderBy("i").collect()
+
+
+def test_a_record_is_known_by_source_and_id_and_changes_with_any_part(spark):
+    """An edited title, employer, address, deadline or text, wherever in it, is another content of the same record."""
+    long = "地质工程" + " a" * 9_000
+    changes = [
+        {}, {"location": "x"}, {"title": "Other"}, {"employer": "x"}, {"text": long + " end"}, {"text": long + " eng"}, {"application_url": "https://a.b/apply"}, {"deadline_date": "2099-01-02"}, {"source_url": "https://a.b/2"},
+        {"external_id": "x2"}, {"source_id": "t"}, {"external_id": " "}, {"external_id": None, "title": "n"}, {"external_id": None, "source_url": "https://a.b/3"},
+    ]
+    rows = postings(spark, normalise.Vocabulary(majors=(("地质工程", 40),)), changes)
+    assert len({r.fingerprint for r in rows[:9]}) == 1 and len({r.content_hash for r in rows[1:9]}) == 8 and rows[0].content_hash == rows[1].content_hash
+    assert len({rows[i].fingerprint for i in (0, 9, 10, 11, 13)}) == 5 and rows[11].fingerprint == rows[12].fingerprint
+
+
+def test_terms_count_whatever_the_case_and_only_as_tags(spark):
+    v = normalise.Vocabulary(majors=tuple((f"t{i}", 5) for i in range(9)) + (("GIS", 30),), institution_words=("石油大学",), energy_words=("OIL",), most_tags=2)
+    rows = postings(spark, v, [{"text": "gis oil 中国石油大学 T8 T1 t3"}, {"source_tier": "Z", "text": "gis"}, {"text": "x", "title": "gis"}])
+    assert [(r.major_tags, r.relevance_score) for r in rows] == [(["t1", "t3"], 20 + 10 + 15 + 8), (["GIS"], 5 + 30), (["GIS"], 50)]
+
+
+def test_a_known_employer_has_its_own_category(spark):
+    v = normalise.Vocabulary(categories=(("mining", ("矿",)),), category_points={"oil": 18})
+    employers = spark.createDataFrame([("石油", 1, "oil", "e1", "Oil Works", "Oil Group"), ("石油院", 2, "school", "e2", "Oil School", None)], "alias string, ord int, category string, canonical_employer_id string, canonical_employer_name string, parent_employer_name string")
+    rows = postings(spark, v, [{"employer": "某石油院", "text": "矿"}, {"employer": "矿石油", "text": "x"}, {"employer": None, "text": "矿"}], employers)
+    assert [(r.category, r.canonical_employer_id, r.parent_employer_name) for r in rows] == [("school", "e2", None), ("oil", "e1", "Oil Group"), ("mining", None, None)]
+    assert rows[1].relevance_score == 38
+
+
+def test_reindex_changes_what_a_new_vocabulary_changes(spark):
+    old, new = normalise.Vocabulary(), normalise.Vocabulary(majors=(("gis", 30),), places=places.Places(cities={"北京": ("北京", "北京")}))
+    raw = [("s", "A", t, "e", f"https://a.b/{i}", x, None, "2099-01-01", w, None, None, None) for i, (t, x, w) in enumerate([("GIS", "x", None), ("plain", "x", "北京市"), ("none", "x", None)])]
+    stored = normalise.posting(spark.createDataFrame(raw, POSTING), old, F.lit("2026-10-08").cast("date")).withColumn("updated_at", F.lit("old"))
+    sources = spark.createDataFrame([("s", "B", None, None)], "source_id string, source_tier string, category string, undated_open_window_days int")
+    now = lambda v, s: normalise.reindex(s, sources, v, F.lit("2026-10-08").cast("date"), F.lit("new"))
+    after, events, counts = now(new, stored)
+    assert tuple(counts.first()) == (3, 3, 1, 0)  # the source's own tier changes every score
+    again, events_again, counts_again = now(new, after.withColumn("updated_at", F.lit("old")))
+    assert tuple(counts_again.first()) == (3, 0, 0, 3) and events_again.count() == 0 and {r.updated_at for r in again.collect()} == {"old"}
+    rows = {r.title: r for r in after.collect()}
+    assert rows["GIS"].major_tags == ["gis"] and rows["plain"].city == "北京" and rows["GIS"].fingerprint in {r.fingerprint for r in stored.collect()}
+    assert after.columns == stored.columns and events.first().event_type == "reclassified"
+    quiet = normalise.Vocabulary(places=new.places, tier_points={"A": 20, "B": 20})
+    assert tuple(now(quiet, stored)[2].first()) == (3, 0, 1, 2) and now(quiet, stored)[1].count() == 0
+
+
+def test_candidates_are_accepted_whatever_the_case(spark):
+    df = spark.createDataFrame([("Careers: GIS engineer",), ("GIS result LIST",), ("careers only",), ("nothing",)], "t string")
+    take = lambda **k: [r[0] for r in df.select(normalise.accepts(F.col("t"), **{"denied": [r"result\s+list"], "words": ["CAREERS"], "majors": ["gis"], "require_word": F.lit(None).cast("boolean"), "require_major": F.lit(False), "accept_all": F.lit(False)} | k)).collect()]
+    assert take() == [True, False, True, False]
+    assert take(require_major=F.lit(True)) == [True, False, False, False] and take(include=["ENGINEER"]) == [True, False, False, False]
+    assert take(accept_all=F.lit(True)) == [True] * 4 and take(denied=[]) == [True, True, True, False]
+
+
+def test_degrees_and_majors_of_profiles(spark):
+    rows = [("本科及以上", ["博士"], "硕士"), ("Master's degree or above", None, "博士"), ("bachelor or above", ["硕士"], "本科"), ("学士学位及以上", ["硕士"], "本科"), ("PhD degree or above", ["硕士"], "博士"), (None, ["硕士"], "本科"), ("硕士", ["本科", "x"], "硕士")]
+    df = spark.createDataFrame(rows, "t string, l array<string>, o string")
+    assert [r[0] for r in df.select(profiles.degree_status(F.col("l"), F.col("o"), F.col("t"))).collect()] == ["explicit", "explicit", "blocked", "explicit", "explicit", "blocked", "review"]
+    tags = spark.createDataFrame([(["GEOLOGY "],), (["other"],), ([" "],), (None,)], "t array<string>")
+    assert [r[0] for r in tags.select(profiles.major_status(F.col("t"), F.array(F.lit("Geology")), F.lit(False))).collect()] == ["explicit", "related", "unspecified", "unspecified"]
+    assert [r[0] for r in tags.select(profiles.major_status(F.col("t"), F.array(F.lit("x")), F.lit(True))).collect()] == ["explicit"] * 4

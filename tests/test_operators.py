@@ -181,11 +181,39 @@ def test_quality_counts(spark):
     assert tuple(coverage.deadline_quality(jobs, policies, r"(?i)open\s+until\s+filled").first()) == (4, 1, 2, 1)
 
 
-def test_resilience_counts_registered_backups_only(spark):
-    s = spark.createDataFrame([("a", True), ("b", True), ("c", False)], "source_id string, enabled boolean")
-    b = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c"), ("b", "zz"), ("b", "b")], "source_id string, backup_id string")
-    assert tuple(coverage.resilience(s, b).first()) == (2, 1, 0.5)
-    assert tuple(coverage.resilience(s.limit(0), b).first()) == (0, 0, 0.0)
+def test_resilience_parts_declared_from_usable_backups(spark):
+    schema = "source_id string, listing_urls array<string>, fallback_entry_urls array<string>, fallback_source_ids array<string>"
+    s = spark.createDataFrame([("a", ["x", "y"], None, None), ("b", ["x"], ["e"], ["b", ""]), ("c", None, None, ["a", "a", "gone", "off"]), ("d", ["x"], [], ["d"]), ("off", None, None, ["gone"])], schema)
+    states = spark.createDataFrame([("a", None, True), ("b", None, True), ("c", None, True), ("d", None, True), ("off", None, False)], "source_id string, province string, enabled boolean")
+    health = spark.createDataFrame([(x, "source_active") for x in ("a", "off")], "source_id string, status string")
+    runs = spark.createDataFrame([(x, "finished", 0) for x in ("a", "off")], "source_id string, status string, open_matching_count int")
+    scans = coverage.source_scans(states, health, runs)
+    rows = {r.source_id: tuple(r)[1:] for r in coverage.backups(s, scans).collect()}
+    assert rows == {"a": (True, 1, 0, []), "b": (True, 1, 0, []), "c": (True, 0, 3, ["a"]), "d": (False, 0, 0, []), "off": (True, 0, 1, [])}
+    assert tuple(coverage.resilience(s, scans).first()) == (5, 4, 0.8, 1, 0.2)
+    assert tuple(coverage.resilience(s.limit(0), scans).first()) == (0, 0, 0.0, 0, 0.0)
+
+
+def test_a_disabled_source_proves_no_absence(spark):
+    """Every role is verified and one of them by a disabled source: its finished scan and good health count for nothing."""
+    roles = ("a", "b", "c")
+    sources = spark.createDataFrame([("on", "P", True, "a", 5), ("off", None, False, None, None), ("sick", "Q", True, "b", None), ("new", "R", True, "", None)], "source_id string, province string, enabled boolean, source_role string, target_active_sources int")
+    health = spark.createDataFrame([("on", "source_active"), ("off", "source_active"), ("sick", "source_blocked"), ("new", "checked_once")], "source_id string, status string")
+    runs = spark.createDataFrame([(x, "finished", 0) for x in ("on", "off", "sick", "new")], "source_id string, status string, open_matching_count int")
+    targets = spark.createDataFrame(
+        [("P", r, "verified", "off" if r == "b" else "on") for r in roles] + [("Q", "a", "verified", "nowhere"), ("Q", "b", "blocked", None), ("R", "z", "verified", "on")], "province string, role string, state string, source_id string"
+    )
+    fallbacks = spark.createDataFrame([("Q", "on"), ("Q", "on"), ("Q", "off"), ("Q", "nowhere")], "province string, source_id string")
+    provinces = spark.createDataFrame([(x,) for x in "PQRS"], "province string")
+    jobs = spark.createDataFrame([("P",), ("P",)], "province string")
+    got = {r.province: r for r in coverage.province_coverage(provinces, coverage.source_scans(sources, health, runs), targets, jobs, fallbacks, roles).collect()}
+    p, q, r, s = (got[x] for x in "PQRS")
+    assert (p.no_match_is_verified, p.interpretation, p.roles_without_scan, p.missing_target_roles, p.jobs) == (False, "role_scan_missing", ["b"], [], 2)
+    assert (p.active_sources, p.accessible, p.target_active_sources, p.registered_roles, p.missing_source_roles) == (1, 1, 5, ["a"], ["b", "c"])
+    assert (q.interpretation, q.unready_source_ids, q.target_states, q.missing_target_roles) == ("source_unhealthy", ["sick"], {"a": "candidate", "b": "blocked", "c": "unlocated"}, list(roles))
+    assert (q.fallback_sources, q.fallback_active, q.fallback_source_ids, q.effective_active_sources, q.health_statuses) == (2, 1, ["off", "on"], 1, {"source_blocked": 1})
+    assert (r.interpretation, r.unready, r.unhealthy, r.accessible_or_scanned, r.target_active_sources) == ("scan_missing", 1, 0, 1, 3)
+    assert (s.interpretation, s.registered, s.health_statuses, s.unready_source_ids) == ("no_source", 0, {}, [])
 
 
 def test_null_and_repeated_keys(spark):
