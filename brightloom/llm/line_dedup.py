@@ -75,12 +75,13 @@ def later_windows(windows: DataFrame) -> DataFrame:
     return later.groupBy("id", "th").agg(F.collect_set("place").alias("places"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_lines: str = "__n_lines", n_removed: str = "__n_removed") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_lines: str | None = None, n_removed: str | None = None) -> DataFrame:
     """The documents with their columns, the text without repeated lines, and the numbers of lines and of removed ones.
 
-    Repeated lines include their newline; the lines that stay are joined by newlines as before. The two names
-    of numbers must not be columns of the documents.
+    Repeated lines include their newline; the lines that stay are joined by newlines as before. The numbers are the last two
+    columns, by default __n_lines and __n_removed, or such with underscores behind where the documents have columns of these names.
     """
+    n_lines, n_removed = n_lines or free_name(docs, "__n_lines"), n_removed or free_name(docs, "__n_removed")
     later = later_windows(stored(window_rows(docs, id_col, text_col)))
     own = ("h", "id", "th", "places", "lines", "bare", "at", "gone")
     h, id_, th, places, lines, bare, at, gone = (free_name(docs, f"__{x}") for x in own)

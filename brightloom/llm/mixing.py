@@ -11,7 +11,7 @@ that have room.
 
 Null texts and ids are allowed: a null text has size zero. Equal rows are separate documents; which of
 them a partial block reaches is unspecified, but they are equal; texts of one id and size differ in the hash.
-Texts of any length count whole. The documents' columns may have any names but, in mixed_documents, those added. Only sums per source and per shard are
+Texts of any length count whole. The documents' columns may have any names. Only sums per source and per shard are
 moved beside (id, source, size); shards hold about `shard_docs` documents, so a source with a third of
 all rows is many shards. A source of no words has target zero.
 """
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import exact, stored, words_of
+from .common import exact, free_name, stored, words_of
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -139,7 +139,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, block_words: int = BLOCK_WORDS, shard_docs: int = SHARD_DOCS, seed: int = SEED) -> DataFrame:
-    """The mix itself: the documents' columns, one row per pass over a document, with its pass (1, 2) and taken words.
+    """The mix itself: the documents' columns, one row per pass over a document, with its pass (1, 2) and taken words, as mix_pass and mix_words or such with underscores behind.
 
     The one document of a shard that its quota ends in gives its first words, joined by single spaces.
     """
@@ -155,4 +155,4 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "
     own = F.col("row")[text_col]
     front = F.array_join(F.slice(words_of(F.coalesce(own, F.lit(""))), F.lit(1), F.col("p.taken").cast("int")), " ")
     text = F.when(F.col("p.taken") < F.col("size"), front).otherwise(own)
-    return rows.select(*[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns], F.col("p.pass").alias("mix_pass"), F.col("p.taken").alias("mix_words"))
+    return rows.select(*[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns], F.col("p.pass").alias(free_name(docs, "mix_pass")), F.col("p.taken").alias(free_name(docs, "mix_words")))

@@ -9,7 +9,7 @@ import pytest
 from brightloom.llm import common, components, html_text, line_dedup, lm_score, mixing, pii, quality, secrets, simhash, token_counts
 from pyspark.sql import functions as F
 
-NAMES = ["__h", "__n", "__keep", "__lines", "__bare", "__at", "__places", "__gone", "__id", "__th", "__quality", "__quality_text", "q_base", "row", "p", "size", "words", "name", "h", "shard", "a.b", "c.d"]
+NAMES = ["__h", "__n", "__keep", "__lines", "__bare", "__at", "__places", "__gone", "__id", "__th", "__quality", "__quality_text", "q_base", "row", "p", "size", "words", "name", "h", "shard", "a.b", "c.d", "mix_pass", "mix_words", "__n_lines", "__n_removed"]
 TEXT = "\n".join(" ".join(f"the t{i}x{j} of r{i}y{j}" for j in range(9)) for i in range(8))
 
 
