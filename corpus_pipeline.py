@@ -6,8 +6,7 @@ return the columns of documents; n_chars follows the text. The last adds the pas
 and the words taken in it.
 
 In every stage a null text counts as empty (and fails the quality rules), texts of any length are read whole,
-an empty table gives an empty one, and other columns may have any names but __n_lines, __n_removed, mix_pass and
-mix_words. Rows that agree in id and text are judged alike; near copies keep one of them, and ties between
+an empty table gives an empty one, and other columns may have any names. Rows that agree in id and text are judged alike; near copies keep one of them, and ties between
 documents go to the smaller id (null last), then text hash.
 """
 
@@ -32,7 +31,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines repeated from earlier ones; those left without a word go, those that came without one stay."""
     rows = line_dedup.remove_repeats(docs)
-    changed = F.col("__n_removed") > 0
+    changed = exact(rows.columns[-1]) > 0
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return filtered(rows, ~changed | F.col("text").rlike(WORD_CHAR_RE)).select(*map(exact, docs.columns))
