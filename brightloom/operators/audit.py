@@ -64,22 +64,70 @@ def own_hosts(allowed: Column, homepage: Column) -> Column:
     return F.array_compact(F.array_union(F.coalesce(allowed, F.array().cast("array<string>")), F.array(urls.host(homepage))))
 
 
+#: What an issue says by its code; {names} are columns of the row.
+MESSAGES = {
+    "unknown_source": "the job names a source that is not registered", "unpublished_job_record": "a record that is not verified stands among the published ones", "missing_official_evidence_url": "no official address that can be opened",
+    "invalid_source_url": "the source address is no http address", "source_host_mismatch": "the host {host} is none of the source's", "forbidden_notice_text": "title or summary has {word}", "non_vacancy_process_notice": "the title announces a step of a procedure, not a vacancy",
+    "invalid_source_threshold": "the source's minimum relevance is no number", "below_source_threshold": "a relevance of {relevance_score} is below the source's minimum", "disabled_source_job": "an open job of a source that is switched off", "empty_title": "no title",
+    "empty_description": "no description", "invalid_deadline": "the deadline {deadline_date} is no date", "stale_open_job": "open after its deadline {deadline_date}", "duplicate_source_url": "{n} jobs have the address {source_url}", "stale_crawl_run": "a run that never ended, {run_id}",
+}
+
+
+def _message(code: str, known: dict[str, Column]) -> Column:
+    """The text of a code with its columns put in; what is null reads as nothing."""
+    parts = []
+    for i, part in enumerate(MESSAGES[code].replace("}", "{").split("{")):
+        parts.append(F.coalesce(known[part].cast("string"), F.lit("")) if i % 2 else F.lit(part))
+    return F.concat(*parts)
+
+
 def audit(jobs: DataFrame, sources: DataFrame, runs: DataFrame, today: Column, cutoff: Column, forbidden: list[str], process_titles: list[str]) -> DataFrame:
-    """(code, job_id, source_id) for every broken rule; no row means that all is well.
+    """(code, job_id, source_id, source_url, message) for every broken rule; no row means that all is well.
 
     jobs: id, source_id and the fields of job_rules; sources: id, source_type, enabled, homepage_url, allowed_hosts, minimum_relevance
-    (text), allow_shared_urls; runs: id, source_id, status, started_at, of which those running since the cutoff on enabled sources are stale.
+    (text), allow_shared_urls; runs: id, source_id, status, started_at, of which those running since the cutoff on enabled sources are stale. An address
+    of several jobs is one issue, whose jobs duplicate_jobs() gives.
     """
-    s = sources.select(F.col("id").alias("source_id"), "source_type", "enabled", own_hosts(F.col("allowed_hosts"), F.col("homepage_url")).alias("__hosts"), "minimum_relevance", F.col("allow_shared_urls").alias("__shared"))
-    j = jobs.join(s, "source_id", "left")
+    from brightloom.functions import urls
+
+    j = _with_sources(jobs, sources)
     rules = job_rules(today, F.try_to_number("minimum_relevance", F.lit("S999999999")).cast("int"), F.col("__hosts"), forbidden, process_titles)
-    codes = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(code)) for code, c in rules]))
-    found = j.select(F.explode(codes).alias("code"), F.col("id").alias("job_id"), "source_id")
-    twice = shared_urls(j.filter(F.col("source_url").isNotNull() & F.col("source_type").isNotNull()), "source_url", "__shared")
+    titled = F.concat_ws(" ", "title", "summary")
+    word = F.coalesce(*[F.when(F.contains(titled, F.lit(w)), F.lit(w)) for w in forbidden]) if forbidden else F.lit(None)
+    known = {"host": urls.host(F.col("source_url")), "word": word, "relevance_score": F.col("relevance_score"), "deadline_date": F.col("deadline_date")}
+    told = [F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(code).alias("code"), _message(code, known).alias("message"))) for code, c in rules]
+    found = j.select(F.inline(F.array_compact(F.array(*told))), F.col("id").alias("job_id"), "source_id", "source_url")
+    twice = _twice(j)
     on = sources.filter("enabled").select(F.col("id").alias("source_id"))
     stale = runs.filter((F.col("status") == "running") & (F.col("started_at") <= cutoff)).join(on, "source_id", "left_semi")
-    none = F.lit(None).cast(jobs.schema["id"].dataType)
+    none = lambda c: F.lit(None).cast(jobs.schema[c].dataType)
+    of_url = _message("duplicate_source_url", {"n": F.col("n"), "source_url": F.col("source_url")})
+    of_run = _message("stale_crawl_run", {"run_id": F.col("id")})
     return (
-        found.unionByName(twice.select(F.lit("duplicate_source_url").alias("code"), none.alias("job_id"), F.lit(None).cast(jobs.schema["source_id"].dataType).alias("source_id")))
-        .unionByName(stale.select(F.lit("stale_crawl_run").alias("code"), none.alias("job_id"), "source_id"))
+        found.select("code", "job_id", "source_id", "source_url", "message")
+        .unionByName(twice.select(F.lit("duplicate_source_url").alias("code"), none("id").alias("job_id"), none("source_id").alias("source_id"), "source_url", of_url.alias("message")))
+        .unionByName(stale.select(F.lit("stale_crawl_run").alias("code"), none("id").alias("job_id"), "source_id", none("source_url").alias("source_url"), of_run.alias("message")))
     )
+
+
+def _with_sources(jobs: DataFrame, sources: DataFrame) -> DataFrame:
+    s = sources.select(F.col("id").alias("source_id"), "source_type", "enabled", own_hosts(F.col("allowed_hosts"), F.col("homepage_url")).alias("__hosts"), "minimum_relevance", F.col("allow_shared_urls").alias("__shared"))
+    return jobs.join(s, "source_id", "left")
+
+
+def _twice(j: DataFrame) -> DataFrame:
+    return shared_urls(j.filter((F.coalesce("source_url", F.lit("")) != "") & F.col("source_type").isNotNull()), "source_url", "__shared")
+
+
+def duplicate_jobs(jobs: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source_url, n, job_id, source_id): the jobs of every address that is an issue, one row each, as an address may have very many."""
+    j = _with_sources(jobs, sources)
+    return j.filter(F.col("source_type").isNotNull()).join(_twice(j), "source_url").select("source_url", "n", F.col("id").alias("job_id"), "source_id")
+
+
+def overview(issues: DataFrame, jobs: DataFrame, sources: DataFrame, today: Column) -> DataFrame:
+    """One row: ok, the jobs checked and open, the sources registered and enabled, the issues, and the day of the audit."""
+    j = jobs.agg(F.count("*").alias("checked_jobs"), F.count_if(F.col("status") == "open").alias("open_jobs"))
+    s = sources.agg(F.count("*").alias("registered_sources"), F.count_if("enabled").alias("enabled_sources"))
+    i = issues.agg(F.count("*").alias("issues"))
+    return j.join(s, F.lit(True)).join(i, F.lit(True)).select((F.col("issues") == 0).alias("ok"), "*", today.alias("audited_date"))  # one row each

@@ -42,8 +42,12 @@ def detect(state: DataFrame, batch: DataFrame, key: str, content: str, derived:
         F.when(F.col("outcome").isin("created", "updated"), now).otherwise(F.col("o.updated_at")).alias("updated_at"), "outcome",
     ]
     result = j.select(*columns)
-    events = result.filter(F.col("outcome").isin("created", "updated")).select(key, F.col("outcome").alias("event_type"), now.alias("occurred_at"))
-    return result, events
+    return result, told(result, key)
+
+
+def told(detected: DataFrame, key: str) -> DataFrame:
+    """The events (key, event_type, occurred_at) of a detected state: what was created or updated, at the time it was."""
+    return detected.filter(F.col("outcome").isin("created", "updated")).select(key, F.col("outcome").alias("event_type"), F.col("updated_at").alias("occurred_at"))
 
 
 def reclassified(before: DataFrame, after: DataFrame, key: str, fields: list[str], now: Column) -> DataFrame:

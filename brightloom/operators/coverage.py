@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brightloom import storage
+
 
 def trend(daily: DataFrame, day: str, metric: str) -> DataFrame:
     """Adds change, against the day before in the table. The input has one row per day, so one window holds it."""
@@ -117,7 +119,7 @@ LADDER = (
 def province_coverage(provinces: DataFrame, scans: DataFrame, targets: DataFrame, jobs: DataFrame, fallbacks: DataFrame, roles: tuple[str, ...]) -> DataFrame:
     """One row for every province of the dimension, whether or not anything is known of it: its numbers, ids and roles, and what they may be said to show.
 
-    scans: of source_scans; targets: province, role, state, source_id; jobs: province of each open job;
+    scans: of source_scans; targets: province, role, state, source_id; jobs: province of each open job, or province and jobs, their number;
     fallbacks: province, source_id of national sources that stand in; those not registered don't count. A verified target whose source is
     not registered is a candidate. What no source or target speaks of is missing.
     """
@@ -144,7 +146,7 @@ def province_coverage(provinces: DataFrame, scans: DataFrame, targets: DataFrame
     stand_in = fallbacks.select("province", "source_id").distinct().join(scans.select("source_id", "usable", "matches"), "source_id").groupBy("province").agg(
         F.count("*").alias("fallback_sources"), F.count_if("usable").alias("fallback_active"), F.count_if(F.col("matches") > 0).alias("fallback_matches"), ids(F.lit(True)).alias("fallback_source_ids")
     )
-    open_jobs = jobs.groupBy("province").agg(F.count("*").alias("jobs"))
+    open_jobs = jobs.select("province", "jobs") if "jobs" in jobs.columns else jobs.groupBy("province").agg(F.count("*").alias("jobs"))
     p = provinces.select("province")
     for part in (local, bound, stand_in, open_jobs, health):
         p = p.join(part, "province", "left")
@@ -203,11 +205,11 @@ def without_health(sources: DataFrame, health: DataFrame, key: str = "source_id"
     return sources.select(key).join(health.select(key), key, "left_anti")
 
 
-def category_sources(jobs: DataFrame, categories: DataFrame, category: str = "category", source: str = "source_id") -> DataFrame:
-    """One row for every category of the dimension: its jobs, distinct sources, and its largest source with share and risk."""
+def category_sources(jobs: DataFrame, categories: DataFrame, category: str = "category", source: str = "source_id", weight: str | None = None) -> DataFrame:
+    """One row for every category of the dimension: its jobs, distinct sources, and its largest source with share and risk. weight: a column of how many jobs a row stands for."""
     from .listing import concentration
 
-    top = concentration(jobs.filter(F.col(category).isNotNull()), [category], source)
+    top = concentration(jobs.filter(F.col(category).isNotNull()), [category], source, weight=weight)
     n = jobs.groupBy(category).agg(F.count_distinct(F.coalesce(source, F.lit("unknown"))).alias("source_count"))
     found = categories.select(category).join(top, category, "left").join(n, category, "left")
     return found.na.fill(0, ["top_count", "total", "share", "source_count"]).na.fill("no_data", ["risk"])
@@ -312,39 +314,79 @@ def quality_gate(numbers: DataFrame, checks: tuple[tuple[str, str], ...] = QUALI
     return one.withColumn("failed_checks", failed).withColumn("status", F.when(F.size("failed_checks") == 0, "pass").otherwise("needs_attention"))
 
 
-def numbers_for_gate(jobs: DataFrame, policies: DataFrame, explicit_matches: DataFrame, provinces: DataFrame, open_ended: str) -> DataFrame:
-    """One row of what the checks ask.
+#: The groupings of the jobs that a report asks for, by the grouping id of (category, source_id, province).
+CUTS = {7: "all", 5: "source", 3: "category", 6: "province", 1: "category_source"}
 
-    jobs: source_id, category, official_evidence_url, major_tags, location, province, country_or_region, deadline_date, summary,
-    description; explicit_matches: one row with that column; provinces: of province_coverage.
-    """
-    from .listing import concentration
 
+def job_cube(jobs: DataFrame, policies: DataFrame, open_ended: str) -> DataFrame:
+    """(cut, category, source_id, province, and counts): all that a report says of the jobs, by grouping sets in one pass over them.
+
+    jobs: source_id, category, official_evidence_url, major_tags, location, province, country_or_region, deadline_date, summary, description;
+    policies: source_id, deadline_policy. The counts are those of location_quality, deadline_quality, and evidence and tagged.
+    """
     given = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
-    rate = lambda n: F.coalesce(F.round(F.try_divide(n, F.count("*")), 4), F.lit(0.0))
-    fields = jobs.agg(rate(F.count_if(given("official_evidence_url"))).alias("evidence_rate"), rate(F.count_if(F.coalesce(F.size("major_tags"), F.lit(0)) > 0)).alias("tags_rate"))
-    places = location_quality(jobs).select(F.coalesce(F.round(F.try_divide("normalized_region", "total"), 4), F.lit(0.0)).alias("region_rate"))
-    days = deadline_quality(jobs, policies, open_ended).select(F.coalesce(F.round(F.try_divide(F.col("explicit") + F.col("policy"), F.col("total")), 4), F.lit(0.0)).alias("deadline_rate"))
-    share = lambda c, missing, out: concentration(jobs.withColumn("__all", F.lit(0)), ["__all"], c, missing).agg(F.coalesce(F.max("share"), F.lit(0.0)).alias(out))
+    j = jobs.join(policies.select("source_id", F.col("deadline_policy").alias("__policy")), "source_id", "left")
+    explicit = given(F.col("deadline_date").cast("string"))
+    policy = ~explicit & (given("__policy") | F.coalesce(F.concat_ws(" ", "summary", "description").rlike(open_ended), F.lit(False)))
+    flags = {
+        "evidence": given("official_evidence_url"), "tagged": F.coalesce(F.size("major_tags"), F.lit(0)) > 0, "raw_location": given("location"), "normalized_region": given("province") | given("country_or_region"),
+        "province_known": given("province"), "elsewhere": given("country_or_region") & ~given("province"), "explicit": explicit, "policy": policy,
+    }
+    j = j.select("category", "source_id", "province", *[f.alias(k) for k, f in flags.items()])
+    sets = [[], ["source_id"], ["category"], ["province"], ["category", "source_id"]]
+    cube = j.groupingSets(sets, "category", "source_id", "province").agg(F.grouping_id("category", "source_id", "province").alias("__cut"), F.count("*").alias("total"), *[F.count_if(k).alias(k) for k in flags])
+    names = F.create_map(*[F.lit(x) for kv in CUTS.items() for x in kv])
+    return cube.withColumn("cut", names[F.col("__cut").cast("int")]).withColumn("unstated", F.col("total") - F.col("explicit") - F.col("policy")).drop("__cut")
+
+
+def cut(cube: DataFrame, name: str) -> DataFrame:
+    """One grouping of job_cube. Of no jobs at all the cut `all` still has its row, of zeros."""
+    rows = cube.filter(F.col("cut") == name)
+    if name != "all":
+        return rows
+    counts = [c for c in cube.columns if c not in ("cut", "category", "source_id", "province")]
+    return rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts])
+
+
+def top_share(counts: DataFrame, key: str, missing: str) -> DataFrame:
+    """One row over (key, total): the largest key, its count, all, the share to four places and its risk, as listing.concentration gives; none without rows."""
+    n = counts.groupBy(F.coalesce(key, F.lit(missing)).alias("top_key")).agg(F.sum("total").alias("n"))
+    top = n.agg(F.min(F.struct((-F.col("n")).alias("n"), "top_key")).alias("t"), F.sum("n").alias("total")).filter("total IS NOT NULL")
+    share = F.round(F.try_divide(-F.col("t.n"), F.col("total")), 4)
+    risk = F.when(share >= 0.5, "high").when(share >= 0.3, "watch").otherwise("balanced")
+    return top.select(F.col("t.top_key").alias("top_key"), (-F.col("t.n")).alias("top_count"), "total", share.alias("share"), risk.alias("risk"))
+
+
+def _numbers(cube: DataFrame, explicit_matches: DataFrame, provinces: DataFrame) -> DataFrame:
+    rate = lambda n: F.coalesce(F.round(F.try_divide(n, F.col("total")), 4), F.lit(0.0))
+    rates = cut(cube, "all").select(rate(F.col("evidence")).alias("evidence_rate"), rate(F.col("tagged")).alias("tags_rate"), rate(F.col("normalized_region")).alias("region_rate"), rate(F.col("explicit") + F.col("policy")).alias("deadline_rate"))
+    share = lambda name, key, missing, out: top_share(cut(cube, name), key, missing).agg(F.coalesce(F.max("share"), F.lit(0.0)).alias(out))
     failing = provinces.agg(F.count_if(F.col("no_match_is_verified") & (F.col("unhealthy") > 0)).alias("verified_in_failure"))
-    parts = [fields, places, days, explicit_matches.select("explicit_matches"), share("source_id", "unknown", "source_share"), share("category", "unclassified", "category_share"), failing]
+    parts = [rates, explicit_matches.select("explicit_matches"), share("source", "source_id", "unknown", "source_share"), share("category", "category", "unclassified", "category_share"), failing]
     return reduce(lambda a, b: a.join(b, F.lit(True)), parts)  # one row each
 
 
+def numbers_for_gate(jobs: DataFrame, policies: DataFrame, explicit_matches: DataFrame, provinces: DataFrame, open_ended: str) -> DataFrame:
+    """One row of what the checks ask, by one pass over the jobs. explicit_matches: one row with that column; provinces: of province_coverage; the others as for job_cube."""
+    return _numbers(storage.stored(job_cube(jobs, policies, open_ended)), explicit_matches, provinces)
+
+
 def report(sources: DataFrame, health: DataFrame, latest_runs: DataFrame, jobs: DataFrame, policies: DataFrame, targets: DataFrame, fallbacks: DataFrame, provinces: DataFrame, categories: DataFrame, explicit_matches: DataFrame, snapshots: DataFrame, today: Column, roles: tuple[str, ...], open_ended: str) -> dict[str, DataFrame]:
-    """The sections of the coverage report as flat tables, each to be read on its own."""
-    from .listing import concentration
+    """The sections of the coverage report as flat tables, each to be read on its own.
 
+    The jobs are read once, for job_cube, which is stored: it has a row for each source, category, province and pair of the first two.
+    """
+    cube = storage.stored(job_cube(jobs, policies, open_ended))
     scans = source_scans(sources, health, latest_runs)
-    by_province = province_coverage(provinces, scans, targets, jobs.select("province"), fallbacks, roles)
+    by_province = province_coverage(provinces, scans, targets, cut(cube, "province").select("province", F.col("total").alias("jobs")), fallbacks, roles)
     scan_counts, outcomes = scan_quality(sources, health, latest_runs)
-    one = jobs.withColumn("__all", F.lit(0))
-    current = jobs.agg(F.count("*").alias("open_jobs")).join(scan_counts, F.lit(True)).join(explicit_matches, F.lit(True))
+    whole = cut(cube, "all")
+    current = whole.select(F.col("total").alias("open_jobs")).join(scan_counts, F.lit(True)).join(explicit_matches, F.lit(True))
     metrics = ["open_jobs", "successful_scan_sources", "sources_with_open_matches", "explicit_matches"]
+    pairs = cut(cube, "category_source").filter("category IS NOT NULL")
     return {
         "health": health_distribution(sources, health), "without_health": without_health(sources, health), "scan_quality": scan_counts, "scan_outcomes": outcomes, "province_coverage": by_province,
-        "target_states": state_totals(target_states(targets)), "location_quality": location_quality(jobs), "deadline_quality": deadline_quality(jobs, policies, open_ended),
-        "source_concentration": concentration(one, ["__all"], "source_id").drop("__all"), "category_concentration": concentration(one, ["__all"], "category", "unclassified").drop("__all"),
-        "category_sources": category_sources(jobs, categories), "trend": metric_trend(current, snapshots, "snapshot_date", today, metrics),
-        "quality_gate": quality_gate(numbers_for_gate(jobs, policies, explicit_matches, by_province, open_ended)),
+        "target_states": state_totals(target_states(targets)), "location_quality": whole.select("total", "raw_location", "normalized_region", "province_known", "elsewhere"), "deadline_quality": whole.select("total", "explicit", "policy", "unstated"),
+        "source_concentration": top_share(cut(cube, "source"), "source_id", "unknown"), "category_concentration": top_share(cut(cube, "category"), "category", "unclassified"),
+        "category_sources": category_sources(pairs, categories, weight="total"), "trend": metric_trend(current, snapshots, "snapshot_date", today, metrics), "quality_gate": quality_gate(_numbers(cube, explicit_matches, by_province)),
     }

@@ -70,9 +70,9 @@ def _first(df: DataFrame, keys: Iterable[str], order: Column) -> DataFrame:
     return ranked.filter("__rank = 1").drop("__rank")
 
 
-def concentration(df: DataFrame, groups: list[str], key: str, missing: str = "unknown") -> DataFrame:
-    """Per group the largest key, its count, the total, the share to four places and its risk. Ties go to the smaller key."""
-    n = df.groupBy(*groups, F.coalesce(key, F.lit(missing)).alias("top_key")).agg(F.count("*").alias("n"))
+def concentration(df: DataFrame, groups: list[str], key: str, missing: str = "unknown", weight: str | None = None) -> DataFrame:
+    """Per group the largest key, its count, the total, the share to four places and its risk. Ties go to the smaller key. weight: a column of how many a row stands for."""
+    n = df.groupBy(*groups, F.coalesce(key, F.lit(missing)).alias("top_key")).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
     top = n.groupBy(*groups).agg(F.max(F.struct("n")).alias("m"), F.sum("n").alias("total"), F.min_by("top_key", F.struct((-F.col("n")).alias("n"), "top_key")).alias("top_key"))
     share = F.round(F.try_divide(F.col("m.n"), F.col("total")), 4)
     risk = F.when(F.col("total") == 0, "no_data").when(share >= 0.5, "high").when(share >= 0.3, "watch").otherwise("balanced")

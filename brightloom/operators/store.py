@@ -13,6 +13,8 @@ from .changes import replace_keys, upsert
 
 #: What a skipped scan says where a site forbids it.
 FORBIDDEN_WORDS = ("robots", "permit")
+#: Types of sources are names of readers, so there are few; more are an error.
+MOST_KINDS = 1_000
 
 
 def find(table: DataFrame, key: str, value: object) -> DataFrame:
@@ -25,9 +27,9 @@ def listed(table: DataFrame, *order: str | Column, enabled_only: bool = False) -
     return (table.filter("enabled") if enabled_only else table).orderBy(*order)
 
 
-def newest(table: DataFrame, day: str, limit: int, most: int = 500) -> DataFrame:
-    """The newest rows by day, at least one and at most `most`."""
-    return table.orderBy(F.desc(day)).limit(clamped(limit, 1, most))
+def newest(table: DataFrame, day: str, limit: int, most: int | None = None) -> DataFrame:
+    """The newest rows by day: as many as asked for, at least one, and at most `most` if that is given."""
+    return table.orderBy(F.desc(day)).limit(clamped(limit, 1, max(1, limit) if most is None else most))
 
 
 def clamped(value: int | None, least: int, most: int, default: int | None = None) -> int:
@@ -104,7 +106,9 @@ def skipped_status(detail: Column) -> Column:
 
 def collected(spark: SparkSession, sources: DataFrame, readers: Mapping[str, Callable[[DataFrame], DataFrame]], schema: str) -> DataFrame:
     """The postings of all sources, each kind of source read by its reader; manual ones have none, and a kind without reader is an error."""
-    kinds = {r[0] for r in sources.select("source_type").distinct().limit(1000).collect()}
+    kinds = {r[0] for r in sources.select("source_type").distinct().limit(MOST_KINDS + 1).collect()}
+    if len(kinds) > MOST_KINDS:
+        raise ValueError(f"over {MOST_KINDS} types of sources")
     if unknown := kinds - readers.keys() - {"manual"}:
         raise ValueError(f"no reader for {sorted(map(str, unknown))}")
     out = spark.createDataFrame([], schema)

@@ -7,6 +7,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brightloom import storage
+
 from . import changes, store
 
 
@@ -21,7 +23,7 @@ def sync(jobs: DataFrame, health: DataFrame, sources: DataFrame, records: DataFr
     """jobs: state of changes.detect by fingerprint, with source_id and status among `derived`; health: of record_health; sources: source_id, enabled,
     minimum_relevance; records: of normalise.posting for all sources, with position; failures: source_id, skipped (boolean), error.
 
-    Records of failed or disabled sources and those below their source's minimum are left out. Every enabled source has
+    The jobs' new state is stored in the shared folder, so that jobs, events and runs are of one detection. Records of failed or disabled sources and those below their source's minimum are left out. Every enabled source has
     one run: finished, skipped or failed, with its counts.
     """
     on = sources.filter("enabled")
@@ -29,7 +31,10 @@ def sync(jobs: DataFrame, health: DataFrame, sources: DataFrame, records: DataFr
     taken = records.join(good.select("source_id"), "source_id", "left_semi")
     kept, skipped = store.gated(taken, good)
     batch = kept.select("fingerprint", "content_hash", *derived, "position")
-    state, events = changes.detect(jobs, batch, "fingerprint", "content_hash", derived, now, "position")
+    state, _ = changes.detect(jobs, batch, "fingerprint", "content_hash", derived, now, "position")
+    # the four results are read apart: the detection runs once, with one time
+    state = storage.stored(state)
+    events = changes.told(state, "fingerprint")
     found = taken.groupBy("source_id").agg(F.count("*").alias("discovered_count"))
     opened = kept.filter("status = 'open'").groupBy("source_id").agg(F.count("*").alias("open_matching_count"))
     saved = state.filter("outcome <> 'absent'").groupBy("source_id").agg(F.count_if(F.col("outcome") == "created").alias("inserted_count"), F.count_if(F.col("outcome") == "updated").alias("updated_count"))

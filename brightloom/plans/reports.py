@@ -87,7 +87,7 @@ TODAY, CUTOFF = "1996-01-01", "2024-01-02 00:00:00"
     UNION ALL SELECT 'stale_crawl_run', NULL, source_id FROM runs WHERE status = 'running' AND started_at <= TIMESTAMP '{CUTOFF}' AND source_id IN (SELECT id FROM sources WHERE enabled)""",
 )
 def audit_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.audit(jobs(spark, sf_dir), sources(spark, sf_dir), runs(spark, sf_dir), F.lit(TODAY).cast("date"), F.lit(CUTOFF).cast("timestamp_ntz"), ["forbidden"], ["interview"])
+    return audit.audit(jobs(spark, sf_dir), sources(spark, sf_dir), runs(spark, sf_dir), F.lit(TODAY).cast("date"), F.lit(CUTOFF).cast("timestamp_ntz"), ["forbidden"], ["interview"]).select("code", "job_id", "source_id")
 
 
 _GATE_SQL = f"""WITH {JOBS_SQL}, n AS (SELECT round(count(*) FILTER (trim(official_evidence_url) <> '') / count(*), 4) AS ev, round(count(*) FILTER (id % 9 <> 0) / count(*), 4) AS tg, round(count(*) FILTER (province IS NOT NULL) / count(*), 4) AS rg,

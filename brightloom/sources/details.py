@@ -111,7 +111,7 @@ def table_fields(document: Column, aliases: Mapping[str, str]) -> Column:
     def entry(row: Column) -> Column:
         cells = F.filter(F.transform(F.regexp_extract_all(row, F.lit(r"(?is)<t[hd]\b[^>]*>(.*?)(?=</t[hd]>|<t[hd]\b|\z)"), F.lit(1)), plain), lambda c: c != "")
         label = F.regexp_replace(F.get(cells, 0), "[：:]+$", "")
-        return F.struct(rules.lookup(label, aliases).alias("key"), F.array_join(F.slice(cells, 2, 1_000), " ").alias("value"))
+        return F.struct(rules.lookup(label, aliases).alias("key"), F.array_join(F.slice(cells, F.lit(2), F.greatest(F.size(cells), F.lit(1))), " ").alias("value"))
 
     rows = F.regexp_extract_all(document, F.lit(r"(?is)<tr\b[^>]*>(.*?)(?=</tr>|<tr\b|</table>|\z)"), F.lit(1))
     found = F.filter(F.transform(rows, entry), lambda e: e["key"].isNotNull() & (e["value"] != ""))

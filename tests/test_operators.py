@@ -297,3 +297,68 @@ def test_coverage_report_sections(spark):
     assert gate.status == "needs_attention" and gate.failed_checks == ["official_evidence_url_complete", "major_tags_at_least_90_percent", "normalized_location_at_least_90_percent", "source_concentration_below_50_percent"]
     assert coverage.target_active(spark.createDataFrame([], "target_active_sources int")).first()[0] == 3
     assert coverage.distinct_sources((sources, "source_id"), (policies, "source_id")).first()[0] == 3
+
+
+def test_the_report_reads_the_jobs_once(spark, tmp_path):
+    """Every number of the cube equals that of its own pass over the jobs, and its plan has one scan of them."""
+    import random
+
+    rng = random.Random(6)
+    pick = lambda *x: rng.choice(x)
+    rows = [(pick("a", "b", "c", None), pick("x", "y", None), pick("https://e", " ", None), pick(["t"], [], None), pick("P", " ", None), pick("P", "Q", "", None), pick("c", None), pick("2026-01-01", None), pick("open until filled", None), pick("rolling", "d", None)) for _ in range(300)]
+    schema = "source_id string, category string, official_evidence_url string, major_tags array<string>, location string, province string, country_or_region string, deadline_date string, summary string, description string"
+    spark.createDataFrame(rows, schema).repartition(4).write.parquet(str(tmp_path / "jobs"))
+    jobs = spark.read.parquet(str(tmp_path / "jobs"))
+    policies = spark.createDataFrame([("a", "rolling"), ("b", " ")], "source_id string, deadline_policy string")
+    cube = coverage.job_cube(jobs, policies, "until filled|rolling")
+    assert cube._jdf.queryExecution().executedPlan().toString().count("Scan parquet") == 1
+    whole = coverage.cut(cube, "all").first()
+    assert tuple(coverage.location_quality(jobs).first()) == tuple(whole[c] for c in ("total", "raw_location", "normalized_region", "province_known", "elsewhere"))
+    assert tuple(coverage.deadline_quality(jobs, policies, "until filled|rolling").first()) == tuple(whole[c] for c in ("total", "explicit", "policy", "unstated"))
+    assert whole.evidence == sum(bool((r[2] or "").strip()) for r in rows) and whole.tagged == sum(bool(r[3]) for r in rows)
+    one = jobs.withColumn("g", F.lit(0))
+    for name, key, missing in (("source", "source_id", "unknown"), ("category", "category", "unclassified")):
+        assert tuple(coverage.top_share(coverage.cut(cube, name), key, missing).first()) == tuple(listing.concentration(one, ["g"], key, missing).drop("g").select("top_key", "top_count", "total", "share", "risk").first())
+    assert {(r.province, r.total) for r in coverage.cut(cube, "province").collect()} == {(p, sum(r[5] == p for r in rows)) for p in ("P", "Q", "", None)}
+    names = spark.createDataFrame([("x",), ("y",), ("z",)], "category string")
+    pairs = coverage.cut(cube, "category_source").filter("category IS NOT NULL")
+    assert {tuple(r) for r in coverage.category_sources(pairs, names, weight="total").collect()} == {tuple(r) for r in coverage.category_sources(jobs, names).collect()}
+    empty = coverage.job_cube(jobs.limit(0), policies, "x")
+    assert coverage.cut(empty, "all").first().total == 0 and coverage.top_share(coverage.cut(empty, "source"), "source_id", "unknown").count() == 0
+
+
+def test_issues_say_what_is_wrong_and_duplicates_name_their_jobs(spark):
+    from brightloom.operators import audit
+
+    schema = "id long, source_id string, verification_status string, official_evidence_url string, source_url string, title string, summary string, description string, relevance_score int, status string, deadline_date string"
+    good = (1, "s", "published_official", "https://e", "https://h.org/1", "t", "", "d", 50, "open", "2099-01-01")
+    change = lambda **k: tuple(k.get(c.split()[0], v) for c, v in zip(schema.split(", "), good, strict=True))
+    rows = [good, change(id=2, source_url="https://x.org/1"), change(id=3, source_url="https://h.org/3", title="a closed list"), change(id=4, source_url="https://h.org/1"), change(id=5, source_url="https://h.org/5", deadline_date="soon"), change(id=6, source_url="https://h.org/6", relevance_score=3), change(id=7, source_id="gone"), change(id=8, source_url=None)]
+    jobs = spark.createDataFrame(rows, schema)
+    sources = spark.createDataFrame([("s", "html", True, "https://h.org", None, "10", False)], "id string, source_type string, enabled boolean, homepage_url string, allowed_hosts array<string>, minimum_relevance string, allow_shared_urls boolean")
+    runs = spark.createDataFrame([(70, "s", "running", "2026-01-01")], "id long, source_id string, status string, started_at string")
+    found = audit.audit(jobs, sources, runs, F.lit("2026-09-18").cast("date"), F.lit("2026-02-01"), ["closed"], ["interview"])
+    got = {(r.code, r.job_id, r.message) for r in found.collect()}
+    assert got == {
+        ("source_host_mismatch", 2, "the host x.org is none of the source's"), ("forbidden_notice_text", 3, "title or summary has closed"), ("invalid_deadline", 5, "the deadline soon is no date"), ("below_source_threshold", 6, "a relevance of 3 is below the source's minimum"),
+        ("unknown_source", 7, "the job names a source that is not registered"), ("invalid_source_url", 8, "the source address is no http address"), ("duplicate_source_url", None, "2 jobs have the address https://h.org/1"), ("stale_crawl_run", None, "a run that never ended, 70"),
+    }
+    assert sorted((r.source_url, r.n, r.job_id) for r in audit.duplicate_jobs(jobs, sources).collect()) == [("https://h.org/1", 2, 1), ("https://h.org/1", 2, 4)]
+    one = audit.overview(found, jobs, sources, F.lit("2026-09-18")).first()
+    assert (one.ok, one.checked_jobs, one.open_jobs, one.registered_sources, one.enabled_sources, one.issues) == (False, 8, 8, 1, 1, 8)
+    assert audit.overview(found.limit(0), jobs, sources, F.lit("x")).first().ok
+
+
+def test_a_cohort_is_summed_up(spark):
+    from brightloom.operators import cohort
+
+    r = spark.createDataFrame([(1, "b", 9), (1, "a", 1), (2, "c", 9), (9, "", 9), (9, None, 1)], "r int, c string, s int")
+    s = cohort.simulate(r, {"p": 3, "q": 2, "z": 1}, {"p": F.col("r") == 1, "q": F.lit(False), "z": F.lit(False)}, F.col("s") > 5, "c")
+    rows = {x.profile: x for x in s.collect()}
+    assert (rows["p"].explicit, rows["p"].review, rows["p"].categories, rows["p"].weighted) == (2, 2, ["a", "b", "c"], 6)
+    assert (rows["q"].explicit, rows["q"].review, rows["q"].categories) == (0, 3, ["b", "c"])
+    assert tuple(cohort.summary(s).first()) == (6, 3, 3, 0, 2, 8, 6) and tuple(cohort.summary(s.limit(0)).first()) == (0,) * 7
+    none = cohort.simulate(r.limit(0), {"p": 3}, {"p": F.lit(True)}, F.lit(True), "c")
+    assert tuple(cohort.summary(none).first()) == (3, 0, 0, 3, 0, 0, 0)
+    people = cohort.by_member(cohort.members(spark, {"p": 3, "q": 2}), s).collect()
+    assert len(people) == 5 and all(x.has_recommendation for x in people) and {x.explicit for x in people if x.profile == "p"} == {2}
