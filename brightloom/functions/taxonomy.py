@@ -101,7 +101,7 @@ def enriched(jobs, employers, t: Taxonomy):
 
     text = F.concat_ws(" ", *[F.nullif(F.col(c), F.lit("")) for c in ("title", "employer", "group_name", "description", "summary")])
     who = F.concat_ws(" ", "title", "employer")
-    own = longest_containing(jobs.select("id", "employer"), "employer", employers, "alias", ["id"], "ord").select("id", F.struct(*[c for c in employers.columns if c not in ("alias", "ord")]).alias("__own"))
+    own = longest_containing(jobs.select("id", F.lower(clean(F.col("employer"))).alias("employer")), "employer", employers.withColumn("alias", F.lower(clean(F.col("alias")))), "alias", ["id"], "ord").select("id", F.struct(*[c for c in employers.columns if c not in ("alias", "ord")]).alias("__own"))
     j = jobs.withColumn("__c", classify(text, F.col("location"), F.col("category"), who, t)).withColumnRenamed("category", "category_stored").join(own, "id", "left")
     three = ("category", "employer_type", "affiliation")
     names = [c for c in ("canonical_employer_id", "canonical_employer_name", "parent_employer_name")]

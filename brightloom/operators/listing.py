@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from brightloom import storage
+
 
 def facet(df: DataFrame, predicates: Iterable[Column | None]) -> DataFrame:
     """The rows for which all predicates given hold; None stands for an absent one."""
@@ -98,18 +100,20 @@ def dense_grid(left: DataFrame, right: DataFrame, facts: DataFrame, keys: list[s
     return left.crossJoin(right).join(facts, keys, "left")
 
 
-ALIAS_BLOCK = 500_000
+#: What goes to the tasks at once of a dictionary of aliases: entries, and characters.
+ALIAS_BLOCK, ALIAS_CHARS = 500_000, 16_000_000
 
 
 def longest_containing(texts: DataFrame, text_col: str, aliases: DataFrame, alias_col: str, keys: list[str], order: str, block: int = ALIAS_BLOCK) -> DataFrame:
     """For each text the longest alias it contains (ties: lowest `order`), as keys and the alias's columns; empty aliases match nothing.
 
     Every task runs an automaton of all aliases once over each text, so the work is the texts' length, whatever
-    the number of aliases. Larger dictionaries go in blocks of about so many aliases, one at a time on the driver.
+    the number of aliases. Larger dictionaries go in blocks of about so many aliases and ALIAS_CHARS characters, one at a time on the driver.
     """
     columns = aliases.columns
     named = aliases.filter(F.length(alias_col) > 0)
-    blocks = max(1, -(-named.count() // block))
+    n, chars = named.agg(F.count("*"), F.coalesce(F.sum(F.length(alias_col)), F.lit(0))).first()
+    blocks = max(1, -(-n // block), -(-chars // ALIAS_CHARS))
     rows = texts.select(*keys, F.col(text_col).alias("__text")).filter(F.col("__text").isNotNull())
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("__alias", aliases.schema[alias_col].dataType), T.StructField("__ord", aliases.schema[order].dataType)])
     every = None
@@ -117,7 +121,7 @@ def longest_containing(texts: DataFrame, text_col: str, aliases: DataFrame, alia
         part = named if blocks == 1 else named.filter(F.pmod(F.xxhash64(alias_col), F.lit(blocks)) == b)
         best = part.groupBy(alias_col).agg(F.min(order)).collect()
         hits = rows.mapInArrow(_automaton_search([tuple(r) for r in best], schema), schema)
-        hits = hits if blocks == 1 else hits.checkpoint()
+        hits = hits if blocks == 1 else storage.stored(hits)
         every = hits if every is None else every.unionByName(hits)
     if blocks > 1:
         top = F.max_by(F.struct("__alias", "__ord"), F.struct(F.length("__alias"), -F.col("__ord")))

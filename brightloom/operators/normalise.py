@@ -102,10 +102,12 @@ def _with_employer(r: DataFrame, employers: DataFrame | None) -> DataFrame:
         return r.withColumns({c: F.lit(None).cast("string") for c in (*EMPLOYER, "__employer_category")})
     from brightloom.operators.listing import longest_containing
 
-    names = r.select("employer").filter("employer <> ''").distinct()
-    known = longest_containing(names, "employer", employers, "alias", ["employer"], "ord")
-    known = known.select(F.col("employer").alias("__name"), *EMPLOYER, F.col("category").alias("__employer_category"))
-    return r.drop(*EMPLOYER).join(known, F.col("employer") == F.col("__name"), "left").drop("__name")
+    # names and aliases are alike whatever their case and blanks
+    who = F.lower(text.clean(F.col("employer")))
+    names = r.select(who.alias("__name")).filter("__name <> ''").distinct()
+    known = longest_containing(names, "__name", employers.withColumn("alias", F.lower(text.clean(F.col("alias")))), "alias", ["__name"], "ord")
+    known = known.select("__name", *EMPLOYER, F.col("category").alias("__employer_category"))
+    return r.drop(*EMPLOYER).join(known, who == F.col("__name"), "left").drop("__name")
 
 
 #: The derived fields that a new vocabulary may change, with an event; those that change without one.

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from brightloom import storage
 from brightloom.functions import taxonomy
-from brightloom.operators import changes, coverage, leads, normalise, publish, sync
+from brightloom.operators import changes, coverage, leads, normalise, pages, publish, sync, text_index
 from brightloom.plans.catalog import query, read
-from brightloom.plans.reports import _case
-from brightloom.sources import collect, links, nested
+from brightloom.plans.reports import OPEN_ENDED, _case, jobs
+from brightloom.sources import collect, feeds, links, nested
+from brightloom.streaming import detector
 
 TODAY = "1998-01-01"
 VOCABULARY = normalise.Vocabulary(
@@ -293,3 +294,83 @@ def snapshot_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = coverage.daily_changes(s, "day", ["total"], ["types"]).filter("available")
     of = lambda k: F.coalesce(F.try_element_at("types_change", F.lit(k)), F.lit(0))
     return found.select(*[F.col(c).cast("string").alias(c) for c in ("day", "baseline_day")], "total_change", of("error").alias("error_change"), of("click").alias("click_change"))
+
+
+@query("keyword_index", "SELECT doc_id, source FROM documents WHERE coalesce(text ILIKE '%license%', false)")
+def keyword_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F3 by trigrams: the index of all texts is built, and only the rows that can hold the word are read again."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    path = storage.fresh_folder(spark, "indexes")
+    text_index.build(docs, "doc_id", ["text"], path)
+    return text_index.search(docs, "doc_id", ["text"], path, "License").select("doc_id", "source")
+
+
+@query(
+    "range_pages",
+    """WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS n, count(*) OVER () AS total FROM orders)
+    SELECT CAST(ceil(n / 25) AS BIGINT) AS page, o_orderkey, total FROM o WHERE ceil(n / 25) IN (1, 2, ceil(total / 50), ceil(total / 25))""",
+)
+def range_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O2, P5: the first two, the middle and the last page of all orders by price, each a range of the listing built once."""
+    path = storage.fresh_folder(spark, "listings")
+    pages.build(read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.col("o_orderkey")], path)
+    listed = pages.Pages(spark, path)
+    out = None
+    for n in sorted({1, 2, listed.count(50), listed.count(25)}):
+        one = listed.page(n, 25).select(F.lit(n).cast("long").alias("page"), "o_orderkey", F.lit(listed.total).cast("long").alias("total"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(
+    "feed_postings",
+    """WITH e AS (SELECT n_nationkey AS k, n_name, p_partkey, p_name, p_type, row_number() OVER (PARTITION BY n_nationkey ORDER BY p_partkey) AS position FROM part JOIN nation ON n_nationkey = p_partkey % 25)
+    SELECT n_name AS source_id, position, p_name || ' & more' AS title, 'https://feeds.org/' || p_partkey AS source_url, CASE WHEN k % 2 = 0 THEN 'g-' || p_partkey END AS external_id, CAST(NULL AS VARCHAR) AS error
+    FROM e WHERE k <> 7 AND (k % 3 = 0 OR contains(lower(p_name), 'ring')) UNION ALL SELECT n_name, NULL, NULL, NULL, NULL, 'Invalid RSS XML' FROM nation WHERE n_nationkey = 7""",
+)
+def feed_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A feed for each nation, RSS or Atom by turns and one broken; entries by their sources' rules."""
+    k = F.col("n_nationkey")
+    p = read(spark, sf_dir, "part").join(read(spark, sf_dir, "nation"), k == F.col("p_partkey") % 25)
+    rss = F.concat(F.lit("<item><title>"), "p_name", F.lit(" &amp; more</title><link>/"), F.col("p_partkey").cast("string"), F.lit('</link><guid isPermaLink="false">g-'), F.col("p_partkey").cast("string"), F.lit("</guid><description><![CDATA["), "p_type", F.lit("]]></description></item>"))
+    atom = F.concat(F.lit('<entry><title type="text">'), "p_name", F.lit(' &amp; more</title><link href="/'), F.col("p_partkey").cast("string"), F.lit('"/><summary>'), "p_type", F.lit("</summary></entry>"))
+    entry = F.struct("p_partkey", F.when(k % 2 == 0, rss).otherwise(atom).alias("xml"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["xml"]), "")
+    docs = p.groupBy(F.col("n_name").alias("source_id"), "n_nationkey").agg(whole.alias("all"))
+    text = F.when(k == 7, F.concat(F.lit("<rss>"), "all")).when(k % 2 == 0, F.concat(F.lit("<rss><channel>"), "all", F.lit("</channel></rss>"))).otherwise(F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom">'), "all", F.lit("</feed>")))
+    docs = docs.select("source_id", "n_nationkey", F.lit("https://feeds.org/x").alias("url"), text.alias("document"))
+    rules = docs.select("source_id", F.lit("P").alias("publisher"), (k % 3 == 0).alias("accept_all_entries"))
+    found = feeds.postings(docs.drop("n_nationkey"), rules, ["Ring"], [])
+    return found.select("source_id", "position", "title", "source_url", "external_id", "error")
+
+
+@query(
+    "report_cube",
+    """WITH j AS (SELECT o_custkey % 120 AS source_id, c_mktsegment AS category, CASE WHEN c_nationkey % 3 <> 0 THEN 'P' || (c_nationkey % 9) END AS province, o_orderkey % 40 <> 3 OR true AS evidence, o_orderkey % 19 = 0 OR o_orderkey % 17 <> 0 AS explicit, o_orderkey % 41 <> 0 AS open FROM orders JOIN customer ON o_custkey = c_custkey)
+    SELECT CASE grouping_id(category, source_id, province) WHEN 7 THEN 'all' WHEN 5 THEN 'source' WHEN 3 THEN 'category' WHEN 6 THEN 'province' ELSE 'category_source' END AS cut, category, source_id, province, count(*) AS total, count(*) FILTER (evidence) AS evidence,
+      count(*) FILTER (province IS NOT NULL) AS province_known, count(*) FILTER (explicit) AS explicit, count(*) FILTER (NOT explicit AND open) AS policy, count(*) FILTER (NOT explicit AND NOT open) AS unstated
+    FROM j GROUP BY GROUPING SETS ((), (source_id), (category), (province), (category, source_id))""",
+)
+def report_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All counts of the coverage report by one pass over the jobs."""
+    none = F.lit(None).cast("string")
+    j = jobs(spark, sf_dir).withColumns({"major_tags": F.array().cast("array<string>"), "location": none, "country_or_region": none})
+    cube = coverage.job_cube(j, j.select("source_id", none.alias("deadline_policy")).distinct(), OPEN_ENDED)
+    return cube.select("cut", "category", "source_id", "province", "total", "evidence", "province_known", "explicit", "policy", "unstated")
+
+
+@query("stream_events", "SELECT user_id, 'created' AS event_type, CAST(max(ts) AS TIMESTAMP) AS occurred_at, arg_max(event_type, ts) AS content FROM events GROUP BY 1")
+def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """2.10: one run of the stateful detection over all events: each user is created with its last type."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    before = spark.conf.get(detector.STORE[0])
+    out, check = storage.fresh_folder(spark, "streams"), storage.fresh_folder(spark, "streams")
+    try:
+        spark.conf.set(*detector.STORE)
+        # as a pattern, since a stream's path is a folder and the table may be one file
+        told = detector.events(spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]"), "user_id", "event_type", "ts")
+        told.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(detector.STORE[0], before)
+    found = spark.read.schema(told.schema).parquet(out)
+    return found.select("user_id", "event_type", F.col("occurred_at").cast("timestamp_ntz").alias("occurred_at"), "content")

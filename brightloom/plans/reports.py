@@ -105,11 +105,11 @@ def _gate_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _province_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Provinces P0 to P9, verified targets in two roles bound to the lowest sources of each, and one fallback."""
-    provinces = read(spark, sf_dir, "nation").filter("n_nationkey < 10").select(F.concat(F.lit("P"), F.col("n_nationkey")).alias("province"))
-    n = read(spark, sf_dir, "supplier").filter("s_suppkey < 18").select(F.col("s_suppkey").alias("source_id"))
-    targets = n.select(F.concat(F.lit("P"), F.col("source_id") % 9).alias("province"), _case((F.col("source_id") < 9, "a"), other="b").alias("role"), F.lit("verified").alias("state"), "source_id")
-    return provinces, targets, n.limit(0).select(F.lit("").alias("province"), "source_id")
+    """A province for each nation, every source a verified target of its province in one of two roles, and a fallback of the next one."""
+    provinces = read(spark, sf_dir, "nation").select(F.concat(F.lit("P"), F.col("n_nationkey")).alias("province"))
+    n = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source_id"))
+    targets = n.select(F.concat(F.lit("P"), F.col("source_id") % 9).alias("province"), _case((F.floor(F.col("source_id") / 9) % 2 == 0, "a"), other="b").alias("role"), F.lit("verified").alias("state"), "source_id")
+    return provinces, targets, n.select(F.concat(F.lit("P"), (F.col("source_id") + 1) % 9).alias("province"), "source_id")
 
 
 @query("coverage_gate", _GATE_SQL)
@@ -130,7 +130,7 @@ def coverage_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     g AS (SELECT province, count(*) AS registered, count(*) FILTER (enabled AND usable AND m > 0) AS with_matches, count(*) FILTER (enabled AND NOT healthy) AS unhealthy, count(*) FILTER (enabled AND NOT usable) AS unready FROM s GROUP BY 1)
     SELECT 'P' || n_nationkey AS province, coalesce(registered, 0) AS registered, coalesce(with_matches, 0) AS with_matches,
       CASE WHEN registered IS NULL THEN 'no_source' WHEN with_matches > 0 THEN 'matches' WHEN unhealthy > 0 THEN 'source_unhealthy' WHEN unready > 0 THEN 'scan_missing' ELSE 'other' END AS interpretation
-    FROM nation LEFT JOIN g ON province = 'P' || n_nationkey WHERE n_nationkey < 10""",
+    FROM nation LEFT JOIN g ON province = 'P' || n_nationkey""",
 )
 def province_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     provinces, targets, fallbacks = _province_inputs(spark, sf_dir)

@@ -35,7 +35,7 @@ def entries(documents: DataFrame, document: str, most: str | None = None) -> Dat
     rows = rows.select(*documents.columns, "__error", F.posexplode("__items").alias("__at", "__e"))
     first = lambda *names: F.coalesce(*[text.blank_to_null(F.get(F.col(f"__e.{n}"), 0)["_VALUE"]) for n in names])
     link = F.coalesce(first("link"), text.blank_to_null(F.get(F.col("__e.link"), 0)["_href"]))
-    clean = lambda c: text.clean(c, references=True)
+    clean = lambda c: F.when(F.col("__error").isNull(), text.clean(c, references=True))
     return rows.select(
         *documents.columns, F.when(F.col("__error").isNull(), F.col("__at").cast("long") + 1).alias("position"), clean(first("title")).alias("title"), link.alias("link"), clean(first("description", "content", "summary")).alias("description"),
         first("pubDate", "published", "updated").alias("published"), first("guid").alias("external_id"), F.col("__error").alias("error"),

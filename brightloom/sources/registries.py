@@ -73,3 +73,36 @@ def json_items(df: DataFrame, col: str, items_path: str, fields: dict[str, str])
 def feed(spark: SparkSession, path: str, row_tag: str = "item") -> DataFrame:
     """RSS items (or Atom entries with row_tag='entry') by Spark's XML reader."""
     return spark.read.format("xml").option("rowTag", row_tag).schema("title string, link string, description string, summary string, pubDate string, updated string, guid string").load(path)
+
+
+#: What an employer of the registry must state, be it null.
+EMPLOYER_KEYS = ("id", "canonical_name", "parent_id", "parent_name", "category", "employer_type", "affiliation", "aliases")
+
+
+def load_employers(spark: SparkSession, path: str) -> DataFrame:
+    """(alias, ord, canonical_employer_id, canonical_employer_name, parent_employer_name, category, employer_type, affiliation), a row for each alias in the file's order.
+
+    A file that is no list, or has an entry without one of the EMPLOYER_KEYS, is an error. Aliases are cleaned and lower-cased, as the names are that they
+    are sought in; blank ones name nobody.
+    """
+    from brightloom.functions import text
+
+    whole = spark.read.text(path, wholetext=True).select(F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>").alias("items"))
+    if whole.filter("items IS NULL").limit(1).count():
+        raise ValueError("no list of employers")
+    item = F.try_variant_get(F.col("v"), "$", "map<string,variant>")
+    rows = whole.select(F.posexplode("items").alias("place", "v")).select("place", item.alias("e"))
+    keys = F.array(*[F.lit(k) for k in EMPLOYER_KEYS])
+    if bad := rows.filter(F.col("e").isNull() | (F.size(F.array_except(keys, F.map_keys("e"))) > 0)).limit(5).collect():
+        raise ValueError(f"invalid employers at {[r.place for r in bad]}")
+    said = lambda k: F.try_variant_get(F.try_element_at("e", F.lit(k)), "$", "string")
+    named = {"canonical_employer_id": "id", "canonical_employer_name": "canonical_name", "parent_employer_name": "parent_name", "category": "category", "employer_type": "employer_type", "affiliation": "affiliation"}
+    aliases = F.try_variant_get(F.try_element_at("e", F.lit("aliases")), "$", "array<string>")
+    each = rows.select("place", *[said(k).alias(c) for c, k in named.items()], F.posexplode(aliases).alias("n", "alias"))
+    each = each.select(F.lower(text.clean(F.col("alias"))).alias("alias"), (F.col("place").cast("long") * 1_000_000 + F.col("n")).alias("ord"), *named)
+    return each.filter("alias <> ''")
+
+
+def decoded(df: DataFrame, columns: dict[str, tuple[str, str]]) -> DataFrame:
+    """Columns of JSON text as values: {column: (new name, type)} in place of each; a text that is no JSON of the type is an error, null stays."""
+    return df.select(*[F.from_json(c, columns[c][1], {"mode": "FAILFAST"}).alias(columns[c][0]) if c in columns else F.col(c) for c in df.columns])

@@ -140,9 +140,9 @@ def test_terms_count_whatever_the_case_and_only_as_tags(spark):
 
 def test_a_known_employer_has_its_own_category(spark):
     v = normalise.Vocabulary(categories=(("mining", ("矿",)),), category_points={"oil": 18})
-    employers = spark.createDataFrame([("石油", 1, "oil", "e1", "Oil Works", "Oil Group"), ("石油院", 2, "school", "e2", "Oil School", None)], "alias string, ord int, category string, canonical_employer_id string, canonical_employer_name string, parent_employer_name string")
-    rows = postings(spark, v, [{"employer": "某石油院", "text": "矿"}, {"employer": "矿石油", "text": "x"}, {"employer": None, "text": "矿"}], employers)
-    assert [(r.category, r.canonical_employer_id, r.parent_employer_name) for r in rows] == [("school", "e2", None), ("oil", "e1", "Oil Group"), ("mining", None, None)]
+    employers = spark.createDataFrame([("石油", 1, "oil", "e1", "Oil Works", "Oil Group"), ("石油院", 2, "school", "e2", "Oil School", None), ("oil\u3000WORKS", 3, "oil", "e3", "W", None)], "alias string, ord int, category string, canonical_employer_id string, canonical_employer_name string, parent_employer_name string")
+    rows = postings(spark, v, [{"employer": "某石油院", "text": "矿"}, {"employer": "矿石油", "text": "x"}, {"employer": None, "text": "矿"}, {"employer": "The  OIL Works Ltd", "text": "矿"}], employers)
+    assert [(r.category, r.canonical_employer_id, r.parent_employer_name) for r in rows] == [("school", "e2", None), ("oil", "e1", "Oil Group"), ("mining", None, None), ("oil", "e3", None)]
     assert rows[1].relevance_score == 38
 
 
@@ -178,3 +178,22 @@ def test_degrees_and_majors_of_profiles(spark):
     tags = spark.createDataFrame([(["GEOLOGY "],), (["other"],), ([" "],), (None,)], "t array<string>")
     assert [r[0] for r in tags.select(profiles.major_status(F.col("t"), F.array(F.lit("Geology")), F.lit(False))).collect()] == ["explicit", "related", "unspecified", "unspecified"]
     assert [r[0] for r in tags.select(profiles.major_status(F.col("t"), F.array(F.lit("x")), F.lit(True))).collect()] == ["explicit"] * 4
+
+
+def test_employer_registry(spark, tmp_path):
+    import json
+
+    import pytest
+
+    one = dict.fromkeys(registries.EMPLOYER_KEYS, None) | {"id": "e1", "canonical_name": "C", "category": "oil", "aliases": ["C  Corp", " ", "c"]}
+    write = lambda x: (tmp_path / "e.json").write_text(json.dumps(x)) and str(tmp_path / "e.json")
+    rows = registries.load_employers(spark, write([one, one | {"id": "e2", "aliases": []}, one | {"id": "e3", "parent_name": "P", "aliases": ["Ä"]}])).orderBy("ord").collect()
+    assert [(r.alias, r.canonical_employer_id, r.parent_employer_name) for r in rows] == [("c corp", "e1", None), ("c", "e1", None), ("ä", "e3", "P")]
+    for bad in ({"employers": []}, [one, {"id": "x"}], ["x"]):
+        with pytest.raises(ValueError):
+            registries.load_employers(spark, write(bad))
+    stored = spark.createDataFrame([(1, '{"a": 1}', '["x"]'), (2, None, "[]")], "id int, config_json string, tags_json string")
+    got = registries.decoded(stored, {"config_json": ("config", "map<string,string>"), "tags_json": ("tags", "array<string>")})
+    assert got.columns == ["id", "config", "tags"] and [tuple(r) for r in got.collect()] == [(1, {"a": "1"}, ["x"]), (2, None, [])]
+    with pytest.raises(Exception, match="MALFORMED|Malformed"):
+        registries.decoded(stored.select(F.lit("{").alias("c")), {"c": ("d", "map<string,string>")}).collect()
