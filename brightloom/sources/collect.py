@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from brightloom import storage
+
 SCHEMA = "source_id string, source_type string, position long, url string, document string, skipped boolean, error string"
 #: A registry is small by nature; its rows become partitions on the driver.
 MOST_SOURCES = 100_000
@@ -148,6 +150,8 @@ def postings(documents: DataFrame, readers: Mapping[str, Reader], schema: str) -
     out = spark.createDataFrame([], f"{schema}, error string")
     for kind, reader in readers.items():
         out = out.unionByName(reader(documents.filter(F.col("source_type") == kind)).select(*out.columns))
+    # read for failures and for postings: parsed once
+    out = storage.stored(out)
     wrong = out.filter(F.col("error").isNotNull()).select("source_id", "error")
     unknown = documents.filter(~F.coalesce(F.col("source_type").isin(*readers), F.lit(False))).select("source_id", F.concat(F.lit("no reader for "), F.coalesce("source_type", F.lit("null"))).alias("error"))
     failures = wrong.unionByName(unknown).groupBy("source_id").agg(F.min("error").alias("error")).select("source_id", F.lit(False).alias("skipped"), F.substring("error", 1, MOST_ERROR).alias("error"))
