@@ -70,3 +70,9 @@ def replace_text(spark: SparkSession, path: str, text: str) -> None:
     options = spark.sparkContext._gateway.new_array(rename, 1)
     options[0] = rename.OVERWRITE
     context.rename(files.makeQualified(new), files.makeQualified(target), options)
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """The names of what lies in a folder; none where there is no folder."""
+    where, files = _path(spark, path)
+    return [s.getPath().getName() for s in files.listStatus(where)] if files.exists(where) else []

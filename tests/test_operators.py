@@ -157,6 +157,14 @@ def test_stream_writes_only_the_parts_it_touches(spark, tmp_path):
     assert len(rows) == 60 == target.read(spark, STATE).count()
     assert (rows["k7"].content, rows["k7"].tag, rows["k7"].first_seen_at, rows["k7"].updated_at) == ("3", "z", day(1), day(3))
     assert rows["k8"].content == "1" and target.latest(spark, before=1) == dict.fromkeys(range(8), 0)
+    told = ingest.events(spark, target, "k").collect()
+    assert len(told) == 61 and [(r.k, r.event_type, r.batch) for r in told if r.batch] == [("k7", "updated", 1)]
+    for i in range(4):
+        spark.createDataFrame([("k9", f"n{i}", "z", day(4 + i))], schema).coalesce(1).write.parquet(str(feed), mode="append")
+        run()
+    assert target.batches(spark) == [3, 4, 5] and target.read(spark, STATE).count() == 60
+    kept = {p.name for p in (tmp_path / "state").glob("v*")}
+    assert kept == {f"v{v}" for b in target.batches(spark) for v in [*target.latest(spark, b + 1).values()]} and ingest.events(spark, target, "k").filter("batch > 1").count() == 4
 
 
 def test_province_ladder(spark):
