@@ -67,7 +67,10 @@ def judged(found: DataFrame, url: str, not_vacancies: Sequence[str], words: Sequ
     host = lambda u: F.lower(F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1))
     bare = lambda h: F.regexp_replace(h, r":\d*$", "")
     path, query = F.regexp_extract("address", r"^[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)", 1), F.regexp_extract("address", r"\?([^#]*)", 1)
-    d = found.withColumns({"title": title, "address": F.when(F.col("href") != "", address)})
+    # the outer explode keeps the optimizer from resolving the address anew in every test
+    known = F.struct(title.alias("title"), F.when(F.col("href") != "", address).alias("address"))
+    d = found.withColumn("__known", F.explode_outer(F.array(known)))
+    d = d.select(*[F.col("__known.title").alias(c) if c == "title" else F.col(c) for c in found.columns], F.col("__known.address").alias("address"))
     said = F.concat_ws(" ", "title", "address")
     low = F.lower(said)
     own = (F.col("__host") == host(F.col(url))) | (bare(F.col("__host")) == bare(host(F.col(url))))
