@@ -9,29 +9,29 @@ from pyspark.sql import functions as F
 
 from .text import clean, without_digit_gaps
 
-#: Date notations and the words around application windows, deadlines and publication.
-SEP = r"\s*[年./\-]\s*"
-YMD = rf"(20\d{{2}}){SEP}(\d{{1,2}}){SEP.replace('年', '年月')}(\d{{1,2}})\s*日?"
+#: Date notations, the words around application windows, deadlines and publication, and how far apart they may stand.
+YMD = r"(20\d{2})\s*[年./-]\s*(\d{1,2})\s*[月./-]\s*(\d{1,2})"
+FULL_DAY = r"(20\d{2})\s*年\s*\d{1,2}\s*月\s*\d{1,2}\s*日"
 MD = r"(\d{1,2})\s*月\s*(\d{1,2})\s*日"
-CLOCK = r"(?:\s*\d{1,2}[:：]\d{2})?"
-ENGLISH_MDY = r"([A-Z][a-z]{2,8})\.?\s+(\d{1,2}),?\s+(20\d{2})"
-ENGLISH_DMY = r"(\d{1,2})\s+([A-Z][a-z]{2,8})\.?,?\s+(20\d{2})"
+CLOCK = r"(?:\s*\d{1,2}:\d{2})?"
+ENGLISH_MDY = r"([A-Z][a-z]{2,8})\s+(\d{1,2}),\s*(20\d{2})"
+ENGLISH_DMY = r"(\d{1,2})\s+([A-Z][a-z]{2,8})\s+(20\d{2})"
+MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
 APPLY_WORDS = ("报名", "申请", "网申", "投递", "应聘")
 WINDOW_WORDS = ("时间", "期间", "日期")
-UNTIL_MARKS = ("至", "到", "-", "—", "–", "~", "～")
-CLOSE_WORDS = ("截止时间", "截止", "截至", "结束")
-EXPIRY_LABELS = ("过期时间", "到期时间", "到期日期", "失效时间", "失效日期", "有效期至", "有效期截止", "有效期")
-EXPIRY_WORDS = ("截止", "截至", "过期", "有效期", "到期", "失效")
-PUBLISHED_LABELS = ("发布时间", "发布日期", "发布于", "公告日期", "公布时间", "发文日期", "更新日期")
-ENGLISH_CUES = ("application deadline", "closing date", "apply by", "deadline")
-
+UNTIL_MARKS = ("至", "到", "-", "—", "~")
+CLOSE_WORDS = ("截止", "截至", "截止时间", "结束")
+EXPIRY_LABELS = ("过期时间", "有效期至", "有效期截止", "有效期", "到期时间")
+EXPIRY_WORDS = ("截止", "截至", "过期", "有效期", "到期")
+PUBLISHED_LABELS = ("发布时间", "发布于", "发布日期", "公告日期", "发文日期", "更新日期")
+ENGLISH_CUES = ("application deadline", "closing date", "deadline", "apply by")
 
 def _any(words: Iterable[str]) -> str:
     return "(?:" + "|".join(words) + ")"
 
 
 def make_date(year: Column, month: Column, day: Column) -> Column:
-    return F.try_to_date(F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")), "yyyy-MM-dd")
+    return F.try_to_date(F.concat(year, F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(day, 2, "0")), "yyyy-MM-dd")
 
 
 def _groups(text: Column, pattern: str, *groups: int) -> list[Column]:
@@ -43,15 +43,18 @@ def chinese_date(text: Column) -> Column:
     return make_date(*_groups(text, YMD, 1, 2, 3))
 
 
-def _month_name(name: Column) -> Column:
-    return F.initcap(F.substring(name, 1, 3))
+def _month_number(name: Column) -> Column:
+    """Of a month's whole name or its first three letters, null for anything else."""
+    months = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS, 1) for x in (m, i, *((m[:3], i) if m[:3] != m else ()))])
+    return F.try_element_at(months, name).cast("string")
 
 
 def english_date(text: Column) -> Column:
+    """The first month-day-year notation, else the first day-month-year one; null if neither is a date."""
     m, d, y = _groups(text, ENGLISH_MDY, 1, 2, 3)
-    first = F.try_to_date(F.concat_ws(" ", _month_name(m), d, y), "MMM d yyyy")
+    first = make_date(y, _month_number(m), d)
     d, m, y = _groups(text, ENGLISH_DMY, 1, 2, 3)
-    return F.coalesce(first, F.try_to_date(F.concat_ws(" ", _month_name(m), d, y), "MMM d yyyy"))
+    return F.coalesce(first, make_date(y, _month_number(m), d))
 
 
 def any_date(text: Column) -> Column:
@@ -69,11 +72,11 @@ def deadline(text: Column) -> Column:
     until, window = rf"\s*{_any(UNTIL_MARKS)}\s*", rf"{_any(APPLY_WORDS)}.{{0,24}}?{_any(WINDOW_WORDS)}"
     overall = rf"{window}.{{0,32}}?(?:自|从).{{0,24}}?(?:至|到)\s*{YMD}"
     span = rf"{window}.{{0,20}}?{YMD}{until}{YMD}"
-    same_year = rf"{window}.{{0,32}}?{YMD}{CLOCK}{until}(?:(20\d{{2}})\s*年\s*)?{MD}"
+    same_year = rf"{window}.{{0,32}}?{FULL_DAY}{CLOCK}{until}(?:(20\d{{2}})\s*年\s*)?{MD}"
     closing = rf"{_any((*APPLY_WORDS, '招聘'))}.{{0,24}}?{_any(CLOSE_WORDS)}.{{0,32}}?{YMD}"
-    expiry = rf"{_any(EXPIRY_LABELS)}\s*[为:：]?\s*{YMD}"
-    english = rf"(?i:{_any(ENGLISH_CUES)})[:：\s]{{0,16}}({ENGLISH_MDY}|{ENGLISH_DMY})"
-    start, year, month, day = _groups(t, same_year, 1, 4, 5, 6)
+    expiry = rf"{_any(EXPIRY_LABELS)}\s*[:：]?\s*{YMD}"
+    english = rf"(?i:{_any(ENGLISH_CUES)})[:\s]{{0,16}}({ENGLISH_MDY})"
+    start, year, month, day = _groups(t, same_year, 1, 2, 3, 4)
     implicit = make_date(F.coalesce(year, start), month, day)
     return (
         F.when(t.rlike(overall), make_date(*_groups(t, overall, 1, 2, 3)))
@@ -88,7 +91,7 @@ def deadline(text: Column) -> Column:
 def published(text: Column) -> Column:
     """The labelled date; else none if the text speaks of closing or expiry; else the first date."""
     t = without_digit_gaps(clean(text))
-    labelled = rf"{_any(PUBLISHED_LABELS)}[为:：\s]{{0,8}}{YMD}"
+    labelled = rf"{_any(PUBLISHED_LABELS)}[:：\s]{{0,8}}{YMD}"
     return F.when(t.rlike(labelled), make_date(*_groups(t, labelled, 1, 2, 3))).when(~t.rlike(_any(EXPIRY_WORDS)), any_date(t))
 
 

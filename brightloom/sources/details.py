@@ -184,11 +184,12 @@ def details(rows: DataFrame, d: Detail, publisher: Column) -> DataFrame:
     return done.select(*kept, F.col("__title").alias("title"), *[F.col(f"__new_{k}").alias(k) for k in out])
 
 
-def position_postings(rows: DataFrame, fields: Mapping[str, str], accepted: Column, publisher: Column) -> DataFrame:
+def position_postings(rows: DataFrame, fields: Mapping[str, str], accepted: Column, publisher: Column, other_code: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """Postings of the positions of an announcement.
 
     rows: view_id, title, url, published_date, deadline_date, position (struct). fields: our names (employer, role, code, major,
-    degree, location, more...) to the position's. Rows without role go; `accepted` judges `eligibility`, which has no employer's name.
+    degree, location, more...) to the position's; other_code: its field that names a position without code. Rows without role go; `accepted` judges
+    `eligibility`, which has no employer's name. keep: columns of the rows to give as well.
     """
     value = lambda k: text.clean(F.col("position")[fields[k]]) if k in fields else F.lit("")
     more = F.concat_ws(" ", *[value(k) for k in fields if k not in ("employer", "role")])
@@ -196,8 +197,10 @@ def position_postings(rows: DataFrame, fields: Mapping[str, str], accepted: Colu
     r = r.withColumn("eligibility", F.concat_ws(" ", "__role", "__more")).filter((F.col("__role") != "") & accepted)
     shown = lambda k: F.coalesce(F.nullif(value(k), F.lit("")), F.lit("未注明"))
     summary = F.concat(F.lit("岗位："), "__role", F.lit("；专业："), shown("major"), F.lit("；学历："), shown("degree"), F.lit("；地点："), shown("location"))
-    code = F.coalesce(F.nullif(value("code"), F.lit("")), F.col("__role"))
+    codes = [value("code"), *([text.clean(F.col("position")[other_code])] if other_code else [])]
+    code = F.coalesce(*[F.nullif(c, F.lit("")) for c in codes], F.col("__role"))
     return r.select(
+        *keep,
         F.concat_ws(" - ", "__who", "__role").alias("title"), F.col("__who").alias("employer"), F.col("url").alias("source_url"), F.concat_ws(" ", "title", "__more").alias("text"), summary.alias("summary"), "published_date", "deadline_date",
         F.nullif(value("location"), F.lit("")).alias("location"), F.concat_ws(":", "view_id", code).alias("external_id"), F.concat_ws(" ", "__who", "eligibility").alias("match_text"),
     )

@@ -15,11 +15,13 @@ NAME_KEYS = ("name", "label")
 PART_KEYS = ("country", "province", "city", "district")
 
 
-def _array(v: Column) -> Column:
+def members_of(v: Column) -> Column:
+    """The members of a list, null for what is none."""
     return F.try_variant_get(v, "$", "array<variant>")
 
 
-def _object(v: Column) -> Column:
+def fields_of(v: Column) -> Column:
+    """The fields of an object, null for what is none."""
     return F.try_variant_get(v, "$", "map<string,variant>")
 
 
@@ -27,27 +29,27 @@ def _string(v: Column) -> Column:
     return F.when(F.schema_of_variant(v) == "STRING", F.variant_get(v, "$", "string"))
 
 
-def _shown(v: Column) -> Column:
+def shown(v: Column) -> Column:
     """A value's text, empty for null, false, zero and lists or objects without members."""
-    shown = F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v))
-    return F.when(F.coalesce(shown, F.lit("null")).isin("null", "false", "0", "0.0", "[]", "{}"), F.lit("")).otherwise(text.clean(shown))
+    said = F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v))
+    return F.when(F.coalesce(said, F.lit("null")).isin("null", "false", "0", "0.0", "[]", "{}"), F.lit("")).otherwise(text.clean(said))
 
 
 def value_at(v: Column, path: str) -> Column:
     """The value at a dotted path, keys taken as they are; null where a part is missing or no object, and for JSON's null."""
     for key in path.split("."):
-        v = F.try_element_at(_object(v), F.lit(key))
+        v = F.try_element_at(fields_of(v), F.lit(key))
     return F.when(~F.is_variant_null(v), v)
 
 
 def _opened(v: Column, names: Sequence[str], parts: Sequence[str]) -> Column:
     """One level: a list's members, an object's name or else its parts, a text itself; of other values nothing."""
-    fields = _object(v)
-    named = F.array_compact(F.array(*[F.nullif(_shown(F.try_element_at(fields, F.lit(n))), F.lit("")) for n in names]))
+    fields = fields_of(v)
+    named = F.array_compact(F.array(*[F.nullif(shown(F.try_element_at(fields, F.lit(n))), F.lit("")) for n in names]))
     inside = F.array_compact(F.array(*[F.try_element_at(fields, F.lit(p)) for p in parts]))
     none = F.array().cast("array<variant>")
     return (
-        F.when(_array(v).isNotNull(), F.filter(_array(v), lambda x: x.isNotNull()))
+        F.when(members_of(v).isNotNull(), F.filter(members_of(v), lambda x: x.isNotNull()))
         .when(fields.isNotNull(), F.when(F.size(named) > 0, F.array(F.get(named, 0).cast("variant"))).otherwise(inside))
         .when(_string(v).isNotNull(), F.array(v)).otherwise(none)
     )
@@ -67,7 +69,7 @@ def place_of(document: Column, keys: Sequence[str] = PLACE_KEYS, between: str =
     each takes one pass over the values.
     """
     job = F.try_parse_json(document)
-    values = F.array_compact(F.array(*[F.try_element_at(_object(job), F.lit(k)) for k in keys]))
+    values = F.array_compact(F.array(*[F.try_element_at(fields_of(job), F.lit(k)) for k in keys]))
     brackets = lambda v: F.length(F.regexp_replace(F.to_json(v), r"[^\[{]", ""))
     deepest = F.array_max(F.transform(values, brackets)) + 1
     return F.nullif(F.array_join(names_in(values, F.coalesce(deepest, F.lit(1))), between), F.lit(""))
@@ -78,7 +80,7 @@ def items(df: DataFrame, col: str, path: str, fields: dict[str, str], out_positi
 
     A document that is no JSON, or has no list there, has no row.
     """
-    listed = _array(value_at(F.try_parse_json(F.col(col)), path) if path else F.try_parse_json(F.col(col)))
+    listed = members_of(value_at(F.try_parse_json(F.col(col)), path) if path else F.try_parse_json(F.col(col)))
     rows = df.select("*", F.posexplode(listed).alias(out_position, "__item")).withColumn(out_position, F.col(out_position).cast("long") + 1)
     at = lambda p: F.coalesce(F.try_variant_get(value_at(F.col("__item"), p), "$", "string"), F.to_json(value_at(F.col("__item"), p)))
     return rows.select(*df.columns, out_position, *[at(p).alias(k) for k, p in fields.items()])

@@ -38,7 +38,7 @@ def flattened_names(values: Column) -> Column:
 
 def decrypted(payload: Column, key: Column, iv: Column) -> Column:
     """AES-CBC with PKCS padding of a base64 payload; null where it can't be read. Spark takes the vector in front."""
-    return F.try_aes_decrypt(F.concat(iv, F.unbase64(payload)), key, F.lit("CBC"), F.lit("PKCS")).cast("string")
+    return F.try_aes_decrypt(F.concat(iv.cast("binary"), F.try_to_binary(payload, F.lit("base64"))), key.cast("binary"), F.lit("CBC"), F.lit("PKCS")).cast("string")
 
 
 #: Where a page hands its packed article to the script that unpacks it.
@@ -63,6 +63,11 @@ def embedded_article(packed: pd.Series) -> pd.Series:
     return packed.map(read)
 
 
+#: Places that name none.
+NO_PLACES = ("multi-location", "multiple locations")
+
+
 def location_evidenced(location: Column, body: Column) -> Column:
-    """Any comma-separated token of the location stands in the text."""
-    return F.coalesce(F.exists(F.split(location, ","), lambda p: (F.trim(p) != "") & F.contains(body, F.trim(p))), F.lit(False))
+    """Any comma-separated token of the location stands in the text, whatever the case; a location of no place needs no evidence."""
+    named = F.filter(F.transform(F.split(F.lower(location), ","), lambda p: F.trim(p)), lambda p: (p != "") & ~p.isin(*NO_PLACES))
+    return F.coalesce((F.size(named) == 0) | F.exists(named, lambda p: F.contains(F.lower(body), p)), F.lit(False))

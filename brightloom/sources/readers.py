@@ -20,7 +20,7 @@ POSTING = "source_id string, position long, title string, employer string, sourc
 _NAMES = [c.split()[0] for c in POSTING.split(", ")]
 
 
-def _shaped(rows: DataFrame) -> DataFrame:
+def shaped(rows: DataFrame) -> DataFrame:
     """The POSTING columns and error, null where the rows have none."""
     kinds = dict(c.split() for c in POSTING.split(", ")) | {"error": "string"}
     return rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()])
@@ -48,14 +48,14 @@ def notices(rules: DataFrame, detail: details.Detail, not_vacancies: Sequence[st
         once = once.withColumn("position", place).join(hints, "source_id").filter(F.col("max_items").isNull() | (F.col("position") <= F.col("max_items")))
         followed = once.join(d.select("source_id", F.col("url").alias("address"), "document"), ["source_id", "address"])
         followed = followed.select("source_id", "position", "publisher", "title", "location", F.lit(None).cast("string").alias("published_date"), F.col("address").alias("href"), "document")
-        return _shaped(details.details(followed, detail, F.col("publisher")))
+        return shaped(details.details(followed, detail, F.col("publisher")))
 
     return read
 
 
 def rss(rules: DataFrame, words: Sequence[str], majors: Sequence[str], denied: Sequence[str] = ()) -> collect.Reader:
     """Feeds; rules as for feeds.postings."""
-    return lambda documents: _shaped(feeds.postings(documents, rules, words, majors, denied))
+    return lambda documents: shaped(feeds.postings(documents, rules, words, majors, denied))
 
 
 def json(rules: DataFrame, items_path: str, fields: Mapping[str, str], words: Sequence[str], majors: Sequence[str], denied: Sequence[str] = ()) -> collect.Reader:
@@ -81,7 +81,7 @@ def json(rules: DataFrame, items_path: str, fields: Mapping[str, str], words: Se
             "location": value("location"), "external_id": value("external_id"), "application_url": value("application_url"),
         }
         bad = d.filter(F.try_parse_json("document").isNull()).select("source_id", F.lit("not valid JSON").alias("error"))
-        return _shaped(rows.filter(good).select(*[v.alias(k) for k, v in out.items()])).unionByName(_shaped(bad))
+        return shaped(rows.filter(good).select(*[v.alias(k) for k, v in out.items()])).unionByName(shaped(bad))
 
     return read
 
