@@ -82,5 +82,14 @@ def items(df: DataFrame, col: str, path: str, fields: dict[str, str], out_positi
     """
     listed = members_of(value_at(F.try_parse_json(F.col(col)), path) if path else F.try_parse_json(F.col(col)))
     rows = df.select("*", F.posexplode(listed).alias(out_position, "__item")).withColumn(out_position, F.col(out_position).cast("long") + 1)
-    at = lambda p: F.coalesce(F.try_variant_get(value_at(F.col("__item"), p), "$", "string"), F.to_json(value_at(F.col("__item"), p)))
-    return rows.select(*df.columns, out_position, *[at(p).alias(k) for k, p in fields.items()])
+    # an item is opened once for all of its fields, and each value found once for both of its forms
+    rows = rows.withColumn("__fields", fields_of(F.col("__item")))
+
+    def at(p: str) -> Column:
+        first, _, rest = p.partition(".")
+        v = F.try_element_at("__fields", F.lit(first))
+        return value_at(v, rest) if rest else F.when(~F.is_variant_null(v), v)
+
+    found = rows.select(*df.columns, out_position, *[at(p).alias(f"__value_{k}") for k, p in fields.items()])
+    said = lambda v: F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v))
+    return found.select(*df.columns, out_position, *[said(F.col(f"__value_{k}")).alias(k) for k in fields])
