@@ -141,7 +141,7 @@ class Detail:
     location_evidence: bool = False
     packed: bool = False
     employer_markers: Sequence[str] = ()
-    apply_cues: str = "报名|申请|投递|应聘|(?i)apply"
+    apply_words: Sequence[str] = pages_html.APPLY_WORDS
 
 
 def details(rows: DataFrame, d: Detail, publisher: Column) -> DataFrame:
@@ -173,7 +173,7 @@ def details(rows: DataFrame, d: Detail, publisher: Column) -> DataFrame:
     listed = text.joined_fields([(k, F.try_element_at("__fields", F.lit(k))) for k in d.summary_fields]) if d.summary_fields else F.lit("")
     evidence = F.concat_ws(" ", *[F.try_element_at("__fields", F.lit(k)) for k in d.match_fields]) if d.match_fields else F.lit("")
     out = {
-        "employer": employer, "source_url": urls.normalize(F.col("href")), "application_url": F.nullif(pages_html.absolute(pages_html.application_link(F.col("document"), d.apply_cues), F.col("href")), F.lit("")),
+        "employer": employer, "source_url": urls.normalize(F.col("href")), "application_url": F.nullif(urls.normalize(pages_html.absolute(pages_html.application_link(F.col("document"), d.apply_words), F.col("href"))), F.lit("")),
         "text": F.concat_ws(" ", "__title", "__text"), "summary": F.coalesce(F.nullif(listed, F.lit("")), text.truncated(F.col("__text"), 420)),
         "published_date": F.coalesce(F.try_to_date("published_date"), pages_html.published_meta(F.col("document")), dates.published(F.col("__text"))), "deadline_date": dates.deadline(F.col("__text")),
         "location": F.coalesce(*[text.blank_to_null(p) for p in places], F.col("__hint")), "external_id": urls.external_id(F.col("href")),

@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
-ATTACHMENT = r"(?i)\.(pdf|docx?|xlsx?|zip|rar|pptx?|jpe?g|png)([?#].*)?$"
+#: What is a file and no page, by the path of its address; and the words around a link by which one applies, and what such a link is not.
+ATTACHMENT = r"(?i)^[^?#]*\.(?:pdf|docx?|xlsx?|zip|rar)(?:[?#].*)?$"
+APPLY_WORDS = ("报名", "申请", "投递", "网申", "应聘", "招聘平台", "招聘网", "apply", "application")
+FORMS = ("pdf", "doc", "docx", "xls", "xlsx", "csv", "zip", "rar")
 LABELLED = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*["']?([^"'\s>]*)["']?[^>]*>(.*?)</a>"""
 
 
@@ -90,7 +96,37 @@ def notice_links(pages: DataFrame, key: str, html: str, url: str, hosts: Column,
     return first.select(key, "position", "title", "href")
 
 
-def application_link(html: Column, cues: str) -> Column:
-    """The first anchor whose text speaks of applying and that is no attachment; null if there is none."""
-    anchors = F.filter(F.regexp_extract_all(html, F.lit(LABELLED), F.lit(0)), lambda a: F.regexp_extract(a, LABELLED, 2).rlike(cues) & ~F.regexp_extract(a, LABELLED, 1).rlike(ATTACHMENT))
-    return F.regexp_extract(F.get(anchors, 0), LABELLED, 1)
+def application_link(document: Column, words: Sequence[str] = APPLY_WORDS, forms: Sequence[str] = FORMS) -> Column:
+    """The address of the first link that speaks of applying, itself or in the text around it, and is no file; null if there is none.
+
+    Around it is its paragraph, or what it stands in directly. Case counts for nothing. A page's tree is read, as a paragraph may hold elements of any depth.
+    """
+    from brightloom.sources import tree
+
+    words, file = [w.lower() for w in words], re.compile(rf"\.(?:{'|'.join(map(re.escape, forms))})$", re.IGNORECASE)
+
+    @pandas_udf(T.StringType())
+    def read(documents: pd.Series) -> pd.Series:
+        def speaks(said: str) -> bool:
+            said = " ".join(said.split()).lower()
+            return any(w in said for w in words)
+
+        def first(page: str | None) -> str | None:
+            around: dict[int, bool] = {}  # a list's links share what they stand in
+            for a in tree.select(tree.parsed(page or ""), "a[href]"):
+                href = a.attributes["href"]
+                if not href or file.search(re.split("[?#]", href.strip(), maxsplit=1)[0]):
+                    continue
+                near = a.parent
+                while near.tag and near.tag != "p":
+                    near = near.parent
+                near = near if near.tag else a.parent
+                if id(near) not in around:
+                    around[id(near)] = speaks(near.text())
+                if around[id(near)] or speaks(a.text() or a.attributes.get("title", "")):
+                    return href
+            return None
+
+        return documents.map(first)
+
+    return read(document)

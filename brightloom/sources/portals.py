@@ -41,22 +41,23 @@ def decrypted(payload: Column, key: Column, iv: Column) -> Column:
     return F.try_aes_decrypt(F.concat(iv.cast("binary"), F.try_to_binary(payload, F.lit("base64"))), key.cast("binary"), F.lit("CBC"), F.lit("PKCS")).cast("string")
 
 
-#: Where a page hands its packed article to the script that unpacks it.
+#: Where a page hands its packed article to the script that unpacks it, and the mark before the article.
+VIEW_MARK = r"^view\d+d\s*"
 PACKED = r"""Base64\.decode\s*\(\s*unzip\s*\(\s*["']([^"']+)["']"""
 
 
 @pandas_udf(T.StringType())
 def embedded_article(packed: pd.Series) -> pd.Series:
-    """base64 of zlib of base64 of text, with or without a word before the inner base64; a view marker before the text is dropped.
+    """base64 of zlib of a word and base64 of text; a view marker before the text is dropped.
 
     Null for anything else. zlib has no built-in function.
     """
 
     def read(x: str | None) -> str | None:
         try:
-            inner = zlib.decompress(base64.b64decode(x, validate=True)).decode().split(None, 1)
-            article = base64.b64decode(inner[-1], validate=True).decode()
-            return re.sub(r"^view\d+d\s*", "", article).strip() or None
+            _, inner = zlib.decompress(base64.b64decode(x, validate=True)).decode().split(None, 1)
+            article = base64.b64decode(inner, validate=True).decode()
+            return re.sub(VIEW_MARK, "", article).strip() or None
         except (ValueError, TypeError, IndexError, zlib.error):
             return None
 

@@ -4,7 +4,7 @@ import base64
 import json
 
 import pytest
-from brightloom.sources import boards, details, portals
+from brightloom.sources import boards, details, html, portals
 from pyspark.sql import functions as F
 
 RULE = "source_id string, publisher string"
@@ -131,3 +131,9 @@ def test_encrypted_jobs_are_judged_twice_and_details_win(spark):
 def test_a_place_of_no_place_needs_no_evidence(spark):
     got = spark.createDataFrame([("Multi-Location", "x"), ("Multi-Location, China", "in china"), ("Oslo", "x"), (None, "x"), (" , ", "x")], "p string, t string")
     assert [r[0] for r in got.select(portals.location_evidenced(F.col("p"), F.col("t"))).collect()] == [True, True, False, False, True]
+
+
+def test_application_links_go_by_their_paragraph_and_are_no_files(spark):
+    pages = ['<p>附件：<a href="/files/application-form.xlsx?x=1">应聘登记表</a></p>', '<p><a href="/apply/123">立即报名</a></p>', "<div><p>Please <b>APPLY</b> <span><a href='/here'>here</a></span></p></div>", '<div>申请<p><a href="/other">more</a></p></div>', '<a title="网申" href="/t"><img></a>', "<a>报名</a>", None]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, p string")
+    assert [r[0] for r in df.orderBy("i").select(html.application_link(F.col("p"))).collect()] == [None, "/apply/123", "/here", None, "/t", None, None]

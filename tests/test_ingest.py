@@ -31,9 +31,10 @@ def test_profile_page_order(spark):
 
 
 def test_portals(spark):
-    packed = base64.b64encode(zlib.compress(base64.b64encode("正文".encode()))).decode()
-    df = spark.createDataFrame([(packed,), ("junk",), (None,)], "p string")
-    assert [r[0] for r in df.select(portals.embedded_article("p")).collect()] == ["正文", None, None]
+    packed = base64.b64encode(zlib.compress(b"mark " + base64.b64encode("view1d 正文".encode()))).decode()
+    bare = base64.b64encode(zlib.compress(base64.b64encode("正文".encode()))).decode()
+    df = spark.createDataFrame([(packed,), ("junk",), (None,), (bare,)], "p string")
+    assert [r[0] for r in df.select(portals.embedded_article("p")).collect()] == ["正文", None, None, None]
     key, iv = b"0123456789abcdef", b"fedcba9876543210"
     sealed = df.limit(1).select(F.aes_encrypt(F.lit("hello"), F.lit(key), F.lit("CBC"), F.lit("PKCS"), F.lit(iv)).alias("x"))
     body = sealed.select(F.base64(F.substring("x", 17, 1000)).alias("b"))
