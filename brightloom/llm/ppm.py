@@ -17,6 +17,8 @@ import numpy as np
 import zstandard
 
 ORDER = 5
+#: Arrays of steps in between are made for so many symbols at once, however long the texts.
+BLOCK = 1 << 18
 SHIFT = np.uint64(8)
 _START, _END_WORD, _END_TEXT = 0x20, 0x20, 0x0A
 _BEFORE = bytes(ORDER - 1) + b" "
@@ -49,21 +51,26 @@ def text_grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     stay = np.ones(len(data), bool)
     stay[1:] = ~(space[1:] & space[:-1])
     data = data[stay].tobytes()
-    ends = np.cumsum(stay)[ends - 1]
+    ends -= np.searchsorted(np.flatnonzero(~stay), ends)
     lengths = np.diff(ends, prepend=0)
     starts = ends - lengths
     n = len(data) - ORDER
     # every run of eight bytes as one number, the first lowest: the context and the next byte are its low six
-    runs = np.ndarray((n,), "<u8", data + bytes(8), strides=(1,)).copy()
+    runs = np.ndarray((n,), "<u8", data + bytes(8), strides=(1,))
     keep = np.ones(n, bool)
     for k in range(len(_BEFORE)):
         keep[starts[1:] - ORDER + k] = False
-    runs = runs[keep]
-    symbols = runs >> np.uint64(8 * ORDER) & np.uint64(0xFF)
-    runs <<= SHIFT
-    runs &= np.uint64((1 << 8 * (ORDER + 1)) - 256)
-    runs |= symbols
-    return runs, np.concatenate([[0], np.cumsum(lengths - len(_BEFORE))])
+    begin = np.concatenate([[0], np.cumsum(lengths - len(_BEFORE))])
+    grams, done = np.empty(begin[-1], np.uint64), 0
+    for at in range(0, n, BLOCK):
+        some = runs[at : at + BLOCK].copy()[keep[at : at + BLOCK]]
+        symbols = some >> np.uint64(8 * ORDER) & np.uint64(0xFF)
+        some <<= SHIFT
+        some &= np.uint64((1 << 8 * (ORDER + 1)) - 256)
+        some |= symbols
+        grams[done : done + len(some)] = some
+        done += len(some)
+    return grams, begin
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -95,8 +102,8 @@ def summed(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def distinct(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct grams in order and how often each occurs."""
-    grams = np.sort(grams)
+    """The distinct grams in order and how often each occurs. Puts the grams in order where they are."""
+    grams.sort()
     first = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]][: len(grams)])
     return grams[first], np.diff(np.append(first, len(grams)))
 

@@ -7,6 +7,9 @@ from collections import Counter
 import brute
 import pytest
 from brightloom.llm import lm_score, ppm
+from pyspark.sql import GroupedData
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
 TEXTS = ["the river of stone and the paper window", "stone river the of and window paper the", None, "", "\u6f22\u5b57 \x0b tail  Tail", "a b a b a c", "of the river the stone", "c a b a b a"] * 2
 
@@ -58,3 +61,33 @@ def test_shuffled_words_score_less(spark):
     got = {r.held_out: r for r in lm_score.score(docs, whole_texts=True).collect()}
     assert got[True].n_known == got[False].n_known == 9 and abs(got[True].base_score - got[False].base_score) < 1e-9
     assert got[False].score > got[True].score + 5
+
+
+def test_a_worker_makes_few_arrays_of_the_size_of_a_batch(spark, monkeypatch, tmp_path):
+    folder = str(tmp_path)
+
+    def measured(function, *parts):
+        import tracemalloc
+        import uuid
+
+        tracemalloc.start()
+        try:
+            return function(*parts)
+        finally:
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as out:
+                out.write(str(tracemalloc.get_traced_memory()[1]))
+            tracemalloc.stop()
+
+    def watch(kind, name, wrapped):
+        apply = getattr(kind, name)
+        monkeypatch.setattr(kind, name, lambda self, function, schema: apply(self, wrapped(function), schema))
+
+    for name in ("applyInPandas", "applyInArrow"):
+        watch(GroupedData, name, lambda function: lambda rows: measured(function, rows))
+        watch(PandasCogroupedOps, name, lambda function: lambda left, right: measured(function, left, right))
+    word = lambda i: F.hex(F.pmod(F.xxhash64("doc_id", i), F.lit(20_000)))
+    docs = spark.range(1000).select(F.col("id").alias("doc_id")).withColumn("text", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(850)), word), " "))
+    scored = lm_score.score(docs, whole_texts=True).agg(F.count("*"), F.min("n_tokens"), F.max("n_tokens")).first()
+    assert tuple(scored) == (1000, 851, 851)
+    peaks = [int(p.read_text()) for p in tmp_path.iterdir()]
+    assert len(peaks) == 2 and max(peaks) < 40 * lm_score.BATCH_CHARS
