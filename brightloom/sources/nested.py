@@ -30,9 +30,10 @@ def _string(v: Column) -> Column:
 
 
 def shown(v: Column) -> Column:
-    """A value's text, empty for null, false, zero and lists or objects without members."""
+    """A value's text, empty for null, false, zero and lists or objects without members; a text that reads like one of these stays."""
     said = F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v))
-    return F.when(F.coalesce(said, F.lit("null")).isin("null", "false", "0", "0.0", "[]", "{}"), F.lit("")).otherwise(text.clean(said))
+    none = F.coalesce(said, F.lit("null")).isin("null", "false", "0", "0.0", "[]", "{}") & (F.coalesce(F.schema_of_variant(v), F.lit("VOID")) != "STRING")
+    return F.when(none, F.lit("")).otherwise(text.clean(said))
 
 
 def value_at(v: Column, path: str) -> Column:

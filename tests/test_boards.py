@@ -4,7 +4,7 @@ import base64
 import json
 
 import pytest
-from brightloom.sources import boards, details, html, portals
+from brightloom.sources import boards, details, html, nested, portals
 from pyspark.sql import functions as F
 
 RULE = "source_id string, publisher string"
@@ -128,6 +128,17 @@ def test_encrypted_jobs_are_judged_twice_and_details_win(spark):
     assert rows(boards.encrypted_jobs(rules, ["地质"])(captured(spark, "s", (listing, front), ("https://m.com/website/jobs/v2", {"data": "junk", "necromancer": KEY}))))[1] == [("s", "job list can't be read")]
 
 
+def test_a_text_of_zero_is_an_id_and_the_number_is_none(spark):
+    values = ["0", "null", "false", "[]", " 0.0 ", 0, 0.0, None, False, [], {}, 7]
+    df = spark.createDataFrame([(i, json.dumps(v)) for i, v in enumerate(values)] + [(12, None)], "i int, v string")
+    assert [r[0] for r in df.orderBy("i").select(nested.shown(F.try_parse_json("v"))).collect()] == ["0", "null", "false", "[]", "0.0", "", "", "", "", "", "", "7", ""]
+    listing = "https://m.com/jobs"
+    jobs = [{"id": "0", "title": "地质零"}, {"id": 0, "title": "地质 none"}, {"id": "1", "title": "地质一"}]
+    docs = captured(spark, "s", (listing, f"""<input id="init-data" value='{{"aesIv":"{IV}"}}'>"""), ("https://m.com/website/jobs/v2", sealed(spark, {"data": {"jobs": jobs}})), ("https://m.com/website/job?jobId=0", sealed(spark, {"data": {"title": "地质零 whole"}})))
+    rules = spark.createDataFrame([("s", "集团", listing)], RULE + ", listing_url string")
+    assert [(r.position, r.external_id, r.title) for r in rows(boards.encrypted_jobs(rules, ["地质"])(docs))[0]] == [(1, "0", "地质零 whole"), (2, "1", "地质一")]
+
+
 def test_a_place_of_no_place_needs_no_evidence(spark):
     got = spark.createDataFrame([("Multi-Location", "x"), ("Multi-Location, China", "in china"), ("Oslo", "x"), (None, "x"), (" , ", "x")], "p string, t string")
     assert [r[0] for r in got.select(portals.location_evidenced(F.col("p"), F.col("t"))).collect()] == [True, True, False, False, True]
