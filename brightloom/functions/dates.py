@@ -11,6 +11,7 @@ from .text import clean, without_digit_gaps
 
 #: Date notations, the words around application windows, deadlines and publication, and how far apart they may stand.
 YMD = r"(20\d{2})\s*[年./-]\s*(\d{1,2})\s*[月./-]\s*(\d{1,2})"
+GAPPED_YEAR = r"(?U)2[\s\x1c-\x1f]*0[\s\x1c-\x1f]*[0-9][\s\x1c-\x1f]*[0-9]"
 FULL_DAY = r"(20\d{2})\s*年\s*\d{1,2}\s*月\s*\d{1,2}\s*日"
 MD = r"(\d{1,2})\s*月\s*(\d{1,2})\s*日"
 CLOCK = r"(?:\s*\d{1,2}:\d{2})?"
@@ -66,7 +67,8 @@ def deadline(text: Column) -> Column:
 
     In order: an overall application window from some start to a date; the end of an application range; an
     end without year (the start's year counts; an impossible date passes on); a date after a closing word of
-    applying; an expiry label; an English cue. A range counts only after a word of applying.
+    applying; an expiry label; an English cue. A range counts only after a word of applying. All six hold a
+    whole year, so a text without one, whatever blanks stand in it, is not asked for them.
     """
     t = without_digit_gaps(clean(text))
     until, window = rf"\s*{_any(UNTIL_MARKS)}\s*", rf"{_any(APPLY_WORDS)}.{{0,24}}?{_any(WINDOW_WORDS)}"
@@ -78,7 +80,7 @@ def deadline(text: Column) -> Column:
     english = rf"(?i:{_any(ENGLISH_CUES)})[:\s]{{0,16}}({ENGLISH_MDY})"
     start, year, month, day = _groups(t, same_year, 1, 2, 3, 4)
     implicit = make_date(F.coalesce(year, start), month, day)
-    return (
+    found = (
         F.when(t.rlike(overall), make_date(*_groups(t, overall, 1, 2, 3)))
         .when(t.rlike(span), make_date(*_groups(t, span, 4, 5, 6)))
         .when(implicit.isNotNull(), implicit)
@@ -86,6 +88,7 @@ def deadline(text: Column) -> Column:
         .when(t.rlike(expiry), make_date(*_groups(t, expiry, 1, 2, 3)))
         .when(t.rlike(english), english_date(F.regexp_extract(t, english, 1)))
     )
+    return F.when(text.rlike(GAPPED_YEAR), found)
 
 
 def published(text: Column) -> Column:

@@ -70,10 +70,11 @@ def posting(raw: DataFrame, v: Vocabulary, today: Column, undated_days: int | No
     for name, kind in OPTIONAL.items():
         raw = raw if name in raw.columns else raw.withColumn(name, F.lit(None).cast(kind))
     r = raw.withColumn("title", text.clean(F.col("title"))).withColumn("employer", text.clean(F.col("employer")))
-    whole = text.clean(F.concat_ws(" ", "title", "employer", "text"))
+    said = F.concat_ws(" ", "title", "employer", "text")
+    whole = text.clean(said)
     r = r.withColumn("source_url", urls.normalize(F.col("source_url"))).withColumn("match_text", F.coalesce(text.blank_to_null(F.col("match_text")), whole))
     r = r.withColumn("published_date", F.coalesce(F.try_to_date("published_date"), dates.published(whole)))
-    r = r.withColumn("deadline_date", F.coalesce(F.try_to_date("deadline_date"), dates.deadline(whole)))
+    r = r.withColumn("deadline_date", F.coalesce(F.try_to_date("deadline_date"), dates.deadline(said)))
     r = r.withColumn("place", places.location(F.coalesce(text.blank_to_null(F.col("location")), places.location_hint(F.col("text"))), v.places))
     r = _with_employer(r, employers)
     if v.taxonomy is None:

@@ -25,7 +25,9 @@ def _parts(spark: SparkSession, sf_dir: str, edited: bool = False) -> DataFrame:
     k, none = F.col("p_partkey"), F.lit(None).cast("string")
     title = F.when(F.lit(edited) & (k % 5 == 0), F.concat("p_name", F.lit(" revised"))).otherwise(F.col("p_name"))
     more = F.when(F.lit(edited) & (k % 7 == 0), F.repeat(F.lit(" more"), 4_000)).otherwise(F.repeat(F.lit(" text"), 3_000))
-    return read(spark, sf_dir, "part").select(
+    # a row is two hundred times as large with its text, so rows are dealt to all tasks before they have it
+    dealt = read(spark, sf_dir, "part").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), k)
+    return dealt.select(
         k, (F.col("p_size") % 10).cast("string").alias("source_id"), _case((F.col("p_size") % 3 == 0, "A"), (F.col("p_size") % 3 == 1, "B"), other="Z").alias("source_tier"), title.alias("title"), F.col("p_brand").alias("employer"),
         F.concat(F.lit("https://parts.org/p/"), k).alias("source_url"), F.concat(F.col("p_type"), F.when(k % 7 == 0, more).otherwise("")).alias("text"), none.alias("published_date"), none.alias("deadline_date"), none.alias("location"), none.alias("match_text"),
         F.when(k % 3 != 0, F.concat(F.lit("id-"), k)).alias("external_id"),

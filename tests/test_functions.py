@@ -34,6 +34,27 @@ def test_deadline(spark, value, want):
     assert got == (dt.date.fromisoformat(want) if want else None)
 
 
+def test_texts_without_a_year_are_not_asked_for_deadlines(spark):
+    import random
+    import time
+
+    rng = random.Random(1)
+    mixed = ["".join(rng.choices(["2", "0", "6", "20", "9", "年", "月", "日", " ", "\u3000", "\x1c", "\n", "\u2009", "-", "报名时间：", "２", "٢"], k=rng.randrange(12))) for _ in range(3_000)]
+    df = spark.createDataFrame([(x,) for x in mixed], "v string")
+    known = dates.without_digit_gaps(text.clean(V)).rlike(r"20\d{2}")
+    assert {tuple(r) for r in df.select(known, V.rlike(dates.GAPPED_YEAR)).collect()} == {(True, True), (False, False)}
+    assert one(spark, dates.deadline(V), "报名截止时间 2\u3000 0\x1c2\n6年1 0月8日") == dt.date(2026, 10, 8)
+    long = spark.range(2_000, numPartitions=4).select(F.concat(F.lit("Brand#20 报名时间"), F.repeat(F.lit(" text"), 3_000), F.col("id")).alias("v")).cache()
+    long.count()
+    took = {}
+    for k, c in (("clean", text.clean(V)), ("deadline", dates.deadline(V)), ("clean", text.clean(V)), ("deadline", dates.deadline(V))):
+        began = time.perf_counter()
+        long.agg(F.max(F.hash(c))).collect()
+        took[k] = time.perf_counter() - began
+    long.unpersist()
+    assert took["deadline"] < 2 * took["clean"]  # the six patterns take several times as long
+
+
 def test_published_is_none_where_a_text_speaks_of_closing(spark):
     assert [one(spark, dates.published(V), x) for x in ("招聘公告 过期时间：2026-11-17", "报名截至2026年9月3日", "有效期 2026-01-01", None)] == [None] * 4
     assert [str(one(spark, dates.published(V), x)) for x in ("发布时间:2026-09-02 08:00 截止2026-10-01", "公告日期：2026年9月2日", "更新日期 2026/9/2", "北京 2026-09-02")] == ["2026-09-02"] * 4

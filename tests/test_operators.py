@@ -370,3 +370,18 @@ def test_a_cohort_is_summed_up(spark):
     assert tuple(cohort.summary(none).first()) == (3, 0, 0, 3, 0, 0, 0)
     people = cohort.by_member(cohort.members(spark, {"p": 3, "q": 2}), s).collect()
     assert len(people) == 5 and all(x.has_recommendation for x in people) and {x.explicit for x in people if x.profile == "p"} == {2}
+
+
+def test_long_records_are_made_by_all_tasks(spark, tmp_path):
+    from brightloom.plans import features
+
+    parts = spark.range(120).select(F.col("id").alias("p_partkey"), F.lit("red ring").alias("p_name"), F.lit("Brand#1").alias("p_brand"), F.lit("SMALL").alias("p_type"), (F.col("id") % 50).cast("int").alias("p_size"), F.lit(1.0).alias("p_retailprice"))
+    parts.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    made = features._parts(spark, str(tmp_path)).select(F.spark_partition_id().alias("task"), F.length("text").alias("n")).groupBy("task").agg(F.max("n").alias("n")).collect()
+    assert len(made) == int(spark.conf.get("spark.sql.shuffle.partitions")) and min(r.n for r in made) > 15_000
+    want = {}
+    for k in range(120):
+        outcome = "created" if k % 11 == 0 else "absent" if k % 13 == 0 else "updated" if k % 5 == 0 or k % 7 == 0 else "unchanged"
+        n, events = want.get(outcome, (0, 0))
+        want[outcome] = (n + 1, events + (outcome in ("created", "updated")))
+    assert {r.outcome: (r.n, r.events) for r in features.edited_records(spark, str(tmp_path)).collect()} == want
