@@ -65,7 +65,9 @@ def announcement_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def encrypted_portal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers are jobs, fifty at most a list, a portal for each nation with a vector of its own; every second has a detail, of which a third can't be decrypted."""
     k = F.col("c_custkey")
-    c = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).withColumns({"source_id": F.col("n_name"), "iv": F.lpad(_text("n_nationkey"), 16, "0")})
+    nation = read(spark, sf_dir, "nation")
+    portals = nation.groupBy("n_name").agg(F.lpad(_text(F.min("n_nationkey")), 16, "0").alias("iv"))  # nations of one name are one portal
+    c = read(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(portals, "n_name").withColumn("source_id", F.col("n_name"))
     key = "0123456789abcdef"
 
     def sealed(clear: Column, broken: Column) -> Column:
@@ -83,7 +85,7 @@ def encrypted_portal(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = _object(title=F.concat(F.lit("Detailed "), "c_name"), locations=F.array(F.array(_object(name=F.col("n_name")))), publishedAt=F.concat(F.lit("2028-03-0"), _text(1 + k % 9), F.lit("T10:00")), jobDescription=about)
     pages = c.filter(k % 2 == 0).select("source_id", F.lit(1).cast("long").alias("position"), F.concat(F.lit("https://m.org/website/job?jobId="), _text(k)).alias("url"), sealed(F.to_json(_object(data=more)), (k % 6 == 0) & (k % 10 != 4)).alias("document"))
     docs = storage.stored(fronts.unionByName(lists).unionByName(pages))
-    rules = read(spark, sf_dir, "nation").select(F.col("n_name").alias("source_id"), F.lit("P").alias("publisher"), F.lit("https://m.org/jobs").alias("listing_url"), F.array(F.lit("building"), F.lit("machinery")).alias("include_patterns"), F.array(F.lit("TRAINEE")).alias("detail_exclude_patterns"))
+    rules = portals.select(F.col("n_name").alias("source_id"), F.lit("P").alias("publisher"), F.lit("https://m.org/jobs").alias("listing_url"), F.array(F.lit("building"), F.lit("machinery")).alias("include_patterns"), F.array(F.lit("TRAINEE")).alias("detail_exclude_patterns"))
     found = boards.encrypted_jobs(rules, [])(docs)
     return found.select("source_id", "position", "external_id", F.coalesce("title", "error").alias("title"), "location", "published_date", "summary")
 

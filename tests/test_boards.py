@@ -139,6 +139,15 @@ def test_a_text_of_zero_is_an_id_and_the_number_is_none(spark):
     assert [(r.position, r.external_id, r.title) for r in rows(boards.encrypted_jobs(rules, ["地质"])(docs))[0]] == [(1, "0", "地质零 whole"), (2, "1", "地质一")]
 
 
+def test_nations_of_one_name_are_one_portal(spark, tmp_path):
+    from brightloom.plans.boards import encrypted_portal
+
+    spark.createDataFrame([(0, "N"), (1, "N")], "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.createDataFrame([(k, f"C{k}", k % 2, "BUILDING") for k in (0, 1, 2, 3, 53)], "c_custkey long, c_name string, c_nationkey int, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    want = [(1, "0", "C0"), (2, "1", "C1"), (3, "2", "Detailed C2"), (4, "3", "C3"), (5, "53", "C53")]
+    assert sorted((r.position, r.external_id, r.title) for r in encrypted_portal(spark, str(tmp_path)).collect()) == want
+
+
 def test_a_place_of_no_place_needs_no_evidence(spark):
     got = spark.createDataFrame([("Multi-Location", "x"), ("Multi-Location, China", "in china"), ("Oslo", "x"), (None, "x"), (" , ", "x")], "p string, t string")
     assert [r[0] for r in got.select(portals.location_evidenced(F.col("p"), F.col("t"))).collect()] == [True, True, False, False, True]
